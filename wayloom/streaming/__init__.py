@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator of this library is a batch job.
+
+The cleaning filters and the hourly counts are ordinary column expressions and
+aggregations, so they can be applied to a streaming DataFrame unchanged.
+"""
