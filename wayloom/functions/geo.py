@@ -66,7 +66,8 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2.0)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2.0)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2.0 * radius) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # Not ``least``: that would turn an unknown point into half the globe.
+    return F.lit(2.0 * radius) * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
 
 
 def in_box(lon: Column, lat: Column, box: Box) -> Column:
@@ -310,17 +311,18 @@ def centre_token(prefix: str, step: float) -> Column:
 
 
 def cell_area_km2() -> Column:
-    """Area of a row's box from its mid-line width and height."""
-    lon, lat = box_centre("")
-    width = haversine_m(F.col("min_lon"), lat, F.col("max_lon"), lat)
-    height = haversine_m(lon, F.col("min_lat"), lon, F.col("max_lat"))
-    return width * height / 1e6
+    """Area of a row's box from its lower and left sides; never zero."""
+    width = haversine_m(F.col("min_lon"), F.col("min_lat"), F.col("max_lon"), F.col("min_lat"))
+    height = haversine_m(F.col("min_lon"), F.col("min_lat"), F.col("min_lon"), F.col("max_lat"))
+    return F.greatest(F.lit(1e-8), width * height / 1e6)
 
 
 # --- China offset datum ------------------------------------------------------
 
-# Fixed values of the published offset polynomial (Krasovsky 1940 ellipsoid).
+# Fixed values of the published offset polynomial (Krasovsky 1940 ellipsoid). The
+# meridian radius is taken as a constant.
 OFFSET_AXIS_M = 6378245.0
+OFFSET_MERIDIAN_M = 6335552.717000426
 OFFSET_ECCENTRICITY = 0.00669342162296594323
 OFFSET_AREA = Box(72.004, 0.8293, 137.8347, 55.8271)
 
@@ -343,8 +345,7 @@ def _datum_shift(lon: Column, lat: Column) -> tuple[Column, Column]:
     d_lon = d_lon + ripple + _waves(x, [(20.0, 1.0), (40.0, 1 / 3)]) + _waves(x, [(150.0, 1 / 12), (300.0, 1 / 30)])
     rad = F.radians(lat)
     magic = F.lit(1.0) - F.lit(OFFSET_ECCENTRICITY) * F.sin(rad) * F.sin(rad)
-    meridian = F.lit(OFFSET_AXIS_M * (1 - OFFSET_ECCENTRICITY)) / (magic * F.sqrt(magic))
-    d_lat = d_lat * 180.0 / (meridian * math.pi)
+    d_lat = d_lat * 180.0 / (OFFSET_MERIDIAN_M * math.pi)
     d_lon = d_lon * 180.0 / (F.lit(OFFSET_AXIS_M) / F.sqrt(magic) * F.cos(rad) * math.pi)
     outside = ~in_box(lon, lat, OFFSET_AREA)
     return F.when(outside, F.lit(0.0)).otherwise(d_lon), F.when(outside, F.lit(0.0)).otherwise(d_lat)

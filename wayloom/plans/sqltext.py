@@ -76,10 +76,11 @@ def with_(*parts: str) -> str:
 
 
 def haversine(lon1: str, lat1: str, lon2: str, lat2: str, radius: float = EARTH_RADIUS_M) -> str:
-    return (
-        f"({2.0 * radius} * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2.0), 2) + cos(radians({lat1})) * "
-        f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2.0), 2)))))"
+    a = (
+        f"(pow(sin(radians({lat2} - {lat1}) / 2.0), 2) + cos(radians({lat1})) * "
+        f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2.0), 2))"
     )
+    return f"({2.0 * radius} * asin(sqrt(CASE WHEN {a} > 1.0 THEN 1.0 ELSE {a} END)))"
 
 
 def planar(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
