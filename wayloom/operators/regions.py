@@ -165,10 +165,11 @@ def hex_rollup(cells: DataFrame, base_resolution: int, resolution: int) -> DataF
     if resolution > base_resolution:
         raise ValueError("a rollup cannot refine")
     centre = hexgrid.hex_centre(F.col("cell"), base_resolution)
+    # A centre can lie exactly on a border; a fraction of a millimetre settles it.
     parent = (
         F.col("cell")
         if resolution == base_resolution
-        else hexgrid.hex_cell(centre["lon"], centre["lat"], resolution)
+        else hexgrid.hex_cell(centre["lon"] + 1e-9, centre["lat"] + 1e-9, resolution)
     )
     return (
         cells.select(parent.alias("cell"), "point_count")

@@ -182,7 +182,7 @@ def _centre_sql(edge: float) -> tuple[str, str]:
         f"boxed AS (SELECT lon, lat FROM points WHERE {inside(WHOLE)})",
         hexed("boxed", "cells", "lon", "lat", 9),
         f"base AS (SELECT {_centre_sql(_EDGE9)[0]} AS clon, {_centre_sql(_EDGE9)[1]} AS clat, count(*) AS n FROM cells GROUP BY hq, hr)",
-        hexed("base", "parents", "clon", "clat", 7),
+        hexed("base", "parents", "(clon + 1e-9)", "(clat + 1e-9)", 7),
     )
     + f""" SELECT hex_id, sum(n)::BIGINT AS point_count, round({_centre_sql(_EDGE7)[0]}, 6) AS center_lon,
  round({_centre_sql(_EDGE7)[1]}, 6) AS center_lat, 6 AS corners FROM parents GROUP BY hex_id, hq, hr""",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions.geo import LINE, Box, point
+from wayloom.sources.stage import bucket_count, staged
 
 SIDE = 40
 ORIGIN = "TIMESTAMP_NTZ '2008-02-02 00:00:00'"
@@ -75,7 +76,28 @@ def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+KEY = ["taxi_id", "trip_id"]
+POINTS_PER_TRIP = 40
+
+
+def trip_buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Bucket count from the row count in the order file footers."""
+    return bucket_count(spark, _table(spark, sf_dir, "orders").count() * POINTS_PER_TRIP)
+
+
 def taxi_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged point table."""
+    build = lambda: build_points(spark, sf_dir)
+    return staged(spark, "taxi_points", sf_dir, build, KEY, ["gps_time"], trip_buckets(spark, sf_dir))
+
+
+def matched_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged table of matched trips."""
+    build = lambda: build_matched(spark, sf_dir)
+    return staged(spark, "matched_trips", sf_dir, build, KEY, [], trip_buckets(spark, sf_dir))
+
+
+def build_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GPS points along the walks with a small deterministic jitter."""
     t, k = F.col("trip_id"), F.col("k")
     return walk(spark, sf_dir).select(
@@ -88,7 +110,7 @@ def taxi_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def matched_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips as ordered node ids and coordinates of the true walk."""
     i, j = F.col("i"), F.col("j")
     rows = F.array_sort(
