@@ -212,3 +212,53 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 79 == 0, F.lit(2)).otherwise(F.lit(1)).alias("copies"),
     )
     return base.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy")
+
+
+def trip_od(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged first and last points of the trips."""
+    from wayloom.operators.trips import od_endpoints
+
+    build = lambda: od_endpoints(taxi_points(spark, sf_dir))
+    return staged(spark, "trip_od", sf_dir, build, KEY, [], trip_buckets(spark, sf_dir))
+
+
+def trip_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged edge sequences of the matched trips."""
+    from wayloom.operators.roads import edge_sequence
+
+    build = lambda: edge_sequence(matched_trips(spark, sf_dir), road_edges(spark))
+    return staged(spark, "trip_edges", sf_dir, build, KEY, ["edge_seq"], trip_buckets(spark, sf_dir))
+
+
+def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged road passes."""
+    from wayloom.operators.roads import road_passes
+
+    build = lambda: road_passes(trip_edges(spark, sf_dir), road_edges(spark), trip_od(spark, sf_dir))
+    return staged(spark, "road_passes", sf_dir, build, KEY, [], trip_buckets(spark, sf_dir))
+
+
+def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged points with trip position and degree cell."""
+    from wayloom.operators.trips import trip_grid_points
+
+    build = lambda: trip_grid_points(taxi_points(spark, sf_dir))
+    return staged(spark, "trip_grid_points", sf_dir, build, KEY, ["point_seq"], trip_buckets(spark, sf_dir))
+
+
+def hourly_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged hourly counts per segment."""
+    from wayloom.operators.roads import road_hourly_counts
+
+    build = lambda: road_hourly_counts(passes(spark, sf_dir))
+    buckets = max(1, trip_buckets(spark, sf_dir) // 8)
+    return staged(spark, "hourly_roads", sf_dir, build, ["road_uid"], ["hour_bucket"], buckets)
+
+
+def hourly_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged hourly counts per road group."""
+    from wayloom.operators.roads import road_group_hourly_counts
+
+    build = lambda: road_group_hourly_counts(passes(spark, sf_dir))
+    buckets = max(1, trip_buckets(spark, sf_dir) // 8)
+    return staged(spark, "hourly_groups", sf_dir, build, ["road_group_key"], ["hour_bucket"], buckets)
