@@ -305,8 +305,8 @@ def centre_token(prefix: str, step: float) -> Column:
     return F.concat_ws(
         ":",
         F.lit("grid"),
-        F.format_number(F.bround(F.bround(lon / step) * step, 3), "0.000"),
-        F.format_number(F.bround(F.bround(lat / step) * step, 3), "0.000"),
+        F.bround(F.bround(lon / step) * step, 3).cast("string"),
+        F.bround(F.bround(lat / step) * step, 3).cast("string"),
     )
 
 

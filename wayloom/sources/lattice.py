@@ -262,3 +262,11 @@ def hourly_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     build = lambda: road_group_hourly_counts(passes(spark, sf_dir))
     buckets = max(1, trip_buckets(spark, sf_dir) // 8)
     return staged(spark, "hourly_groups", sf_dir, build, ["road_group_key"], ["hour_bucket"], buckets)
+
+
+def spatial_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged cells per trip."""
+    from wayloom.operators.trips import trip_spatial_index
+
+    build = lambda: trip_spatial_index(grid_points(spark, sf_dir))
+    return staged(spark, "trip_spatial_index", sf_dir, build, KEY, ["first_point_seq"], trip_buckets(spark, sf_dir))
