@@ -62,12 +62,17 @@ def planar_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def _haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Squared half chord of the unit sphere; every coordinate term appears once."""
+    across_lat = F.pow(F.sin(F.radians(lat2 - lat1) / 2.0), F.lit(2.0))
+    across_lon = F.pow(F.sin(F.radians(lon2 - lon1) / 2.0), F.lit(2.0))
+    return across_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * across_lon
+
+
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = EARTH_RADIUS_M) -> Column:
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2.0)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2.0)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    # Not ``least``: that would turn an unknown point into half the globe.
-    return F.lit(2.0 * radius) * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
+    # Rounding can push antipodes past one, where asin is not a number; nulls stay null.
+    angle = F.nanvl(F.asin(F.sqrt(_haversine(lon1, lat1, lon2, lat2))), F.lit(math.pi / 2.0))
+    return F.lit(2.0 * radius) * angle
 
 
 def in_box(lon: Column, lat: Column, box: Box) -> Column:
@@ -82,10 +87,18 @@ def in_box_columns(lon: Column, lat: Column, prefix: str = "") -> Column:
 
 
 def near_box(lon: Column, lat: Column, box: Box, metres: float) -> Column:
-    """Within a distance of a box: coarse rectangle first, then exact."""
+    """Within a distance of a box: coarse rectangle, then the box itself, then exact.
+
+    The exact test compares squared half chords, which needs no inverse sine, and only
+    points in the narrow rim reach it. Small expressions also keep the generated method
+    within what the JVM compiles.
+    """
     nearest_lon = F.greatest(F.lit(box.min_lon), F.least(F.lit(box.max_lon), lon))
     nearest_lat = F.greatest(F.lit(box.min_lat), F.least(F.lit(box.max_lat), lat))
-    return in_box(lon, lat, box.grown(metres)) & (haversine_m(lon, lat, nearest_lon, nearest_lat) <= metres)
+    limit = math.sin(metres / (2.0 * EARTH_RADIUS_M)) ** 2
+    return in_box(lon, lat, box.grown(metres)) & (
+        in_box(lon, lat, box) | (_haversine(lon, lat, nearest_lon, nearest_lat) <= limit)
+    )
 
 
 def box_centre(prefix: str) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
-from wayloom.operators.sequence import neighbour, running_sum, seconds_between
+from wayloom.operators.sequence import CHUNK_SECONDS, neighbour, running_sum, seconds_between
 from wayloom.session import cut_lineage
 
 COARSE_BOX = geo.Box(72.0, 0.8, 137.9, 55.9)
@@ -43,7 +43,11 @@ def drop_invalid(parsed: DataFrame, local_box: geo.Box | None = None) -> DataFra
 
 
 def flag_speed_outliers(
-    points: DataFrame, max_speed_kmh: float = 130.0, rounds: int = 3, min_dt_seconds: float = 1.0
+    points: DataFrame,
+    max_speed_kmh: float = 130.0,
+    rounds: int = 3,
+    min_dt_seconds: float = 1.0,
+    chunk_seconds: int | None = CHUNK_SECONDS,
 ) -> DataFrame:
     """Add ``removed_round``: the pass in which a point is dropped, or null when it stays.
 
@@ -54,7 +58,7 @@ def flag_speed_outliers(
     alive = points
     gone: DataFrame | None = None
     for turn in range(1, rounds + 1):
-        paired = neighbour(alive, ["taxi_id"], ORDER, ["gps_time", "lon", "lat"], "prev", "gps_time")
+        paired = neighbour(alive, ["taxi_id"], ORDER, ["gps_time", "lon", "lat"], "prev", "gps_time", -1, chunk_seconds)
         dt = seconds_between(F.col("prev.gps_time"), F.col("gps_time"))
         metres = geo.planar_m(F.col("prev.lon"), F.col("prev.lat"), F.col("lon"), F.col("lat"))
         bad = F.coalesce((dt >= min_dt_seconds) & (F.try_divide(metres * 3.6, dt) > max_speed_kmh), F.lit(False))
@@ -70,12 +74,14 @@ def remove_speed_outliers(points: DataFrame, **rules: float) -> DataFrame:
     return flag_speed_outliers(points, **rules).filter("removed_round IS NULL").drop("removed_round")
 
 
-def assign_trips(points: DataFrame, trip_gap_minutes: float = 30) -> DataFrame:
+def assign_trips(
+    points: DataFrame, trip_gap_minutes: float = 30, chunk_seconds: int | None = CHUNK_SECONDS
+) -> DataFrame:
     """Number trips per vehicle; a new one starts after a gap above the limit."""
-    paired = neighbour(points, ["taxi_id"], ORDER, ["gps_time"], "prev", "gps_time")
+    paired = neighbour(points, ["taxi_id"], ORDER, ["gps_time"], "prev", "gps_time", -1, chunk_seconds)
     gap = seconds_between(F.col("prev.gps_time"), F.col("gps_time"))
     starts = F.when(F.col("prev").isNull() | (gap > trip_gap_minutes * 60), 1).otherwise(0)
-    numbered = running_sum(paired, ["taxi_id"], ORDER, starts, "trip_id", "gps_time")
+    numbered = running_sum(paired, ["taxi_id"], ORDER, starts, "trip_id", "gps_time", chunk_seconds)
     return numbered.drop("prev").withColumn("trip_id", F.col("trip_id").cast("long"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo, hexgrid
-from wayloom.operators.sequence import neighbour, seconds_between
+from wayloom.operators.sequence import CHUNK_SECONDS, neighbour, seconds_between
 from wayloom.operators.trips import TRIP, filter_points, time_window
 
 MAX_BOXES = 512
@@ -283,15 +283,17 @@ def tag_areas(
     )
 
 
-def area_changes(tagged: DataFrame) -> DataFrame:
+def area_changes(tagged: DataFrame, chunk_seconds: int | None = CHUNK_SECONDS) -> DataFrame:
     """First point of every stay in an area, in trip order."""
-    paired = neighbour(tagged, TRIP, ["gps_time", "id"], ["area"], "prev", "gps_time")
+    paired = neighbour(tagged, TRIP, ["gps_time", "id"], ["area"], "prev", "gps_time", -1, chunk_seconds)
     return paired.filter(F.col("prev").isNull() | (F.col("prev.area") != F.col("area"))).drop("prev")
 
 
-def area_transitions(changes: DataFrame, max_transition_s: int = 1800) -> DataFrame:
+def area_transitions(
+    changes: DataFrame, max_transition_s: int = 1800, chunk_seconds: int | None = CHUNK_SECONDS
+) -> DataFrame:
     """Consecutive stays joined to moves A→B or B→A within the time limit."""
-    paired = neighbour(changes, TRIP, ["gps_time", "id"], ["area", "gps_time"], "next", "gps_time", step=1)
+    paired = neighbour(changes, TRIP, ["gps_time", "id"], ["area", "gps_time"], "next", "gps_time", 1, chunk_seconds)
     seconds = seconds_between(F.col("gps_time"), F.col("next.gps_time"))
     return paired.filter((F.col("next.area") != F.col("area")) & seconds.between(0, max_transition_s)).select(
         *TRIP,

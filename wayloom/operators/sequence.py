@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 CHUNK_SECONDS = 6 * 3600
+LONGEST_PLAIN_TRACK = 1_000_000
+
+
+def chunking(points: DataFrame, keys: Sequence[str], limit: int = LONGEST_PLAIN_TRACK) -> int | None:
+    """Chunk length for tracks of a table: none when the longest track is known to be short.
+
+    One count per key decides. On a table bucketed by the key it needs no shuffle, and
+    short tracks then use plain windows on the same bucketing. The answer also holds for
+    any subset of the points.
+    """
+    sizes = points.groupBy(*keys).agg(F.count("*").alias("n"))
+    longest = sizes.agg(F.max("n").alias("n")).first()["n"]
+    return None if (longest or 0) <= limit else CHUNK_SECONDS
 
 
 def seconds_of(time: Column) -> Column:
@@ -42,14 +55,18 @@ def neighbour(
     out: str,
     time: str,
     step: int = -1,
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: int | None = CHUNK_SECONDS,
 ) -> DataFrame:
     """Add struct ``out`` holding ``fields`` of the previous (or next) row of the key.
 
     ``order`` must start with ``time`` so that chunks are contiguous in the order.
+    Without ``chunk_seconds`` (see :func:`chunking`) a plain window is used.
     """
     if order[0] != time:
         raise ValueError("the order must begin with the chunked time")
+    if chunk_seconds is None:
+        move = F.lag if step < 0 else F.lead
+        return df.withColumn(out, move(_fields(fields)).over(Window.partitionBy(*keys).orderBy(*order)))
     chunked = df.withColumn(CHUNK, chunk_of(F.col(time), chunk_seconds))
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
@@ -75,11 +92,14 @@ def running_sum(
     value: Column,
     out: str,
     time: str,
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: int | None = CHUNK_SECONDS,
 ) -> DataFrame:
     """Running total of ``value`` along a key, current row included."""
     if order[0] != time:
         raise ValueError("the order must begin with the chunked time")
+    if chunk_seconds is None:
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(plain))
     chunked = df.withColumn("_value", value).withColumn(CHUNK, chunk_of(F.col(time), chunk_seconds))
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +123,7 @@ def row_numbers(
     order: Sequence[str],
     out: str,
     time: str,
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: int | None = CHUNK_SECONDS,
 ) -> DataFrame:
     """1-based position of each row along its key."""
     return running_sum(df, keys, order, F.lit(1), out, time, chunk_seconds)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
-from wayloom.operators.sequence import neighbour, row_numbers, running_sum, seconds_between
+from wayloom.operators.sequence import CHUNK_SECONDS, neighbour, row_numbers, running_sum, seconds_between
 
 TRIP = ["taxi_id", "trip_id"]
 GRID_STEP = 0.01
@@ -47,9 +47,11 @@ def od_endpoints(points: DataFrame) -> DataFrame:
     )
 
 
-def trip_grid_points(points: DataFrame, step: float = GRID_STEP) -> DataFrame:
+def trip_grid_points(
+    points: DataFrame, step: float = GRID_STEP, chunk_seconds: int | None = CHUNK_SECONDS
+) -> DataFrame:
     """Points with their position in the trip and their degree cell."""
-    numbered = row_numbers(points, TRIP, ["gps_time", "id"], "point_seq", "gps_time")
+    numbered = row_numbers(points, TRIP, ["gps_time", "id"], "point_seq", "gps_time", chunk_seconds)
     return numbered.select(
         *TRIP,
         F.col("point_seq").cast("int").alias("point_seq"),
@@ -95,10 +97,14 @@ def filter_points(
 
 
 def segment_points(
-    points: DataFrame, max_gap_minutes: float = 40, max_jump_km: float = 30.0, max_speed_kmh: float = 140.0
+    points: DataFrame,
+    max_gap_minutes: float = 40,
+    max_jump_km: float = 30.0,
+    max_speed_kmh: float = 140.0,
+    chunk_seconds: int | None = CHUNK_SECONDS,
 ) -> DataFrame:
     """Number the unbroken stretches of each trip."""
-    paired = neighbour(points, TRIP, ["gps_time", "id"], ["gps_time", "lon", "lat"], "prev", "gps_time")
+    paired = neighbour(points, TRIP, ["gps_time", "id"], ["gps_time", "lon", "lat"], "prev", "gps_time", chunk_seconds=chunk_seconds)
     dt = seconds_between(F.col("prev.gps_time"), F.col("gps_time"))
     metres = geo.haversine_m(F.col("prev.lon"), F.col("prev.lat"), F.col("lon"), F.col("lat"))
     breaks = (
@@ -109,7 +115,7 @@ def segment_points(
         | (F.try_divide(metres, dt) > max_speed_kmh / 3.6)
     )
     flagged = paired.withColumn("_break", F.when(breaks, 1).otherwise(0)).drop("prev")
-    return running_sum(flagged, TRIP, ["gps_time", "id"], F.col("_break"), "segment_id", "gps_time").drop("_break")
+    return running_sum(flagged, TRIP, ["gps_time", "id"], F.col("_break"), "segment_id", "gps_time", chunk_seconds).drop("_break")
 
 
 def zoom_tolerance(zoom: int) -> float:
@@ -125,7 +131,7 @@ def polylines(
     box: geo.Box | None = None,
     max_trips: int = 300,
     tolerance: float = 0.0,
-    **break_rules: float,
+    **break_rules: float | None,
 ) -> DataFrame:
     """Track lines of the earliest trips, cut where the signal is implausible."""
     from wayloom.operators.lines import simplify

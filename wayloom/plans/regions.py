@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import geo, hexgrid
 from wayloom.operators import regions as op
-from wayloom.operators.trips import od_endpoints, trip_grid_points
 from wayloom.plans.registry import query
 from wayloom.plans.shape import END, END_SQL, START, START_SQL, joined, rounded
 from wayloom.plans.sqltext import POINTS, boxes_values, haversine, inside, near, with_
@@ -285,7 +284,7 @@ centred AS (SELECT ax, ay, bx, by_, (ax * 0.05::DOUBLE + (ax + 1) * 0.05::DOUBLE
  (least(7200, ceil(greatest(600.0, least(7200.0, raw)) / 60.0) * 60)::INT // 60)::INT AS recommended_minutes FROM sec""",
 )
 def transition_threshold(spark, sf_dir):
-    od = od_endpoints(lattice.taxi_points(spark, sf_dir))
+    od = lattice.trip_od(spark, sf_dir)
     cell = {"ax": "start_lon", "ay": "start_lat", "bx": "end_lon", "by_": "end_lat"}
     pairs = od.select(*[geo.degree_cell(F.col(c), 0.05).alias(n) for n, c in cell.items()]).distinct()
     boxes = pairs
@@ -331,12 +330,13 @@ def area_tags(spark, sf_dir):
 
 @query("area_changes", with_(POINTS, TAGGED, CHANGES) + " SELECT taxi_id, trip_id, gps_time, id, area FROM changes")
 def area_changes(spark, sf_dir):
-    return op.area_changes(op.tag_areas(lattice.taxi_points(spark, sf_dir), START, END, FLOW_A, FLOW_B))
+    return op.area_changes(op.tag_areas(lattice.taxi_points(spark, sf_dir), START, END, FLOW_A, FLOW_B), lattice.track_chunk(spark, sf_dir))
 
 
 def _moves(spark, sf_dir):
     tagged = op.tag_areas(lattice.taxi_points(spark, sf_dir), START, END, FLOW_A, FLOW_B)
-    return op.area_transitions(op.area_changes(tagged), 3600)
+    chunk = lattice.track_chunk(spark, sf_dir)
+    return op.area_transitions(op.area_changes(tagged, chunk), 3600, chunk)
 
 
 @query(
@@ -394,7 +394,7 @@ EVENT_ROWS = """ SELECT taxi_id, trip_id, time_bucket, direction, external_lon,
 
 @query("radiation_strict_events", with_(POINTS, OD, STRICT) + EVENT_ROWS)
 def radiation_strict_events(spark, sf_dir):
-    od = od_endpoints(lattice.taxi_points(spark, sf_dir))
+    od = lattice.trip_od(spark, sf_dir)
     return rounded(op.radiation_strict(od, CORE, START, END, 120).drop("event_time"))
 
 
@@ -406,7 +406,7 @@ def radiation_through_events(spark, sf_dir):
 
 @query("radiation_through_grid", with_(POINTS, THROUGH) + EVENT_ROWS)
 def radiation_through_grid(spark, sf_dir):
-    points = trip_grid_points(lattice.taxi_points(spark, sf_dir))
+    points = lattice.grid_points(spark, sf_dir)
     events = op.radiation_through(
         points, CORE, START, END, 120, order=("gps_time", "point_seq"), cell_step=0.01
     )
@@ -446,7 +446,7 @@ def radiation_top_regions(spark, sf_dir):
  (SELECT sum(total) FROM top)::BIGINT AS top_k_flow, round((SELECT sum(total) FROM top) / sum(total), 6) AS top_k_ratio FROM regions""",
 )
 def radiation_summary(spark, sf_dir):
-    od = od_endpoints(lattice.taxi_points(spark, sf_dir))
+    od = lattice.trip_od(spark, sf_dir)
     events = op.radiation_strict(od, CORE, START, END, 120)
     return rounded(op.radiation_summary(op.radiation_regions(events, 8), 30))
 

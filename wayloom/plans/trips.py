@@ -39,7 +39,7 @@ def od_endpoints(spark, sf_dir):
  grid_x || ':' || grid_y AS grid_key FROM numbered""",
 )
 def trip_grid_points(spark, sf_dir):
-    return op.trip_grid_points(lattice.taxi_points(spark, sf_dir))
+    return op.trip_grid_points(lattice.taxi_points(spark, sf_dir), chunk_seconds=lattice.track_chunk(spark, sf_dir))
 
 
 @query(
@@ -50,7 +50,7 @@ def trip_grid_points(spark, sf_dir):
  count(*)::INT AS point_count FROM numbered GROUP BY ALL""",
 )
 def trip_spatial_index(spark, sf_dir):
-    return op.trip_spatial_index(op.trip_grid_points(lattice.taxi_points(spark, sf_dir)))
+    return op.trip_spatial_index(op.trip_grid_points(lattice.taxi_points(spark, sf_dir), chunk_seconds=lattice.track_chunk(spark, sf_dir)))
 
 
 @query(
@@ -77,7 +77,7 @@ BREAKS = {"max_gap_minutes": 120, "max_jump_km": 0.95, "max_speed_kmh": 45.0}
 
 @query("segment_breaks", with_(POINTS, SEGMENTED) + " SELECT taxi_id, trip_id, id, segment_id FROM segmented")
 def segment_breaks(spark, sf_dir):
-    points = op.segment_points(lattice.taxi_points(spark, sf_dir), **BREAKS)
+    points = op.segment_points(lattice.taxi_points(spark, sf_dir), **BREAKS, chunk_seconds=lattice.track_chunk(spark, sf_dir))
     return points.select("taxi_id", "trip_id", "id", F.col("segment_id").cast("long").alias("segment_id"))
 
 
@@ -97,14 +97,20 @@ SELECT taxi_id, trip_id, point_count, start_time, end_time, total_segment_count,
 FROM (SELECT *, unnest(coords) AS p, unnest(range(1, len(coords) + 1)) AS n FROM shown)""",
 )
 def polylines(spark, sf_dir):
-    found = op.polylines(lattice.taxi_points(spark, sf_dir), START, END, max_trips=400, **BREAKS)
+    found = op.polylines(lattice.taxi_points(spark, sf_dir), START, END, max_trips=400, **BREAKS, chunk_seconds=lattice.track_chunk(spark, sf_dir))
     return vertices(found)
 
 
 @query("polylines_simplified")
 def polylines_simplified(spark, sf_dir):
     found = op.polylines(
-        lattice.taxi_points(spark, sf_dir), START, END, max_trips=400, tolerance=op.zoom_tolerance(9), **BREAKS
+        lattice.taxi_points(spark, sf_dir),
+        START,
+        END,
+        max_trips=400,
+        tolerance=op.zoom_tolerance(9),
+        **BREAKS,
+        chunk_seconds=lattice.track_chunk(spark, sf_dir),
     )
     return vertices(found)
 
@@ -130,7 +136,7 @@ def simplify_tracks(spark, sf_dir):
  FROM segmented GROUP BY trip_id, segment_id % 1, split_part(trip_id || '_s' || segment_id, '_s', 1)""",
 )
 def base_trip_ids(spark, sf_dir):
-    segments = op.segment_points(lattice.taxi_points(spark, sf_dir), **BREAKS)
+    segments = op.segment_points(lattice.taxi_points(spark, sf_dir), **BREAKS, chunk_seconds=lattice.track_chunk(spark, sf_dir))
     named = segments.select(F.concat_ws("_s", "trip_id", "segment_id").alias("t")).groupBy("t").agg(F.lit(1).alias("one"))
     return named.groupBy(op.base_trip_id(F.col("t")).alias("base_trip_id")).agg(F.count("*").alias("segments"))
 

@@ -242,7 +242,8 @@ def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged points with trip position and degree cell."""
     from wayloom.operators.trips import trip_grid_points
 
-    build = lambda: trip_grid_points(taxi_points(spark, sf_dir))
+    chunk = track_chunk(spark, sf_dir)
+    build = lambda: trip_grid_points(taxi_points(spark, sf_dir), chunk_seconds=chunk)
     return staged(spark, "trip_grid_points", sf_dir, build, KEY, ["point_seq"], trip_buckets(spark, sf_dir))
 
 
@@ -270,3 +271,10 @@ def spatial_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     build = lambda: trip_spatial_index(grid_points(spark, sf_dir))
     return staged(spark, "trip_spatial_index", sf_dir, build, KEY, ["first_point_seq"], trip_buckets(spark, sf_dir))
+
+
+def track_chunk(spark: SparkSession, sf_dir: str) -> int | None:
+    """Chunk length trip windows need on the staged points (none for short trips)."""
+    from wayloom.operators.sequence import chunking
+
+    return chunking(taxi_points(spark, sf_dir), KEY)
