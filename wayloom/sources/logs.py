@@ -22,9 +22,8 @@ def read_raw_log(spark: SparkSession, folder: str, taxi_ids: Sequence[int] | Non
 def read_markdown(spark: SparkSession, folder: str, allow: str = r".*\.md$") -> DataFrame:
     """Markdown files below a folder as (path, content); a leading byte-order mark is removed."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(folder)
+        spark.read.option("recursiveFileLookup", True)
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
     return files.filter(F.col("path").rlike(allow)).withColumn("content", F.regexp_replace("content", "^\\x{FEFF}", ""))
