@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folder: str | None = None
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
@@ -21,24 +22,33 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.local.dir", os.environ.get("SPARK_LOCAL_DIR") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor never forces a long replay.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is used only
-    when the session names none (tests on one machine).
+    Only a session on one machine (tests, the benchmark) may lack the setting and gets a
+    temporary folder; on a cluster its absence is an error, since executors could not
+    read each other's files.
     """
+    global _local_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if _local_folder is None:
+            _local_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = _local_folder
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, so a lost executor never forces a long replay."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Mark a frame that a plan reads more than once; spills to disk when large."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

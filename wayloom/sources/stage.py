@@ -10,25 +10,19 @@ from __future__ import annotations
 
 import hashlib
 import math
-import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayloom.session import checkpoint_folder
+
 ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 100_000
-_local_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the checkpoint folder of the session."""
-    global _local_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if _local_folder is None:
-            _local_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        folder = _local_folder
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+    return f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}"
 
 
 def bucket_count(spark: SparkSession, expected_rows: int) -> int:
