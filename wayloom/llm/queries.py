@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm import decontam
+from wayloom.llm import chat, decontam, html, licenses, mixing, urls
 from wayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,29 @@ def query(name: str, oracle: str | None = None):
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op2_tool_call_linking")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.messages_to_calls(table(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(calls, results, chat.default_schemas(spark))
+
+
+@query("op3_source_mix", mixing.ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(spark, sf_dir)
+
+
+@query("op7_url_rules", urls.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op9_html_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
