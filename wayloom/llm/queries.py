@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm import chat, decontam, html, licenses, mixing, urls
+from wayloom.llm import chat, decontam, html, licenses, media, mixing, urls
 from wayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(spark, sf_dir)
 
 
+@query("op5_gif_media")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 @query("op7_url_rules", urls.ORACLE)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
