@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm import chat, decontam, html, licenses, media, mixing, toxicity, urls
+from wayloom.llm import chat, decontam, html, licenses, lines, media, mixing, toxicity, urls
 from wayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+@query("op8_line_dedup", lines.ORACLE)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_deleted"))
+
+
 @query("op9_html_main_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -338,6 +338,7 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep_te
     rows = docs.select(*[c for c in docs.columns if c not in ADDED])
     others = [c for c in rows.columns if keep_text or c != text_col]
     place = rows.columns.index(text_col)
+    kept = [rows.columns.index(c) for c in others]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -372,7 +373,7 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep_te
             if pending:
                 flush()
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(rows.columns.index(c)) for c in others), pa.array(scores, pa.float64()),
+                [*(batch.column(c) for c in kept), pa.array(scores, pa.float64()),
                  pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(counts, pa.int64()), pa.array(expected, pa.float64()), pa.array(spans, SPANS)],
                 [*others, *ADDED],
             )
