@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm import chat, decontam, html, licenses, lines, media, mixing, toxicity, urls
+from wayloom.llm import chat, decontam, html, jaccard, licenses, lines, media, mixing, toxicity, urls
 from wayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(spark, sf_dir)
 
 
+@query("op4_ngram_jaccard", jaccard.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op5_gif_media")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_texts(table(spark, sf_dir, "documents")))

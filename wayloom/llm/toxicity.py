@@ -332,58 +332,67 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa
 ADDED = ("score", "predicted", "n_words", "n_toxic", "spans")
 
 
+def _judged(batches: Iterator[pa.RecordBatch], place: int, model: Model) -> Iterator[tuple[pa.RecordBatch, list, list, list, list]]:
+    """Each batch with the scores, word counts, expected toxic words and spans of the texts in its column ``place``."""
+    coder = Coder(model.forms)
+    for batch in batches:
+        texts = batch.column(place)
+        scores: list[float] = []
+        counts: list[int] = []
+        expected: list[float] = []
+        spans: list[list[dict]] = []
+        pending: list[list[bytes]] = []
+        size = 0
+        for i in range(len(texts) + 1):
+            if pending and (i == len(texts) or size >= WORDS_AT_ONCE):
+                p, bounds = _marginals_of(pending, coder, model)
+                features = _document_features(p, bounds)
+                scores.extend(_scores(features, model).tolist())
+                expected.extend(np.expm1(features[:, 0]).tolist())
+                done = len(spans)
+                for j in range(len(pending)):
+                    spans.append(spans_of(texts[done + j].as_py(), p[bounds[j] : bounds[j + 1]]) if features[j, 2] >= 0.5 else [])
+                pending, size = [], 0
+            if i < len(texts):
+                words = plain_words(texts[i].as_py())
+                counts.append(len(words))
+                pending.append(words)
+                size += len(words)
+        yield batch, scores, counts, expected, spans
+
+
+def _schema(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
+
+
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with score, predicted (1 from ``THRESHOLD`` on), n_words, n_toxic (expected toxic words) and spans."""
+    """``docs`` with score, predicted (1 from ``THRESHOLD`` on), n_words, n_toxic (expected toxic words) and spans in place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[c for c in docs.columns if c not in ADDED])
-    others = [c for c in rows.columns if keep_text or c != text_col]
     place = rows.columns.index(text_col)
+    others = [c for c in rows.columns if keep_text or c != text_col]
     kept = [rows.columns.index(c) for c in others]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        coder = Coder(known.forms)
-        for batch in batches:
-            texts = batch.column(place)
-            scores, counts, expected, spans = [], [], [], []
-            done = 0
-            pending: list[list[bytes]] = []
-            size = 0
-
-            def flush() -> None:
-                nonlocal done, size
-                p, bounds = _marginals_of(pending, coder, known)
-                features = _document_features(p, bounds)
-                scores.extend(_scores(features, known).tolist())
-                expected.extend(np.expm1(features[:, 0]).tolist())
-                for i in range(len(pending)):
-                    part = p[bounds[i] : bounds[i + 1]]
-                    spans.append(spans_of(texts[done + i].as_py(), part) if features[i, 2] >= 0.5 else [])
-                done += len(pending)
-                pending.clear()
-                size = 0
-
-            for text in texts:
-                words = plain_words(text.as_py())
-                counts.append(len(words))
-                pending.append(words)
-                size += len(words)
-                if size >= WORDS_AT_ONCE:
-                    flush()
-            if pending:
-                flush()
+        for batch, scores, counts, expected, spans in _judged(batches, place, shared.value):
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(scores, pa.float64()),
-                 pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(counts, pa.int64()), pa.array(expected, pa.float64()), pa.array(spans, SPANS)],
+                [*(batch.column(c) for c in kept), pa.array(scores, pa.float64()), pa.array([int(x >= THRESHOLD) for x in scores], pa.int32()),
+                 pa.array(counts, pa.int64()), pa.array(expected, pa.float64()), pa.array(spans, SPANS)],
                 [*others, *ADDED],
             )
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in others)
-    return rows.mapInArrow(judge, f"{schema}score double, predicted int, n_words long, n_toxic double, spans array<struct<start:long,end:long,p:double>>")
+    return rows.mapInArrow(
+        judge, f"{_schema(rows, others)}, score double, predicted int, n_words long, n_toxic double, spans array<struct<start:long,end:long,p:double>>"
+    )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents predicted toxic, columns unchanged."""
-    model = fit(docs, labels)
-    marked = with_toxicity(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")), model)
-    return marked.filter("predicted = 0").select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    place = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores, _, _, _ in _judged(batches, place, shared.value):
+            yield batch.filter(pa.array([x < THRESHOLD for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
