@@ -254,7 +254,7 @@ def _components(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: id_col, node, n_shingles, component_id (smallest id of the component)."""
+    """One row per row of ``docs``: id_col, node, n_shingles, component_id (smallest id of the component), component (its node)."""
     prints = keep_table(set_prints(docs, id_col, text_col))
     classes = keep_table(
         prints.filter("n > 0").groupBy("print").agg(F.min("node").alias("rep"), F.min(id_col).alias("low"), F.min("n").alias("n"))
@@ -267,10 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = _components(found, sets, percent)
     labelled = classes.join(comp, F.col("rep") == F.col("node"), "left").select("print", "low", F.coalesce("comp", "rep").alias("comp"))
     lowest = labelled.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_print = labelled.join(lowest, "comp").select("print", "component_id")
+    by_print = labelled.join(lowest, "comp").select("print", "component_id", F.col("comp").alias("component"))
     return prints.join(by_print, "print", "left").select(
         id_col, "node", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"), "component",
     )
 
 
@@ -280,7 +280,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that repeat this doc_id are reduced to the one with the smallest node key; texts without words all stay.
     """
     found = keep_table(near_duplicates(docs))
-    kept = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("node"))).alias("_node"))
+    kept = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("node"))).alias("_node"))
     bare = found.filter("n_shingles = 0").select(F.col("node").alias("_node"))
     named = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     chosen = named.join(kept.select("_node").unionByName(bare).distinct(), F.col("_key") == F.col("_node"), "left_semi")
