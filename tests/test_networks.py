@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from wayloom.operators import matching, routes
-from wayloom.operators.corridors import backbone, choose_source
+from wayloom.operators.corridors import backbone
 from wayloom.operators.graph import connected_components
 
 
@@ -95,15 +95,6 @@ def test_backbone_grows_both_ways_and_leaves_branches():
     assert [part["road_uid"][k] for k in backbone(part)] == [1, 2, 3, 5]
 
 
-def test_source_routing():
-    from datetime import datetime
-
-    day = datetime(2008, 2, 2)
-    assert choose_source(day, day.replace(hour=6), ["passes", "group_hourly"]) == "passes"
-    assert choose_source(day, day.replace(hour=7), ["passes", "group_hourly"]) == "group_hourly"
-    assert choose_source(day, day.replace(hour=7), ["passes"]) == "passes"
-
-
 def test_similar_sets_equal_all_pairs(spark):
     rng = random.Random(2)
     words = [chr(97 + k) for k in range(14)]

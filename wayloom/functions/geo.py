@@ -44,12 +44,6 @@ class Box:
         return F.lit(self.min_lon), F.lit(self.min_lat), F.lit(self.max_lon), F.lit(self.max_lat)
 
 
-def check_span(box: Box, max_lon_span: float, max_lat_span: float) -> None:
-    """Refuse boxes wider than an analysis allows."""
-    if box.max_lon - box.min_lon > max_lon_span or box.max_lat - box.min_lat > max_lat_span:
-        raise ValueError("box is too large for this analysis")
-
-
 def point(lon: Column, lat: Column) -> Column:
     return F.struct(lon.alias("lon"), lat.alias("lat"))
 

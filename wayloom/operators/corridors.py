@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 from datetime import datetime
 
 import numpy as np
@@ -21,7 +20,6 @@ from wayloom.session import cut_lineage
 from wayloom.sources.tables import oneway_mode
 
 # Fixed values of the corridor rules.
-EXACT_WINDOW_HOURS = 6.0
 CLUSTER_EPS_DEG = 0.00018
 STITCH_GAP_M = 120.0
 LONG_GAP_M = 260.0
@@ -34,20 +32,6 @@ RAW_PAIRS_PER_FAMILY = 4
 CORRIDOR = ["road_group_key", "direction"]
 
 
-def choose_source(start: datetime, end: datetime, available: Iterable[str]) -> str:
-    """Which table answers a window: exact passes for short ones, rollups otherwise."""
-    if start >= end:
-        raise ValueError("start must be earlier than end")
-    have = set(available)
-    hours = (end - start).total_seconds() / 3600.0
-    if "passes" in have and hours <= EXACT_WINDOW_HOURS:
-        return "passes"
-    for name in ("group_hourly", "road_hourly", "passes", "edges"):
-        if name in have:
-            return name
-    raise ValueError("no corridor source is available")
-
-
 def keyed_roads(roads: DataFrame, box: geo.Box | None = None) -> DataFrame:
     """Segments with corridor attributes, optionally only those whose box meets the area."""
     rows = roads.select(
@@ -63,7 +47,6 @@ def keyed_roads(roads: DataFrame, box: geo.Box | None = None) -> DataFrame:
         *[c.alias("r_" + n) for c, n in zip(geo.line_box(F.col("coords")), ("min_lon", "min_lat", "max_lon", "max_lat"))],
     )
     if box is not None:
-        geo.check_span(box, 0.7, 0.5)
         rows = rows.filter(
             (F.col("r_min_lon") <= box.max_lon)
             & (F.col("r_max_lon") >= box.min_lon)
@@ -572,10 +555,7 @@ def corridors_rollup(
     pairs = families.filter(F.col("family_rank") <= RAW_PAIRS_PER_FAMILY).join(
         finalists.select(F.col("road_group_key").alias("family"), "direction"), ["family", "direction"], "left_semi"
     )
-    # At most candidate_limit(top_k) pairs.
-    stats = rollup_edge_stats(hourly, keyed, start, end).join(
-        F.broadcast(pairs.select(*CORRIDOR, "family")), CORRIDOR
-    )
+    stats = rollup_edge_stats(hourly, keyed, start, end).join(pairs.select(*CORRIDOR, "family"), CORRIDOR)
     stats = stats.withColumn("road_group_key", F.col("family")).withColumn("road_name", F.col("family")).drop("family")
     placed = _built(stats)
     shapes = merge_components(component_rows(placed, min_group_length_m), placed)
@@ -605,11 +585,11 @@ def corridors_from_edges(
     end: datetime,
     top_k: int = 50,
     min_group_length_m: float = 300,
-    max_trips: int = 500,
+    max_trips: int | None = None,
     sort_mode: str = "frequency",
     box: geo.Box | None = None,
 ) -> DataFrame:
-    """Answer from raw edge sequences of the earliest trips when no rollup exists."""
+    """Answer from raw edge sequences when no rollup exists; with ``max_trips`` of the earliest trips only."""
     keyed = keyed_roads(roads, box)
     lengths = keyed.groupBy("road_group_key").agg(F.sum("segment_length_m").alias("group_length_m"))
     eligible = keyed.drop("u", "v", "coords").join(
@@ -617,11 +597,11 @@ def corridors_from_edges(
     )
     window = overlapping(od.select(*TRIP, "start_time", "end_time"), start, end)
     on_road = edges.join(eligible.select("road_uid"), "road_uid", "left_semi")
-    trips = (
-        window.join(on_road.select(*TRIP).distinct(), TRIP, "left_semi").orderBy("start_time", *TRIP).limit(max_trips).select(*TRIP)
-    )
+    trips = window.select(*TRIP)
+    if max_trips is not None:
+        trips = window.join(on_road.select(*TRIP).distinct(), TRIP, "left_semi").orderBy("start_time", *TRIP).limit(max_trips).select(*TRIP)
     segments = (
-        on_road.join(F.broadcast(trips), TRIP, "left_semi").select(*TRIP, "road_uid", "direction").distinct().join(eligible, "road_uid")
+        on_road.join(trips, TRIP, "left_semi").select(*TRIP, "road_uid", "direction").distinct().join(eligible, "road_uid")
     )
     per_trip = segments.groupBy(*CORRIDOR, *TRIP).agg(F.lit(1).alias("one"))
     per_taxi = per_trip.groupBy(*CORRIDOR, "taxi_id").agg(F.count("*").alias("n"))

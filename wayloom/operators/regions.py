@@ -11,8 +11,7 @@ from wayloom.functions import geo, hexgrid
 from wayloom.operators.sequence import CHUNK_SECONDS, neighbour, seconds_between
 from wayloom.operators.trips import TRIP, filter_points, time_window
 
-MAX_BOXES = 512
-
+FINEST_CELL = 0.01
 
 def bucket(time: Column, granularity: str) -> Column:
     """Hour or day a moment belongs to."""
@@ -37,26 +36,36 @@ def active_vehicles(points: DataFrame, start: datetime, end: datetime, box: geo.
 
 
 def box_hits(
-    points: DataFrame, boxes: DataFrame, start: datetime, end: datetime, taxi_range: tuple[int, int] = (1, 10357)
+    points: DataFrame, boxes: DataFrame, start: datetime, end: datetime, taxi_range: tuple[int, int] | None = None
 ) -> DataFrame:
     """Distinct (taxi, trip, box) visits.
 
-    Boxes come from the request. Up to a fixed number they are broadcast and tested per
-    point; a larger table is joined through degree cells instead.
+    Points and boxes meet in square cells. A box is filed on the level of a doubling
+    pyramid where it spans at most two cells each way, so that large boxes do not make
+    more rows than small ones; a point looks once per level that holds a box.
     """
-    low, high = taxi_range
-    if low > high:
-        raise ValueError("taxi range is reversed")
-    rows = points.filter(time_window(start, end) & F.col("taxi_id").between(low, high)).select(*TRIP, "lon", "lat")
-    if boxes.limit(MAX_BOXES + 1).count() <= MAX_BOXES:
-        hits = rows.join(F.broadcast(boxes), geo.in_box_columns(F.col("lon"), F.col("lat")))
-    else:
-        xs, ys = geo.explode_box_cells(0.01)
-        cells = boxes.withColumn("_x", F.explode(xs)).withColumn("_y", F.explode(ys))
-        placed = rows.withColumn("_x", geo.degree_cell(F.col("lon"), 0.01)).withColumn(
-            "_y", geo.degree_cell(F.col("lat"), 0.01)
-        )
-        hits = placed.join(cells, ["_x", "_y"]).filter(geo.in_box_columns(F.col("lon"), F.col("lat")))
+    rows = points.filter(time_window(start, end)).select(*TRIP, "lon", "lat")
+    if taxi_range is not None:
+        low, high = taxi_range
+        if low > high:
+            raise ValueError("taxi range is reversed")
+        rows = rows.filter(F.col("taxi_id").between(low, high))
+    side = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"), F.lit(FINEST_CELL))
+    leveled = boxes.withColumn("_level", F.ceil(F.log2(side / FINEST_CELL)).cast("int"))
+
+    def cell(value: Column, level: Column) -> Column:
+        return F.floor(value / (F.pow(F.lit(2.0), level) * FINEST_CELL)).cast("long")
+
+    def span(low: str, high: str) -> Column:
+        return F.sequence(cell(F.col(low), F.col("_level")), cell(F.col(high), F.col("_level")))
+
+    cells = leveled.withColumn("_x", F.explode(span("min_lon", "max_lon"))).withColumn("_y", F.explode(span("min_lat", "max_lat")))
+    levels = [r["_level"] for r in leveled.select("_level").distinct().collect()]  # at most some twenty for boxes on earth
+    if not levels:
+        return rows.select(*TRIP).crossJoin(boxes.select("box_index"))
+    placed = rows.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    placed = placed.withColumn("_x", cell(F.col("lon"), F.col("_level"))).withColumn("_y", cell(F.col("lat"), F.col("_level")))
+    hits = placed.join(cells, ["_level", "_x", "_y"]).filter(geo.in_box_columns(F.col("lon"), F.col("lat")))
     return hits.select(*TRIP, "box_index").distinct()
 
 
@@ -64,19 +73,22 @@ def vehicles_in_union(hits: DataFrame) -> DataFrame:
     return hits.select("taxi_id").distinct().agg(F.count("*").alias("active_vehicle_count"))
 
 
-def union_vehicles(hits: DataFrame, row_limit: int = 10357) -> DataFrame:
-    """Boxes and number of trips per vehicle, first vehicles by id."""
+def union_vehicles(hits: DataFrame, row_limit: int | None = None) -> DataFrame:
+    """Boxes and number of trips per vehicle; with ``row_limit`` only the first vehicles by id."""
     per_trip = hits.groupBy(*TRIP).agg(F.collect_set("box_index").alias("boxes"))
     per_box = hits.groupBy("taxi_id", "box_index").agg(F.lit(1).alias("one"))
     boxes = per_box.groupBy("taxi_id").agg(F.sort_array(F.collect_set("box_index")).alias("hit_boxes"))
     trips = per_trip.groupBy("taxi_id").agg(F.count("*").alias("hit_trip_count"))
-    return boxes.join(trips, "taxi_id").orderBy("taxi_id").limit(row_limit)
+    found = boxes.join(trips, "taxi_id")
+    return found if row_limit is None else found.orderBy("taxi_id").limit(row_limit)
 
 
-def union_trips(hits: DataFrame, row_limit: int = 10357) -> DataFrame:
+def union_trips(hits: DataFrame, row_limit: int | None = None) -> DataFrame:
     """Trips of the listed vehicles, one row each, so a busy vehicle never forms one huge value."""
-    listed = hits.select("taxi_id").distinct().orderBy("taxi_id").limit(row_limit)
-    return hits.select(*TRIP).distinct().join(F.broadcast(listed), "taxi_id", "left_semi")
+    trips = hits.select(*TRIP).distinct()
+    if row_limit is None:
+        return trips
+    return trips.join(hits.select("taxi_id").distinct().orderBy("taxi_id").limit(row_limit), "taxi_id", "left_semi")
 
 
 def vehicles_per_box(hits: DataFrame) -> DataFrame:
@@ -94,14 +106,13 @@ def grid_density(
     box: geo.Box,
     cell_m: int = 500,
     count_vehicles: bool = False,
-    max_cells: int = 3000,
+    max_cells: int | None = None,
 ) -> DataFrame:
-    """Busiest mercator cells of a box.
+    """Mercator cells of a box with their points; with ``max_cells`` only the busiest.
 
     The request box is widened to whole cells; ``total_points`` still counts only the
     points inside the box as requested.
     """
-    geo.check_span(box, 0.8, 0.6)
     snapped = geo.snap_box_to_mercator(box, cell_m)
     lon, lat = F.col("lon"), F.col("lat")
     rows = points.filter(time_window(start, end) & geo.in_box(lon, lat, snapped)).select(
@@ -124,11 +135,11 @@ def grid_density(
         )
     west, east = F.col("i") * cell_m, (F.col("i") + 1) * cell_m
     south, north = F.col("j") * cell_m, (F.col("j") + 1) * cell_m
+    found = with_totals(cells, total_points=F.sum("asked_n"))
+    if max_cells is not None:
+        found = found.orderBy(F.col("point_count").desc(), "i", "j").limit(max_cells)
     return (
-        with_totals(cells, total_points=F.sum("asked_n"))
-        .orderBy(F.col("point_count").desc(), "i", "j")
-        .limit(max_cells)
-        .select(
+        found.select(
             "i",
             "j",
             "point_count",

@@ -28,7 +28,6 @@ RADIUS = 6371008.8
 THRESHOLDS = (0.78, 0.70, 0.62, 0.55, 0.48, 0.42)
 STOP_SHARE = 0.9
 SKELETON_SHARE = 0.35
-MAX_CANDIDATE_LIMIT = 50_000
 
 
 @dataclass(frozen=True)
@@ -45,7 +44,7 @@ class RouteQuery:
     min_support: int = 3
     min_edge_m: float = 20.0
     min_route_m: float = 500.0
-    max_candidates: int = 10_000
+    max_candidates: int | None = None
     hours: tuple[int, ...] | None = None
     minutes: tuple[int, int] | None = None
 
@@ -54,8 +53,8 @@ class RouteQuery:
             raise ValueError("start must be earlier than end")
         if self.mode not in ("pass_through", "strict_od"):
             raise ValueError("mode is pass_through or strict_od")
-        if not 0 < self.max_candidates <= MAX_CANDIDATE_LIMIT:
-            raise ValueError("max_candidates is out of range")
+        if self.max_candidates is not None and self.max_candidates < 1:
+            raise ValueError("max_candidates must be positive")
 
     @property
     def a(self) -> geo.Box:
@@ -79,19 +78,17 @@ def window_trips(od: DataFrame, q: RouteQuery) -> DataFrame:
 
 
 def grid_hits(index: DataFrame, trips: DataFrame, q: RouteQuery) -> DataFrame:
-    """Trips touching a cell of A and later a cell of B, earliest first."""
+    """Trips touching a cell of A and later a cell of B."""
     a_keys, b_keys = geo.box_cell_keys(q.a, GRID_STEP), geo.box_cell_keys(q.b, GRID_STEP)
     touched = index.filter(F.col("grid_key").isin(a_keys + b_keys)).join(trips, TRIP)
     first_a = touched.filter(F.col("grid_key").isin(a_keys)).groupBy(*TRIP, "start_time").agg(F.min("first_point_seq").alias("a_seq"))
-    later = (
+    return (
         touched.filter(F.col("grid_key").isin(b_keys))
         .join(first_a.select(*TRIP, "a_seq"), TRIP)
         .filter(F.col("first_point_seq") > F.col("a_seq"))
         .select(*TRIP, "start_time")
         .distinct()
     )
-    limit = min(max(q.max_candidates * 5, q.max_candidates + 1000), MAX_CANDIDATE_LIMIT)
-    return later.orderBy("start_time", *TRIP).limit(limit)
 
 
 def passage_times(points: DataFrame, trips: DataFrame, q: RouteQuery) -> DataFrame:
@@ -104,7 +101,7 @@ def passage_times(points: DataFrame, trips: DataFrame, q: RouteQuery) -> DataFra
             *TRIP, "point_seq", "gps_time", geo.in_box(lon, lat, q.a).alias("in_a"), geo.in_box(lon, lat, q.b).alias("in_b")
         )
         .filter("in_a OR in_b")
-        .join(F.broadcast(trips), TRIP)
+        .join(trips, TRIP)
     )
     trip = [*TRIP, "start_time"]
     first_a = near.filter("in_a").groupBy(*trip).agg(F.min("point_seq").alias("a1"), F.min("gps_time").alias("t1"))
@@ -170,7 +167,7 @@ def departure_filter(rows: DataFrame, q: RouteQuery) -> DataFrame:
 def candidates(
     od: DataFrame, index: DataFrame, grid_points: DataFrame, edges: DataFrame, q: RouteQuery
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Candidate passages in order, and the frames of every stage for its counters."""
+    """Candidate passages, all of them unless the query names a number, and the frames of every stage for its counters."""
     stages: dict[str, DataFrame] = {"window": window_trips(od, q)}
     if q.mode == "pass_through":
         stages["grid"] = grid_hits(index, stages["window"], q)
@@ -179,7 +176,9 @@ def candidates(
         stages["precise"] = strict_times(od, q)
     stages["departure"] = departure_filter(stages["precise"], q)
     stages["matched"] = stages["departure"].join(edges.select(*TRIP), TRIP, "left_semi")
-    chosen = stages["matched"].orderBy("start_time", *TRIP).limit(q.max_candidates)
+    chosen = stages["matched"]
+    if q.max_candidates is not None:
+        chosen = chosen.orderBy("start_time", *TRIP).limit(q.max_candidates)
     return chosen.select(*TRIP, "start_time", "a_enter_time", "b_enter_time", "duration_seconds"), stages
 
 
@@ -236,7 +235,7 @@ def route_features(roads: DataFrame, q: RouteQuery) -> DataFrame:
 
 def sampled_trips(chosen: DataFrame, edges: DataFrame, features: DataFrame, q: RouteQuery) -> DataFrame:
     """Passages with their A→B edge slice, length and tokens; numbered in candidate order."""
-    walked = edges.join(F.broadcast(chosen.select(*TRIP)), TRIP, "left_semi").join(features, "road_uid")
+    walked = edges.join(chosen.select(*TRIP), TRIP, "left_semi").join(features, "road_uid")
     whole = Window.partitionBy(*TRIP)
     ordered = whole.orderBy("edge_seq", "road_uid")
     seq = F.col("edge_seq")
@@ -588,7 +587,7 @@ def representative_lines(picked: DataFrame, trips: DataFrame, edges: DataFrame,
         features.select("road_uid", "in_a", "in_b"), "road_uid"
     )
     part = (
-        edges.join(F.broadcast(slices), TRIP)
+        edges.join(slices, TRIP)
         .filter(F.col("edge_seq").between(F.col("a_seq"), F.col("b_seq")))
         .join(shape, "road_uid")
         .withColumn("line", F.when(F.col("direction") < 0, F.reverse("coords")).otherwise(F.col("coords")))

@@ -30,11 +30,6 @@ def chunking(points: DataFrame, keys: Sequence[str], limit: int = LONGEST_PLAIN_
     return None if (longest or 0) <= limit else CHUNK_SECONDS
 
 
-def seconds_of(time: Column) -> Column:
-    """Microsecond-exact seconds since the epoch."""
-    return F.unix_micros(time.cast("timestamp")) / 1e6
-
-
 def seconds_between(earlier: Column, later: Column) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 1e6
 
@@ -43,6 +38,22 @@ def chunk_of(time: Column, seconds: int = CHUNK_SECONDS) -> Column:
     return F.floor(F.unix_micros(time.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def _renames(names: Sequence[str]) -> dict[str, str]:
+    return {n: f"_of_{n}" for n in names}
+
+
+def _renamed(names: Sequence[str]) -> list[str]:
+    return list(_renames(names).values())
+
+
+def _same(right: DataFrame, names: Sequence[str]) -> Column:
+    """Equality of the keys with nulls being equal, as windows see them."""
+    condition = F.lit(True)
+    for name, other in _renames(names).items():
+        condition = condition & F.col(name).eqNullSafe(right[other])
+    return condition
+
+
 def _fields(names: Sequence[str]) -> Column:
     return F.struct(*names)
 
@@ -76,12 +87,13 @@ def neighbour(
         .agg(edge(_fields(fields), F.struct(*order)).alias("_edge"))
         .select(*keys, CHUNK, shift("_edge").over(across).alias("_across"))
         .filter(F.col("_across").isNotNull())
+        .withColumnsRenamed(_renames([*keys, CHUNK]))
     )
     return (
         chunked.withColumn("_inside", shift(_fields(fields)).over(inside))
-        .join(borders, [*keys, CHUNK], "left")
+        .join(borders, _same(borders, [*keys, CHUNK]), "left")
         .withColumn(out, F.coalesce("_inside", "_across"))
-        .drop("_inside", "_across", CHUNK)
+        .drop("_inside", "_across", CHUNK, *_renamed([*keys, CHUNK]))
     )
 
 
@@ -108,12 +120,13 @@ def running_sum(
         .agg(F.sum("_value").alias("_total"))
         .select(*keys, CHUNK, F.sum("_total").over(before).alias("_before"))
         .filter(F.col("_before").isNotNull())
+        .withColumnsRenamed(_renames([*keys, CHUNK]))
     )
     return (
         chunked.withColumn("_inside", F.sum("_value").over(inside))
-        .join(offsets, [*keys, CHUNK], "left")
+        .join(offsets, _same(offsets, [*keys, CHUNK]), "left")
         .withColumn(out, F.col("_inside") + F.coalesce("_before", F.lit(0)))
-        .drop("_value", "_inside", "_before", CHUNK)
+        .drop("_value", "_inside", "_before", CHUNK, *_renamed([*keys, CHUNK]))
     )
 
 

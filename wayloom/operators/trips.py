@@ -129,17 +129,17 @@ def polylines(
     end: datetime,
     taxi_id: int | None = None,
     box: geo.Box | None = None,
-    max_trips: int = 300,
+    max_trips: int | None = None,
     tolerance: float = 0.0,
     **break_rules: float | None,
 ) -> DataFrame:
-    """Track lines of the earliest trips, cut where the signal is implausible."""
+    """Track lines, cut where the signal is implausible; with ``max_trips`` only the earliest trips and lines."""
     from wayloom.operators.lines import simplify
 
     rows = filter_points(points, start, end, taxi_id, box)
-    chosen = candidate_trips(rows, max_trips).select(*TRIP)
-    # At most max_trips (<= 5000 by the interface) keys are broadcast.
-    segments = segment_points(rows.join(F.broadcast(chosen), TRIP, "left_semi"), **break_rules)
+    if max_trips is not None:
+        rows = rows.join(candidate_trips(rows, max_trips).select(*TRIP), TRIP, "left_semi")
+    segments = segment_points(rows, **break_rules)
     lines = (
         segments.groupBy(*TRIP, "segment_id")
         .agg(
@@ -162,9 +162,9 @@ def polylines(
             "total_segment_count",
             "coords",
         )
-        .orderBy("start_time", "taxi_id", "trip_id")
-        .limit(max_trips)
     )
+    if max_trips is not None:
+        shown = shown.orderBy("start_time", "taxi_id", "trip_id").limit(max_trips)
     return simplify(shown, "coords", tolerance) if tolerance > 0 else shown
 
 
@@ -186,18 +186,16 @@ def matched_in_box(
     start: datetime,
     end: datetime,
     box: geo.Box | None = None,
-    taxi_range: tuple[int, int] = (1, 10357),
+    taxi_range: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Matched trips with at least one raw point in the window and box."""
-    low, high = taxi_range
-    if low > high:
-        raise ValueError("taxi range is reversed")
-    seen = (
-        filter_points(points, start, end, None, box)
-        .filter(F.col("taxi_id").between(low, high))
-        .groupBy(*TRIP)
-        .agg(F.min("gps_time").alias("start_time"), F.max("gps_time").alias("end_time"))
-    )
+    rows = filter_points(points, start, end, None, box)
+    if taxi_range is not None:
+        low, high = taxi_range
+        if low > high:
+            raise ValueError("taxi range is reversed")
+        rows = rows.filter(F.col("taxi_id").between(low, high))
+    seen = rows.groupBy(*TRIP).agg(F.min("gps_time").alias("start_time"), F.max("gps_time").alias("end_time"))
     return matched.join(seen, TRIP)
 
 
@@ -208,8 +206,9 @@ def matched_counts(found: DataFrame) -> DataFrame:
     )
 
 
-def matched_detail(found: DataFrame, limit: int = 1200) -> DataFrame:
-    return found.orderBy(F.col("start_time").desc(), "taxi_id", "trip_id").limit(min(limit, 1200))
+def matched_detail(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """All found trips, or the latest ``limit``."""
+    return found if limit is None else found.orderBy(F.col("start_time").desc(), "taxi_id", "trip_id").limit(limit)
 
 
 def raw_and_matched(points: DataFrame, matched: DataFrame) -> DataFrame:

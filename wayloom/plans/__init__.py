@@ -1,14 +1,6 @@
 """Registered queries with the SQL they are checked against."""
 
-from importlib import import_module
-
+from wayloom.plans import cleaning, corridors, matching, regions, retrieval, roads, routes, trips
 from wayloom.plans.registry import ORACLES, QUERIES
 
-for _module in ("cleaning", "trips", "regions", "roads", "matching", "corridors", "routes", "retrieval"):
-    try:
-        import_module(f"wayloom.plans.{_module}")
-    except ModuleNotFoundError as missing:
-        if missing.name != f"wayloom.plans.{_module}":
-            raise
-
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "cleaning", "corridors", "matching", "regions", "retrieval", "roads", "routes", "trips"]

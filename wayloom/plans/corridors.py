@@ -213,7 +213,7 @@ def corridors_rollup(spark, sf_dir):
         *FACTS,
         """glen AS (SELECT road_group_key, sum(segment_length_m) AS group_length_m FROM featured GROUP BY 1 HAVING sum(segment_length_m) >= 2000),
 elig AS (SELECT f.*, group_length_m FROM featured f JOIN glen USING (road_group_key)),
-tr AS (SELECT DISTINCT taxi_id, trip_id, start_time FROM od JOIN edges USING (taxi_id, trip_id) WHERE road_uid IN (SELECT road_uid FROM elig) ORDER BY start_time, taxi_id, trip_id LIMIT 500),
+tr AS (SELECT DISTINCT taxi_id, trip_id, start_time FROM od JOIN edges USING (taxi_id, trip_id) WHERE road_uid IN (SELECT road_uid FROM elig)),
 segs AS (SELECT DISTINCT taxi_id, trip_id, direction, elig.* FROM edges JOIN tr USING (taxi_id, trip_id) JOIN elig USING (road_uid)),
 flows AS (SELECT road_group_key, direction, count(DISTINCT trip_id) AS trip_count, count(DISTINCT taxi_id) AS vehicle_count FROM segs GROUP BY ALL),
 uniq AS (SELECT DISTINCT road_group_key, direction, road_uid, highway, segment_length_m, group_length_m FROM segs),

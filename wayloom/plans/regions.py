@@ -31,13 +31,13 @@ HITS = (
     + f""",
 hits AS (SELECT DISTINCT taxi_id, trip_id, box_index FROM points p JOIN boxes b
   ON p.lon BETWEEN b.min_lon AND b.max_lon AND p.lat BETWEEN b.min_lat AND b.max_lat
-  WHERE {IN_TIME} AND taxi_id BETWEEN 1 AND 180)"""
+  WHERE {IN_TIME})"""
 )
 
 
 def _hits(spark, sf_dir):
     boxes = box_table(spark, BOXES)
-    return op.box_hits(lattice.taxi_points(spark, sf_dir), boxes, START, END, (1, 180))
+    return op.box_hits(lattice.taxi_points(spark, sf_dir), boxes, START, END)
 
 
 @query("boxes_union_count", with_(POINTS, HITS) + " SELECT count(DISTINCT taxi_id) AS active_vehicle_count FROM hits")
@@ -71,7 +71,7 @@ def boxes_vehicle_counts(spark, sf_dir):
 DENSITY_BOX = geo.Box(116.22, 39.82, 116.52, 40.05)
 
 
-def _density_sql(box: geo.Box, cell_m: int, limit: int, vehicles: bool) -> str:
+def _density_sql(box: geo.Box, cell_m: int, vehicles: bool) -> str:
     snapped = geo.snap_box_to_mercator(box, cell_m)
     half = repr(geo.MERCATOR_HALF_M)
     lat_of = f"degrees(atan(sinh({{}} * pi() / {half})))"
@@ -85,30 +85,30 @@ def _density_sql(box: geo.Box, cell_m: int, limit: int, vehicles: bool) -> str:
   floor(ln(tan((lat + 90.0) * pi() / 360.0)) * {half} / pi() / {cell_m})::INT AS j
   FROM points WHERE {IN_TIME} AND {inside(snapped)}),
 cells AS (SELECT i, j, count(*) AS point_count, {count} AS vehicle_count, count(*) FILTER (asked) AS asked_n FROM placed GROUP BY i, j),
-top AS (SELECT *, (SELECT sum(asked_n) FROM cells)::BIGINT AS total_points FROM cells ORDER BY point_count DESC, i, j LIMIT {limit}),
+top AS (SELECT *, (SELECT sum(asked_n) FROM cells)::BIGINT AS total_points FROM cells),
 density AS (SELECT i, j, point_count, vehicle_count, total_points, round({west}, 6) AS min_lon, round({south}, 6) AS min_lat,
   round({east}, 6) AS max_lon, round({north}, 6) AS max_lat, round(({west} + {east}) / 2, 6) AS center_lon,
   round(({south} + {north}) / 2, 6) AS center_lat FROM top)""",
     )
 
 
-@query("grid_density", _density_sql(DENSITY_BOX, 500, 3000, False) + " SELECT * FROM density")
+@query("grid_density", _density_sql(DENSITY_BOX, 500, False) + " SELECT * FROM density")
 def grid_density(spark, sf_dir):
     return rounded(op.grid_density(lattice.taxi_points(spark, sf_dir), START, END, DENSITY_BOX))
 
 
-@query("grid_density_vehicles", _density_sql(WHOLE, 1000, 12000, True) + " SELECT * FROM density")
+@query("grid_density_vehicles", _density_sql(WHOLE, 1000, True) + " SELECT * FROM density")
 def grid_density_vehicles(spark, sf_dir):
-    return rounded(op.grid_density(lattice.taxi_points(spark, sf_dir), START, END, WHOLE, 1000, True, 12000))
+    return rounded(op.grid_density(lattice.taxi_points(spark, sf_dir), START, END, WHOLE, 1000, True))
 
 
 @query(
     "grid_density_geojson",
-    _density_sql(WHOLE, 1000, 12000, True)
+    _density_sql(WHOLE, 1000, True)
     + " SELECT i, j, point_count, 'Polygon' AS geometry_type, 5 AS ring_size, min_lon AS first_lon FROM density",
 )
 def grid_density_geojson(spark, sf_dir):
-    cells = op.grid_density(lattice.taxi_points(spark, sf_dir), START, END, WHOLE, 1000, True, 12000)
+    cells = op.grid_density(lattice.taxi_points(spark, sf_dir), START, END, WHOLE, 1000, True)
     shape = "type string, coordinates array<array<array<double>>>"
     parsed = cells.withColumn("g", F.from_json(geo.geojson_cell(), shape))
     return parsed.select(
@@ -126,11 +126,11 @@ AREA_KM2 = f"{haversine('min_lon', 'min_lat', 'max_lon', 'min_lat')} * {haversin
 
 @query(
     "cell_density_per_km2",
-    _density_sql(WHOLE, 1000, 12000, False).replace("round(", "(").replace(", 6) AS", ") AS")
+    _density_sql(WHOLE, 1000, False).replace("round(", "(").replace(", 6) AS", ") AS")
     + f" SELECT i, j, round({AREA_KM2}, 6) AS area_km2, round(point_count / ({AREA_KM2}), 4) AS density_km2 FROM density",
 )
 def cell_density_per_km2(spark, sf_dir):
-    cells = op.density_per_km2(op.grid_density(lattice.taxi_points(spark, sf_dir), START, END, WHOLE, 1000, False, 12000))
+    cells = op.density_per_km2(op.grid_density(lattice.taxi_points(spark, sf_dir), START, END, WHOLE, 1000))
     return cells.select("i", "j", F.round("area_km2", 6).alias("area_km2"), F.round("density_km2", 4).alias("density_km2"))
 
 

@@ -14,9 +14,9 @@ from wayloom.plans.trips import NUMBERED, OD
 from wayloom.sources import lattice
 from wayloom.sources.lattice import AREA_A, AREA_B
 
-ALL_DAY = op.RouteQuery(START, END, AREA_A, AREA_B, max_candidates=50_000)
-EVENING = op.RouteQuery(START, END, AREA_A, AREA_B, max_candidates=50_000, hours=(22, 23, 0, 1), minutes=(1350, 75))
-STRICT = op.RouteQuery(START, END, AREA_A, AREA_B, mode="strict_od", max_candidates=50_000)
+ALL_DAY = op.RouteQuery(START, END, AREA_A, AREA_B)
+EVENING = op.RouteQuery(START, END, AREA_A, AREA_B, hours=(22, 23, 0, 1), minutes=(1350, 75))
+STRICT = op.RouteQuery(START, END, AREA_A, AREA_B, mode="strict_od")
 
 
 def _keys(box: geo.Box) -> str:

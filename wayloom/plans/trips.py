@@ -83,21 +83,16 @@ def segment_breaks(spark, sf_dir):
 
 @query(
     "polylines",
-    with_(POINTS, SEGMENTED.replace("FROM points", "FROM points JOIN chosen USING (taxi_id, trip_id)", 1)).replace(
-        "lagged AS (",
-        """chosen AS (SELECT taxi_id, trip_id FROM points GROUP BY ALL ORDER BY min(gps_time), taxi_id, trip_id LIMIT 400),
-lagged AS (""",
-        1,
-    )
+    with_(POINTS, SEGMENTED)
     + """, lines AS (SELECT taxi_id, trip_id || '_s' || segment_id AS trip_id, count(*) AS point_count,
   min(gps_time) AS start_time, max(gps_time) AS end_time, list({'lon': lon, 'lat': lat} ORDER BY gps_time, id) AS coords
   FROM segmented GROUP BY taxi_id, segmented.trip_id, segment_id HAVING count(*) >= 2),
-shown AS (SELECT *, (SELECT count(*) FROM lines) AS total_segment_count FROM lines ORDER BY start_time, taxi_id, trip_id LIMIT 400)
+shown AS (SELECT *, (SELECT count(*) FROM lines) AS total_segment_count FROM lines)
 SELECT taxi_id, trip_id, point_count, start_time, end_time, total_segment_count, n, round(p.lon, 6) AS lon, round(p.lat, 6) AS lat
 FROM (SELECT *, unnest(coords) AS p, unnest(range(1, len(coords) + 1)) AS n FROM shown)""",
 )
 def polylines(spark, sf_dir):
-    found = op.polylines(lattice.taxi_points(spark, sf_dir), START, END, max_trips=400, **BREAKS, chunk_seconds=lattice.track_chunk(spark, sf_dir))
+    found = op.polylines(lattice.taxi_points(spark, sf_dir), START, END, **BREAKS, chunk_seconds=lattice.track_chunk(spark, sf_dir))
     return vertices(found)
 
 
@@ -107,7 +102,6 @@ def polylines_simplified(spark, sf_dir):
         lattice.taxi_points(spark, sf_dir),
         START,
         END,
-        max_trips=400,
         tolerance=op.zoom_tolerance(9),
         **BREAKS,
         chunk_seconds=lattice.track_chunk(spark, sf_dir),
@@ -154,12 +148,12 @@ def matched_of_taxi(spark, sf_dir):
 
 
 SEEN = f"""seen AS (SELECT taxi_id, trip_id, min(gps_time) AS start_time, max(gps_time) AS end_time FROM points
-  WHERE gps_time BETWEEN {START_SQL} AND {END_SQL} AND {inside(BOX)} AND taxi_id BETWEEN 1 AND 150 GROUP BY taxi_id, trip_id)"""
+  WHERE gps_time BETWEEN {START_SQL} AND {END_SQL} AND {inside(BOX)} GROUP BY taxi_id, trip_id)"""
 
 
 def _found(spark, sf_dir):
     matched = lattice.matched_trips(spark, sf_dir)
-    return op.matched_in_box(lattice.taxi_points(spark, sf_dir), matched, START, END, BOX, (1, 150))
+    return op.matched_in_box(lattice.taxi_points(spark, sf_dir), matched, START, END, BOX)
 
 
 @query(
@@ -175,8 +169,7 @@ def matched_in_box_counts(spark, sf_dir):
 @query(
     "matched_in_box_detail",
     with_(POINTS, SEEN, "sizes AS (SELECT taxi_id, trip_id, count(*) AS vertex_count FROM walk GROUP BY ALL)")
-    + """ SELECT taxi_id, trip_id, start_time, end_time, vertex_count FROM seen JOIN sizes USING (taxi_id, trip_id)
- ORDER BY start_time DESC, taxi_id, trip_id LIMIT 1200""",
+    + """ SELECT taxi_id, trip_id, start_time, end_time, vertex_count FROM seen JOIN sizes USING (taxi_id, trip_id)""",
 )
 def matched_in_box_detail(spark, sf_dir):
     return op.matched_detail(_found(spark, sf_dir)).select(
