@@ -101,3 +101,41 @@ def test_stitch_groups_runs_per_group(spark):
     df = spark.createDataFrame([("r", line), ("s", line)], f"road string, coords {geo.LINE}")
     out = lines.stitch_groups(df, ["road"]).collect()
     assert {r["road"] for r in out} == {"r", "s"} and all(r["part_count"] == 1 for r in out)
+
+
+def test_chunked_forms_equal_plain_windows_also_for_null_keys(spark):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from wayloom.operators import sequence
+
+    start = datetime(2008, 2, 2)
+    rows = [(taxi, start + timedelta(hours=3 * k + (taxi or 0)), k, k % 3 != 0) for taxi in (None, 1, 20000) for k in range(15)]
+    df = spark.createDataFrame(rows, "taxi_id long, gps_time timestamp_ntz, id int, alive boolean")
+    order = ["gps_time", "id"]
+
+    def both(run):
+        return [sorted(map(str, run(chunk).collect())) for chunk in (None, 6 * 3600)]
+
+    for run in (
+        lambda c: sequence.row_numbers(df, ["taxi_id"], order, "n", "gps_time", c),
+        lambda c: sequence.neighbour(df, ["taxi_id"], order, ["id"], "prev", "gps_time", -1, c),
+        lambda c: sequence.neighbour(df, ["taxi_id"], order, ["id"], "next", "gps_time", 1, c),
+        lambda c: sequence.previous_where(df, ["taxi_id"], order, ["id"], "prev", "gps_time", F.col("alive"), c),
+    ):
+        plain, chunked = both(run)
+        assert plain == chunked and len(plain) == len(rows)
+
+
+def test_high_vehicle_ids_are_kept(spark):
+    from datetime import datetime
+
+    from wayloom.operators import regions
+
+    points = spark.createDataFrame([(20000, 1, datetime(2008, 2, 2, 1), 116.25, 39.85)], "taxi_id long, trip_id long, gps_time timestamp_ntz, lon double, lat double")
+    boxes = spark.createDataFrame([(1, 116.2, 39.8, 116.3, 39.9), (2, -170.0, -80.0, 170.0, 80.0), (3, 0.0, 0.0, 1.0, 1.0)], "box_index int, min_lon double, min_lat double, max_lon double, max_lat double")
+    hits = regions.box_hits(points, boxes, datetime(2008, 2, 2), datetime(2008, 2, 3))
+    assert sorted(r["box_index"] for r in hits.collect()) == [1, 2]
+    assert regions.union_vehicles(hits).count() == 1 and regions.union_trips(hits).count() == 1
+    assert regions.box_hits(points, boxes.limit(0), datetime(2008, 2, 2), datetime(2008, 2, 3)).count() == 0

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
-from wayloom.operators.sequence import CHUNK_SECONDS, neighbour, running_sum, seconds_between
-from wayloom.session import cut_lineage
+from wayloom.operators.sequence import CHUNK_SECONDS, neighbour, previous_where, running_sum, seconds_between
 
 COARSE_BOX = geo.Box(72.0, 0.8, 137.9, 55.9)
 LOCAL_BOX = geo.Box(115.4, 39.4, 117.6, 41.1)
@@ -53,21 +52,18 @@ def flag_speed_outliers(
 
     Each pass compares a point with its predecessor among the survivors and removes all
     offenders of that pass together. A pass that removes nothing leaves later passes
-    nothing to do, so the early stop needs no test.
+    nothing to do, so the early stop needs no test. All passes mark rows of one frame, so
+    nothing is written in between and plain windows need a single shuffle.
     """
-    alive = points
-    gone: DataFrame | None = None
+    judged = points.withColumn("removed_round", F.lit(None).cast("int"))
     for turn in range(1, rounds + 1):
-        paired = neighbour(alive, ["taxi_id"], ORDER, ["gps_time", "lon", "lat"], "prev", "gps_time", -1, chunk_seconds)
+        stays = F.col("removed_round").isNull()
+        paired = previous_where(judged, ["taxi_id"], ORDER, ["gps_time", "lon", "lat"], "prev", "gps_time", stays, chunk_seconds)
         dt = seconds_between(F.col("prev.gps_time"), F.col("gps_time"))
         metres = geo.planar_m(F.col("prev.lon"), F.col("prev.lat"), F.col("lon"), F.col("lat"))
-        bad = F.coalesce((dt >= min_dt_seconds) & (F.try_divide(metres * 3.6, dt) > max_speed_kmh), F.lit(False))
-        judged = cut_lineage(paired.withColumn("_bad", bad).drop("prev"))
-        out = judged.filter("_bad").drop("_bad").withColumn("removed_round", F.lit(turn))
-        gone = out if gone is None else gone.unionByName(out)
-        alive = judged.filter("NOT _bad").drop("_bad")
-    kept = alive.withColumn("removed_round", F.lit(None).cast("int"))
-    return kept if gone is None else kept.unionByName(gone)
+        bad = stays & F.coalesce((dt >= min_dt_seconds) & (F.try_divide(metres * 3.6, dt) > max_speed_kmh), F.lit(False))
+        judged = paired.withColumn("removed_round", F.when(bad, turn).otherwise(F.col("removed_round"))).drop("prev")
+    return judged
 
 
 def remove_speed_outliers(points: DataFrame, **rules: float) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from datetime import datetime
 
 import numpy as np
@@ -27,7 +26,6 @@ LONG_SEGMENT_M = 1200.0
 LONG_ANGLE_LIMIT = 0.22
 FRAGMENT_PENALTY = 0.14
 MIN_CONFIDENCE = 0.18
-RAW_PAIRS_PER_FAMILY = 4
 
 CORRIDOR = ["road_group_key", "direction"]
 
@@ -98,15 +96,6 @@ def rollup_edge_stats(hourly: DataFrame, roads: DataFrame, start: datetime, end:
 # --- candidates --------------------------------------------------------------
 
 
-def candidate_limit(top_k: int) -> int:
-    """How many road groups the first stage hands on."""
-    if top_k <= 20:
-        return max(top_k * 3, top_k + 12)
-    if top_k <= 40:
-        return max(top_k * 2, top_k + 10)
-    return max(math.ceil(top_k * 1.5), top_k + 8)
-
-
 def _highways(column: str = "highway") -> Column:
     """Distinct road classes as text (a handful per road)."""
     return F.nullif(F.array_join(F.array_sort(F.collect_set(column)), ", "), F.lit(""))
@@ -125,11 +114,9 @@ def group_candidates(
     roads: DataFrame,
     start: datetime,
     end: datetime,
-    top_k: int = 50,
     min_group_length_m: float = 300,
-    sort_mode: str = "frequency",
 ) -> DataFrame:
-    """Strongest (group, direction) pairs by hourly rollup."""
+    """(group, direction) pairs that are long enough, with their hourly rollup."""
     flows = _hours(group_hourly, start, end).groupBy(*CORRIDOR).agg(
         *[F.sum(c).alias(c) for c in ("trip_count", "vehicle_count", "edge_pass_weight")]
     )
@@ -144,7 +131,7 @@ def group_candidates(
         )
         .filter(F.col("group_length_m") >= min_group_length_m)
     )
-    return flows.join(lengths, "road_group_key").orderBy(*_ordering(sort_mode)).limit(candidate_limit(top_k))
+    return flows.join(lengths, "road_group_key")
 
 
 def corridor_families(candidates: DataFrame, sort_mode: str = "frequency") -> DataFrame:
@@ -548,11 +535,11 @@ def corridors_rollup(
     """Two stages: rank road groups by rollup, then build shapes for the finalists only."""
     keyed = keyed_roads(roads, box)
     families = cut_lineage(
-        corridor_families(group_candidates(group_hourly, keyed, start, end, top_k, min_group_length_m, sort_mode), sort_mode)
+        corridor_families(group_candidates(group_hourly, keyed, start, end, min_group_length_m), sort_mode)
     )
     flat = family_totals(families).select("*", F.lit(MIN_CONFIDENCE).alias("corridor_confidence"), F.lit(1).alias("fragment_count"), F.lit(0).alias("branch_count"))
     finalists = cut_lineage(rank_corridors(flat, top_k, sort_mode).select(*flat.columns))
-    pairs = families.filter(F.col("family_rank") <= RAW_PAIRS_PER_FAMILY).join(
+    pairs = families.join(
         finalists.select(F.col("road_group_key").alias("family"), "direction"), ["family", "direction"], "left_semi"
     )
     stats = rollup_edge_stats(hourly, keyed, start, end).join(pairs.select(*CORRIDOR, "family"), CORRIDOR)
@@ -568,7 +555,7 @@ def corridors_rollup(
     positions = ordered.select(*CORRIDOR, F.row_number().over(place).alias("stage_rank"))
     joined = shaped.join(positions, CORRIDOR)
     final = joined.withColumn("rank", F.row_number().over(Window.orderBy("stage_rank"))).drop("stage_rank")
-    base = finalists.agg(
+    base = flat.agg(
         F.sum("trip_count").alias("total_ranked_trip_count"),
         F.sum("edge_pass_weight").alias("total_edge_pass_weight"),
         F.count("*").alias("total_path_count"),

@@ -97,6 +97,41 @@ def neighbour(
     )
 
 
+def previous_where(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fields: Sequence[str],
+    out: str,
+    time: str,
+    where: Column,
+    chunk_seconds: int | None = CHUNK_SECONDS,
+) -> DataFrame:
+    """Add struct ``out`` holding ``fields`` of the last earlier row of the key for which ``where`` holds."""
+    if order[0] != time:
+        raise ValueError("the order must begin with the chunked time")
+    earlier = (Window.unboundedPreceding, -1)
+    taken = F.when(where, _fields(fields))
+    if chunk_seconds is None:
+        return df.withColumn(out, F.last(taken, True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*earlier)))
+    chunked = df.withColumn("_taken", taken).withColumn(CHUNK, chunk_of(F.col(time), chunk_seconds))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(*earlier)
+    across = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*earlier)
+    borders = (
+        chunked.groupBy(*keys, CHUNK)
+        .agg(F.max(F.when(F.col("_taken").isNotNull(), F.struct(F.struct(*order).alias("at"), F.col("_taken").alias("row")))).alias("_edge"))
+        .select(*keys, CHUNK, F.last("_edge", True).over(across)["row"].alias("_across"))
+        .filter(F.col("_across").isNotNull())
+        .withColumnsRenamed(_renames([*keys, CHUNK]))
+    )
+    return (
+        chunked.withColumn("_inside", F.last("_taken", True).over(inside))
+        .join(borders, _same(borders, [*keys, CHUNK]), "left")
+        .withColumn(out, F.coalesce("_inside", "_across"))
+        .drop("_taken", "_inside", "_across", CHUNK, *_renamed([*keys, CHUNK]))
+    )
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],

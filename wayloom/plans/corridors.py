@@ -64,19 +64,19 @@ lens AS (SELECT road_group_key, string_agg(DISTINCT highway, ', ' ORDER BY highw
   count(DISTINCT road_uid) AS segment_count, sum(DISTINCT segment_length_m) AS matched_segment_length_m, sum(segment_length_m) AS group_length_m
   FROM featured GROUP BY road_group_key HAVING sum(segment_length_m) >= 300),
 cand AS (SELECT * FROM flows JOIN lens USING (road_group_key)),
-best AS (SELECT * FROM cand ORDER BY trip_count DESC, edge_pass_weight DESC, group_length_m DESC, road_group_key, direction LIMIT 75)"""
+fam AS (SELECT *, coalesce(nullif(regexp_extract(trim(road_group_key), '^([东南西北]?[一二三四五六七八九十]+环)[东南西北中]?路?$', 1), ''), trim(road_group_key)) AS family FROM cand)"""
 
 
-def _candidates(spark, sf_dir, mode="frequency"):
+def _candidates(spark, sf_dir):
     keyed = op.keyed_roads(lattice.road_edges(spark), WHOLE)
-    return op.group_candidates(lattice.hourly_groups(spark, sf_dir), keyed, BAND_START, BAND_END, 50, 300, mode)
+    return op.group_candidates(lattice.hourly_groups(spark, sf_dir), keyed, BAND_START, BAND_END, 300)
 
 
 @query(
     "corridor_candidates",
     with_(*FACTS, GROUP_HOURLY, CANDIDATES)
     + """ SELECT road_group_key, direction::SMALLINT AS direction, trip_count, vehicle_count, edge_pass_weight, highway, has_oneway_segment, segment_count,
- round(matched_segment_length_m, 3) AS matched_segment_length_m, round(group_length_m, 3) AS group_length_m FROM best""",
+ round(matched_segment_length_m, 3) AS matched_segment_length_m, round(group_length_m, 3) AS group_length_m FROM cand""",
 )
 def corridor_candidates(spark, sf_dir):
     return rounded(_candidates(spark, sf_dir), 3)
@@ -85,19 +85,18 @@ def corridor_candidates(spark, sf_dir):
 @query(
     "corridor_candidates_by_length",
     with_(*FACTS, GROUP_HOURLY, CANDIDATES)
-    + """ SELECT road_group_key, direction::SMALLINT AS direction, trip_count, round(group_length_m, 3) AS group_length_m FROM cand
- ORDER BY trip_count * greatest(group_length_m, 1.0) DESC, trip_count DESC, edge_pass_weight DESC, group_length_m DESC, road_group_key, direction LIMIT 75""",
+    + """ SELECT road_group_key, direction::SMALLINT AS direction, trip_count, round(group_length_m, 3) AS group_length_m,
+ row_number() OVER (PARTITION BY family, direction ORDER BY trip_count * greatest(group_length_m, 1.0) DESC, trip_count DESC, edge_pass_weight DESC, group_length_m DESC, road_group_key)::INT AS family_rank FROM fam""",
 )
 def corridor_candidates_by_length(spark, sf_dir):
-    rows = _candidates(spark, sf_dir, "length_weighted")
-    return rounded(rows.select("road_group_key", "direction", "trip_count", "group_length_m"), 3)
+    rows = op.corridor_families(_candidates(spark, sf_dir), "length_weighted")
+    return rounded(rows.select("road_group_key", "direction", "trip_count", "group_length_m", "family_rank"), 3)
 
 
 @query(
     "corridor_families",
     with_(*FACTS, GROUP_HOURLY, CANDIDATES)
-    + """, fam AS (SELECT *, coalesce(nullif(regexp_extract(trim(road_group_key), '^([东南西北]?[一二三四五六七八九十]+环)[东南西北中]?路?$', 1), ''), trim(road_group_key)) AS family FROM best)
- SELECT family AS road_group_key, direction::SMALLINT AS direction, sum(segment_count)::BIGINT AS segment_count, sum(trip_count)::BIGINT AS trip_count,
+    + """ SELECT family AS road_group_key, direction::SMALLINT AS direction, sum(segment_count)::BIGINT AS segment_count, sum(trip_count)::BIGINT AS trip_count,
  sum(vehicle_count)::BIGINT AS vehicle_count, sum(edge_pass_weight)::BIGINT AS edge_pass_weight, round(sum(group_length_m), 3) AS group_length_m,
  bool_or(has_oneway_segment) AS has_oneway_segment FROM fam GROUP BY family, direction""",
 )
