@@ -4,15 +4,15 @@ Documents are sets of shingles of ``SHINGLE`` words; two link when their Jaccard
 sets are one class from the start, so exact copies cost nothing further. Classes are joined by prefix filtering: under
 any total order of the tokens, the first n - ceil(0.9 n) + 1 tokens of two similar sets have a token in common.
 
-* Order 1 is by rarity: tokens whose code falls into a fixed quarter of the code space come first, rare ones before
-  frequent ones, the others follow by code. Only that quarter has to be counted and shuffled, which is enough to fill
-  the prefixes of all but very short sets with tokens that stand in a single set and thus fetch nothing. Pairs that
-  share a prefix token must also fit by length and by the position of the token.
+* Order 1 is by rarity. A set whose prefix consists of tokens that stand in no other set has no partner. This is
+  decided first on tokens of a fixed quarter of the code space (an order that puts them first), so that only a quarter
+  is counted and shuffled; sets that it cannot rule out are read again, whole, and ordered by the rarity of all their
+  tokens. Pairs that share a prefix token must also fit by length and by the position of the token.
 * Orders 2 and 3 are by ascending and by descending code. A pair must share a token of these prefixes, too, before its
   whole sets are intersected, which decides exactly.
 
 No bucket of a token is expanded into all pairs. In rounds, each bucket picks *pivots* (first the one whose prefix token
-stands earliest, that is, with the fewest tokens of its own; in round r up to ``GROWTH ** r``), and only pairs of a pivot
+has the fewest tokens of its own; in round r up to ``GROWTH ** r``), and only pairs of a pivot
 and a member of another component are made. Linked members fall into one component at once, members of the largest
 component of a bucket need not become pivots, and every other member becomes one in some round: each pair that ends in
 two components has been compared, so no link is lost and a group of n near copies costs about n pairs.
@@ -123,60 +123,52 @@ def _chosen(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[tuple[
             yield int(nodes[i]), token_set(batch.column(1)[i].as_py())
 
 
-def prefix_pool(docs: DataFrame, bitmap, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(token, node, at): tokens that may come into the prefix of order 1.
-
-    Tokens of the counted part have at = -(their number in the set); if they are too few to fill the prefix, the tokens
-    that follow by code are added with at = their position.
-    """
+def possible_partners(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, bits: int, percent: int) -> DataFrame:
+    """(node, n) of the classes whose prefix is not filled by tokens that no other set holds."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(classes.select(F.col("rep").alias("node")), bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        held: list[tuple[int, np.ndarray]] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(t) for _, t, _ in held]
-            nodes = np.repeat(np.array([node for node, _, _ in held], np.int64), sizes)
-            tokens = np.concatenate([t for _, t, _ in held]) if held else np.zeros(0, np.uint64)
-            at = np.concatenate([a for _, _, a in held]) if held else np.zeros(0, np.int32)
+            nodes = np.repeat(np.array([node for node, _ in held], np.int64), [len(t) for _, t in held])
+            tokens = np.concatenate([t for _, t in held]) if held else np.zeros(0, np.uint64)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(nodes), pa.array(at)], ["token", "node", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(nodes)], ["token", "node"])
 
         for node, found in _chosen(batches, bitmap.value):
-            counted = (found & np.uint64(COUNTED - 1)) == 0
-            first = found[counted]
-            at = np.full(len(first), -len(first), np.int32)
-            lack = prefix_length(len(found), percent) - len(first) if len(found) else 0
-            if lack > 0:
-                more = found[~counted][:lack]
-                at = np.concatenate([at, np.arange(len(first), len(first) + len(more), dtype=np.int32)])
-                first = np.concatenate([first, more])
-            held.append((node, first, at))
-            n += len(first)
+            counted = found[(found & np.uint64(COUNTED - 1)) == 0]
+            held.append((node, counted))
+            n += len(counted)
             if n >= WORDS_AT_ONCE:
                 n = 0
                 yield flush()
         yield flush()
 
-    return _keyed(docs, id_col, text_col).select("node", "_text").mapInArrow(scan, "token long, node long, at int")
+    pool = _keyed(docs, id_col, text_col).select("node", "_text").mapInArrow(scan, "token long, node long")
+    lone = pool.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1")
+    alone = lone.groupBy("node").agg(F.count("*").alias("alone"))
+    every = classes.select(F.col("rep").alias("node"), "n")
+    return every.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) < _prefix(F.col("n"), percent)).select("node", "n")
+
 
+def postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, alone, pos): the prefixes of order 1 of (node, tokens), without tokens that stand in one set only.
 
-def postings(pool: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, pos): the prefixes of order 1, without tokens that stand in one prefix only."""
+    alone: tokens of the set that no other set holds.
+    """
+    pool = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = pool.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     shared = pool.join(often.hint("shuffle_hash"), "token")
     listed = (
-        shared.groupBy("node").agg(F.collect_list(F.struct("df", "token", "at")).alias("all"))
-        .join(classes.select(F.col("rep").alias("node"), "n"), "node")
+        shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+        .withColumn("alone", F.col("n") - F.size("ranked"))
         .withColumn("p", _prefix(F.col("n"), percent))
-        .withColumn("ranked", F.sort_array(F.filter("all", lambda x: x["at"] < 0)))
-        .withColumn("alone", F.when(F.size("ranked") > 0, -F.col("ranked")[0]["at"] - F.size("ranked")).otherwise(0))
-    )
-    places = F.concat(
-        F.transform(F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.col("p") - F.col("alone"))), lambda x, i: F.struct(x["token"].alias("token"), (F.col("alone") + i).alias("pos"))),
-        F.transform(F.filter("all", lambda x: x["at"] >= 0), lambda x: F.struct(x["token"].alias("token"), x["at"].alias("pos"))),
+        .filter("alone < p")
     )
-    rows = keep_table(listed.select("node", "n", F.explode(places).alias("x")).select("x.token", "node", "n", "x.pos"))
+    places = F.transform(F.slice("ranked", F.lit(1), F.col("p") - F.col("alone")), lambda x, i: F.struct(x["token"].alias("token"), (F.col("alone") + i).alias("pos")))
+    rows = keep_table(listed.select("node", "n", "alone", F.explode(places).alias("x")).select("x.token", "node", "n", "alone", "x.pos"))
     met = rows.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     return rows.join(met, "token")
 
@@ -226,9 +218,9 @@ def _components(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             open_rows = open_rows.join(done, ["token", "node"], "left_anti")
         cell = F.pmod(F.xxhash64("node"), F.lit(cells))
         pivots = keep_table(
-            open_rows.groupBy("token", cell.alias("cell")).agg(F.min(F.struct("pos", "n", "node", "comp")).alias("v")).select("token", "v.*")
+            open_rows.groupBy("token", cell.alias("cell")).agg(F.min(F.struct("alone", "pos", "n", "node", "comp")).alias("v")).select("token", "v.*")
             if cells > 1
-            else now.join(largest, "token").groupBy("token").agg(F.min(F.struct("pos", "n", "node", "comp")).alias("v")).select("token", "v.*")
+            else now.join(largest, "token").groupBy("token").agg(F.min(F.struct("alone", "pos", "n", "node", "comp")).alias("v")).select("token", "v.*")
         )
         if cells > 1 and pivots.isEmpty():
             return comp
@@ -241,13 +233,14 @@ def _components(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select(F.least("v.node", "o.node").alias("a"), F.greatest("v.node", "o.node").alias("b")).distinct()
         )
         links = keep_table(verified(pairs, sets, percent))
-        label = comp.select(F.col("node").alias("a"), F.col("comp").alias("src"))
-        other = comp.select(F.col("node").alias("b"), F.col("comp").alias("dst"))
-        edges = links.join(label, "a").join(other, "b").select("src", "dst").distinct()
-        merged = connected_components(comp.select(F.col("comp").alias("id")).distinct(), edges)
-        moved = keep_table(comp.join(merged.withColumnRenamed("id", "comp"), "comp").select("node", F.col("component").alias("comp")))
-        drop_tables(comp)
-        comp = moved
+        if not links.isEmpty():
+            label = comp.select(F.col("node").alias("a"), F.col("comp").alias("src"))
+            other = comp.select(F.col("node").alias("b"), F.col("comp").alias("dst"))
+            edges = links.join(label, "a").join(other, "b").select("src", "dst").distinct()
+            merged = connected_components(comp.select(F.col("comp").alias("id")).distinct(), edges)
+            moved = keep_table(comp.join(merged.withColumnRenamed("id", "comp"), "comp").select("node", F.col("component").alias("comp")))
+            drop_tables(comp)
+            comp = moved
         seen = pivots.select("token", "node")
         done = keep_table(seen if done is None else done.unionByName(seen))
         cells *= GROWTH
@@ -259,11 +252,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = keep_table(
         prints.filter("n > 0").groupBy("print").agg(F.min("node").alias("rep"), F.min(id_col).alias("low"), F.min("n").alias("n"))
     )
-    context = docs.sparkSession.sparkContext
     bits = _bits_for(classes.count())
-    reps = context.broadcast(_bitmap(classes.select(F.col("rep").alias("node")), bits))
-    found = keep_table(postings(prefix_pool(docs, reps, id_col, text_col, percent), classes, percent))
-    sets = whole_sets(docs, found.select("node").distinct(), id_col, text_col, bits)
+    nodes = keep_table(possible_partners(docs, classes, id_col, text_col, bits, percent))
+    sets = whole_sets(docs, nodes, id_col, text_col, bits)
+    found = keep_table(postings(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), percent))
     comp = _components(found, sets, percent)
     labelled = classes.join(comp, F.col("rep") == F.col("node"), "left").select("print", "low", F.coalesce("comp", "rep").alias("comp"))
     lowest = labelled.groupBy("comp").agg(F.min("low").alias("component_id"))
@@ -283,7 +275,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("node"))).alias("_node"))
     bare = found.filter("n_shingles = 0").select(F.col("node").alias("_node"))
     named = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    chosen = named.join(kept.select("_node").unionByName(bare).distinct(), F.col("_key") == F.col("_node"), "left_semi")
+    chosen = named.join(kept.select("_node").unionByName(bare).distinct().hint("shuffle_hash"), F.col("_key") == F.col("_node"), "left_semi")
     order = F.struct(*[F.col(c) for c in docs.columns])
     if found.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1").isEmpty():
         return chosen.drop("_key")
