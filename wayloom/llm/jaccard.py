@@ -211,20 +211,19 @@ def _components(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         now = found.join(comp, "node")
         largest = (
             now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token")
-            .agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
+            .agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "most")
         )
-        open_rows = now.join(largest, "token").filter("comp <> most")
-        if done is not None:
-            open_rows = open_rows.join(done, ["token", "node"], "left_anti")
+        # Components only grow, so a bucket within one component is finished for good.
+        unfinished = keep_table(now.join(largest, "token"))
+        found = unfinished.drop("comp", "most")
+        open_rows = unfinished if cells == 1 else unfinished.filter("comp <> most").join(done, ["token", "node"], "left_anti")
         cell = F.pmod(F.xxhash64("node"), F.lit(cells))
         pivots = keep_table(
             open_rows.groupBy("token", cell.alias("cell")).agg(F.min(F.struct("alone", "pos", "n", "node", "comp")).alias("v")).select("token", "v.*")
-            if cells > 1
-            else now.join(largest, "token").groupBy("token").agg(F.min(F.struct("alone", "pos", "n", "node", "comp")).alias("v")).select("token", "v.*")
         )
-        if cells > 1 and pivots.isEmpty():
+        if pivots.isEmpty():
             return comp
-        v, o = pivots.alias("v"), now.alias("o")
+        v, o = pivots.alias("v"), unfinished.alias("o")
         need = F.floor(((F.col("v.n") + F.col("o.n")) * percent + percent + 99) / (100 + percent))
         pairs = (
             o.join(v, F.col("o.token") == F.col("v.token"))
