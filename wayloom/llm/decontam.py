@@ -209,7 +209,7 @@ def contamination(
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, columns unchanged; rows with equal doc_id and text share one verdict."""
-    bad = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_code").alias("_code")).distinct()
+    bad = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_code").alias("_code")).distinct().hint("shuffle_hash")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_code"]), "left_anti")
 
 
