@@ -311,9 +311,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Model from the bounded sample of labelled rows that are not held out."""
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    ids = marked.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample_docs)
     chosen = (
-        marked.filter(~held_out(F.col("doc_id")))
-        .join(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), "doc_id")
+        docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        .join(F.broadcast(ids), "doc_id")  # at most sample_docs rows of two numbers
         .filter(F.octet_length("text") * 100 <= SAMPLE_BYTES)
         .orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", F.xxhash64("text"))
         .limit(sample_docs)
