@@ -38,6 +38,11 @@ SAMPLE = [
     "route_candidates_evening",
     "route_subpaths",
     "retrieval_top_chunks",
+    "raw_log_scan",
+    "sink_resume",
+    "markdown_scan",
+    "trip_chains",
+    "corridor_candidates_by_length",
 ]
 NAMES = sorted(ORACLES) if os.environ.get("WAYLOOM_ALL") else SAMPLE
 
