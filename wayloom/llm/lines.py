@@ -4,7 +4,7 @@ A document is a sequence of lines. A line that stands nowhere else cannot be par
 lines are kept; where one is missing, a sequence ends. Every remaining position starts a suffix. Prefix doubling ranks
 the suffixes by their first 1, 2, 4, ... lines: the rank is one plus the number of suffixes with a smaller prefix, so
 that equal ranks mean equal prefixes and each round splits the groups of the one before by the rank found 2^k
-positions further on. Rounds end when no group splits any more.
+positions further on. Suffixes alone in their group are finished; rounds end when all are.
 
 Repeated runs: from each position the shortest run of at least ``min_words`` words is taken, forwards and backwards
 (every longer run that covers a line holds such a run that covers it, too). The suffixes that share a run of n lines
@@ -22,13 +22,14 @@ rows that agree in doc_id and text are one document and get the same result; emp
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayloom.llm.common import drop_tables, keep_table
+from wayloom.llm.common import keep_table
 
 MIN_WORDS = 50
 DOC = ["doc", "code"]
@@ -43,10 +44,10 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = (
         _keyed(docs, text_col)
         .select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "body"))
-        .select(*DOC, "pos", F.md5(F.col("body").cast("binary")).alias("line"), F.regexp_count("body", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
+        .select(*DOC, "pos", F.unhex(F.md5(F.col("body").cast("binary"))).alias("line"), F.regexp_count("body", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
     )
-    often = lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line")
-    return lines.join(often, "line").dropDuplicates([*DOC, "pos"])
+    often = keep_table(lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line"))
+    return lines.join(often, "line").repartition(*DOC).dropDuplicates([*DOC, "pos"])
 
 
 def _refined(pairs: DataFrame, spread: Column, buckets: int) -> DataFrame:
@@ -61,31 +62,26 @@ def _refined(pairs: DataFrame, spread: Column, buckets: int) -> DataFrame:
     )
 
 
-def suffix_ranks(lines: DataFrame) -> tuple[DataFrame, int]:
-    """``lines`` with ranks, an array of the rank of each suffix by its first 1, 2, 4, ... lines, and its length."""
+def suffix_ranks(lines: DataFrame) -> DataFrame:
+    """(k, doc, code, pos, rank): ranks of the suffixes by their first 2^k lines, for every k for which that run is repeated.
+
+    A suffix alone in its group is in its final place and takes no part in further rounds, nor does one whose
+    continuation is alone: neither starts a repeated run of more lines.
+    """
     total = lines.count()
     buckets = max(1, math.isqrt(total))
-    level = lines.withColumn("rank", F.lit(1).cast("long")).withColumn("next", F.col("line"))
-    spread = (F.conv(F.substring("next", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int")
-    ranks = None
-    groups = 0
-    k = 0
+    level = lines.select(*DOC, "pos", F.lit(1).cast("long").alias("rank"), F.col("line").alias("next"))
+    spread = (F.conv(F.substring(F.hex("next"), 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int")
+    levels: list[DataFrame] = []
     while True:
-        pairs = level.groupBy("rank", "next").agg(F.count("*").alias("n"))
-        finer = _refined(pairs, spread, buckets)
-        found = level.join(finer, ["rank", "next"]).withColumn("ranks", F.concat(F.col("ranks"), F.array("finer")) if ranks is not None else F.array("finer"))
-        kept = keep_table(found.select(*DOC, "pos", "words", F.col("finer").alias("rank"), "ranks"))
-        if ranks is not None:
-            drop_tables(ranks)
-        ranks = kept
-        now = ranks.select("rank").distinct().count()
-        k += 1
-        if now == groups or now == total:
-            return ranks, k
-        groups = now
-        ahead = ranks.select(*DOC, (F.col("pos") - (1 << (k - 1))).alias("pos"), F.col("rank").alias("next"))
-        # Where the run is shorter, the next rank is 0. A gap in the positions ends a run; see ``chained``.
-        level = ranks.join(ahead, [*DOC, "pos"], "left").withColumn("next", F.coalesce("next", F.lit(0).cast("long")))
+        pairs = level.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1")
+        ranks = keep_table(level.join(_refined(keep_table(pairs), spread, buckets), ["rank", "next"]).select(*DOC, "pos", F.col("finer").alias("rank")))
+        levels.append(ranks.select(F.lit(len(levels)).alias("k"), *DOC, "pos", "rank"))
+        if ranks.isEmpty():
+            return functools.reduce(DataFrame.unionByName, levels)
+        # A gap in the positions ends a run; see ``chained``.
+        ahead = ranks.select(*DOC, (F.col("pos") - (1 << (len(levels) - 1))).alias("pos"), F.col("rank").alias("next"))
+        level = ranks.join(ahead, [*DOC, "pos"])
         spread = (F.col("next").cast("double") * buckets / float(total + 1)).cast("int")
 
 
@@ -106,11 +102,11 @@ def chained(lines: DataFrame) -> DataFrame:
     )
 
 
-def run_ends(ranks: DataFrame, min_words: int) -> DataFrame:
+def run_ends(lines: DataFrame, min_words: int) -> DataFrame:
     """(doc, code, start, stop): for each position the shortest runs of ``min_words`` words from it on and up to it."""
     order = Window.partitionBy(*DOC).orderBy("pos")
     fresh = F.when(F.col("pos") - F.lag("pos").over(order) == 1, 0).otherwise(1)
-    runs = ranks.select(*DOC, "pos", "words", fresh.alias("new")).withColumn("run", F.sum("new").over(order))
+    runs = lines.select(*DOC, "pos", "words", fresh.alias("new")).withColumn("run", F.sum("new").over(order))
     summed = runs.withColumn("upto", F.sum("words").over(Window.partitionBy(*DOC, "run").orderBy("pos")))
     before = F.col("upto") - F.col("words")
     goals = summed.select(
@@ -133,30 +129,28 @@ def run_ends(ranks: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def later_copies(ranks: DataFrame, levels: int, min_words: int = MIN_WORDS) -> DataFrame:
+def later_copies(lines: DataFrame, ranks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, code, start, stop, lines, copies): runs of which an earlier copy exists."""
     size = (F.col("stop") - F.col("start") + 1).alias("lines")
-    height = F.least(F.floor(F.log2(F.col("lines").cast("double") + 0.5)), F.lit(levels - 1)).cast("int")
-    runs = run_ends(ranks, min_words).select(*DOC, "start", "stop", size).withColumn("k", height)
-    at = ranks.select(*DOC, F.col("pos").alias("start"), "ranks")
-    tail = ranks.select(*DOC, F.col("pos").alias("tail"), F.col("ranks").alias("more"))
-    named = (
+    runs = run_ends(lines, min_words).select(*DOC, "start", "stop", size).withColumn("k", F.floor(F.log2(F.col("lines").cast("double") + 0.5)).cast("int"))
+    at = ranks.select("k", *DOC, F.col("pos").alias("start"), F.col("rank").alias("head"))
+    tail = ranks.select("k", *DOC, F.col("pos").alias("tail"), F.col("rank").alias("foot"))
+    named = keep_table(
         runs.withColumn("tail", F.expr("stop + 1 - shiftleft(1L, k)"))
-        .join(at, [*DOC, "start"])
-        .join(tail, [*DOC, "tail"])
-        .select(*DOC, "start", "stop", "lines", F.expr("ranks[k]").alias("head"), F.expr("more[k]").alias("foot"))
+        .join(at, ["k", *DOC, "start"])
+        .join(tail, ["k", *DOC, "tail"])
+        .select(*DOC, "start", "stop", "lines", "head", "foot")
     )
     place = F.struct(*DOC, "start")
     interval = ["lines", "head", "foot"]
-    firsts = named.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    firsts = keep_table(named.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1"))
     return named.join(firsts, interval).filter(place > F.col("first")).select(*DOC, "start", "stop", "lines", "copies")
 
 
 def deleted_lines(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, code, gone): the places of deleted lines of each document that loses any, in order."""
     lines = keep_table(chained(repeated_lines(docs, text_col).withColumn("at", F.col("pos"))).select(*DOC, F.col("pos").cast("long").alias("pos"), "at", "line", "words"))
-    ranks, levels = suffix_ranks(lines)
-    copies = later_copies(ranks, levels, min_words)
+    copies = later_copies(lines, suffix_ranks(lines), min_words)
     order = Window.partitionBy(*DOC).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     # Overlapping runs are cut to what they add, so that each line is named once.
     added = copies.withColumn("from", F.greatest(F.col("start"), F.coalesce(F.max("stop").over(order) + 1, F.col("start")))).filter("from <= stop")
@@ -168,7 +162,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated runs cut from the text, and columns _lines and _gone: lines before, lines deleted."""
     cuts = keep_table(deleted_lines(docs, "text", min_words))
     keyed = docs.withColumn("_code", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    joined = keyed.join(cuts.select(F.col("doc").alias("_doc"), F.col("code").alias("_cut"), "gone"), (F.col("doc_id") == F.col("_doc")) & (F.col("_code") == F.col("_cut")), "left")
+    # The hint keeps one plan at every size: texts are shuffled once and never sorted.
+    found = cuts.select(F.col("doc").alias("_doc"), F.col("code").alias("_cut"), "gone").hint("shuffle_hash")
+    joined = keyed.join(found, (F.col("doc_id") == F.col("_doc")) & (F.col("_code") == F.col("_cut")), "left")
     rows = joined.withColumn("_split", F.split("text", "\n", -1)).withColumn("_lines", F.coalesce(F.size("_split"), F.lit(0)))
     # The lines between two deleted places are one slice; places are counted from 0, the ends are -1 and the number of lines.
     kept = F.expr(
