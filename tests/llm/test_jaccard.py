@@ -63,3 +63,26 @@ def test_hard_rows(hard_docs):
         ["None", "", "   \n\n ", "One two three four five"[:20], "another text under t", "a text without an id", ("x " * 60_000)[:20], "é" * 20, "Word"]
     )
     assert found(hard_docs.limit(0)) == [] and op.drop_near_duplicates(hard_docs.limit(0)).count() == 0
+
+
+def test_sizes_and_thresholds_match_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for n in (6, 30, 90):
+        text = [rng.choice(words) for _ in range(n)]
+        for _ in range(40):
+            edited = list(text)
+            for _ in range(rng.randrange(4)):
+                edited[rng.randrange(n)] = rng.choice(words)
+            rows.append(edited + [rng.choice(words) for _ in range(rng.randrange(n // 3))])
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    for size, percent in ((5, 80), (2, 60)):
+        sets = [{tuple(r[i : i + size]) for i in range(max(1, len(r) - size + 1))} for r in rows]
+        low = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if low[i] != low[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                    low = [min(low[i], low[j]) if x in (low[i], low[j]) else x for x in low]
+        got = {r["doc_id"]: r["component_id"] for r in op.near_duplicates(docs, percent=percent, size=size).collect()}
+        assert [got[i] for i in range(len(rows))] == low and len(set(low)) < len(rows)

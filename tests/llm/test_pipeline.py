@@ -45,3 +45,12 @@ def test_planted_cases(spark, tmp_path):
     assert rows[1004]["text"] == docs[1004] and rows[1005]["text"] == "other start\nother end"
     assert all(rows[i]["text"] == docs[i] for i in rows if i != 1005)
     assert toxicity.THRESHOLD == 0.3
+
+
+def test_near_duplicate_stage_links_five_word_shingles_at_80_percent(spark):
+    near = [f"near{i}" for i in range(70)]  # 56 of 66 shingles of five words, 58 of 68 of three: 0.85 either way
+    far = [f"far{i}" for i in range(70)]  # 46 of 66 shingles of five words: 0.70
+    texts = [near[:60], near, far[:50], far, ["a", "b", "c", "d"], ["a", "b", "c", "d", "e"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 5]

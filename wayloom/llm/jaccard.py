@@ -1,13 +1,14 @@
 """N-gram Jaccard join with several global token orders.
 
-Documents are sets of shingles of ``SHINGLE`` words; two link when their Jaccard similarity reaches ``PERCENT``. Equal
-sets are one class from the start, so exact copies cost nothing further. Classes are joined by prefix filtering: under
-any total order of the tokens, the first n - ceil(0.9 n) + 1 tokens of two similar sets have a token in common.
+Documents are sets of shingles of ``size`` words; two link when their Jaccard similarity reaches ``percent`` (``SHINGLE``
+and ``PERCENT`` unless given). Equal sets are one class from the start, so exact copies cost nothing further. Classes are
+joined by prefix filtering: under any total order of the tokens, the first n - ceil(percent n / 100) + 1 tokens of two
+similar sets have a token in common.
 
 * Order 1 is by rarity. A set whose prefix consists of tokens that stand in no other set has no partner. This is
-  decided first on tokens of a fixed quarter of the code space (an order that puts them first), so that only a quarter
-  is counted and shuffled; sets that it cannot rule out are read again, whole, and ordered by the rarity of all their
-  tokens. Pairs that share a prefix token must also fit by length and by the position of the token.
+  decided first on tokens of a fixed part of the code space (an order that puts them first; a quarter at 90 %, half at
+  80 %), so that only this part is counted and shuffled; sets that it cannot rule out are read again, whole, and ordered
+  by the rarity of all their tokens. Pairs that share a prefix token must also fit by length and by the position of the token.
 * Orders 2 and 3 are by ascending and by descending code. A pair must share a token of these prefixes, too, before its
   whole sets are intersected, which decides exactly.
 
@@ -20,7 +21,7 @@ two components has been compared, so no link is lost and a group of n near copie
 What is broadcast are two bitmaps of at most ``BITMAP_LIMIT`` bits; where they fill up, more rows than needed pass them
 and are sorted out by joins. Sets are hashed to 64-bit codes, and a class is keyed by 64 bits of id and text.
 
-Defined results: null and empty texts have an empty set and link with nothing; a text of fewer than ``SHINGLE`` words is
+Defined results: null and empty texts have an empty set and link with nothing; a text of fewer than ``size`` words is
 one token; rows that repeat a doc_id and text are one document, rows that repeat a doc_id with another text are judged
 by their text; null ids are allowed and never become a component's id while another member has one.
 """
@@ -42,7 +43,6 @@ from wayloom.session import checkpoint_folder
 
 SHINGLE = 3
 PERCENT = 90
-COUNTED = 4  # one of so many parts of the code space is counted
 GROWTH = 8
 BITMAP_LEAST, BITMAP_LIMIT = 1 << 20, 1 << 28
 WORDS_AT_ONCE = 300_000
@@ -68,6 +68,11 @@ def prefix_length(n: int | np.ndarray, percent: int = PERCENT):
     return n - (-(-percent * n // 100)) + 1
 
 
+def _counted(percent: int) -> int:
+    """One of so many parts (a power of two) of the code space is counted: 2.5 prefixes of tokens at least."""
+    return 1 << max(0, (200 // (5 * max(1, 100 - percent))).bit_length() - 1)
+
+
 def _prefix(n: Column, percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100).cast("int") + 1
 
@@ -93,14 +98,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col), F.xxhash64(F.col(id_col), text).alias("node"), text.alias("_text"))
 
 
-def set_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def set_prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id_col, node, n, print): size and 128-bit print of each row's set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, prints = [], []
             for text in batch.column(2):
-                found = token_set(text.as_py())
+                found = token_set(text.as_py(), size)
                 sizes.append(len(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()))
             yield pa.RecordBatch.from_arrays(
@@ -111,7 +116,7 @@ def set_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(scan, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, node long, n int, print binary")
 
 
-def _chosen(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[tuple[int, np.ndarray]]:
+def _chosen(batches: Iterator[pa.RecordBatch], bitmap: bytes, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(node, set) of the rows of (node, text) whose node is in the bitmap."""
     words = np.frombuffer(bitmap, np.uint32)
     bits = len(words) * 32
@@ -120,11 +125,12 @@ def _chosen(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[tuple[
         places = nodes % bits
         hits = np.flatnonzero((words[places >> 5] >> (places & 31).astype(np.uint32)) & np.uint32(1))
         for i in hits.tolist():
-            yield int(nodes[i]), token_set(batch.column(1)[i].as_py())
+            yield int(nodes[i]), token_set(batch.column(1)[i].as_py(), size)
 
 
-def possible_partners(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, bits: int, percent: int) -> DataFrame:
+def possible_partners(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, bits: int, percent: int, size: int) -> DataFrame:
     """(node, n) of the classes whose prefix is not filled by tokens that no other set holds."""
+    parts = _counted(percent)
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(classes.select(F.col("rep").alias("node")), bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +143,8 @@ def possible_partners(docs: DataFrame, classes: DataFrame, id_col: str, text_col
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(nodes)], ["token", "node"])
 
-        for node, found in _chosen(batches, bitmap.value):
-            counted = found[(found & np.uint64(COUNTED - 1)) == 0]
+        for node, found in _chosen(batches, bitmap.value, size):
+            counted = found[(found & np.uint64(parts - 1)) == 0]
             held.append((node, counted))
             n += len(counted)
             if n >= WORDS_AT_ONCE:
@@ -173,13 +179,13 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(met, "token")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+def whole_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, bits: int, size: int) -> DataFrame:
     """(node, tokens) of the named nodes, and of some others that the bitmap lets pass; bucketed by node."""
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(_bitmap(nodes, bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, found in _chosen(batches, bitmap.value):
+        for node, found in _chosen(batches, bitmap.value, size):
             yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["node", "tokens"])
 
     found = _keyed(docs, id_col, text_col).select("node", "_text").mapInArrow(scan, "node long, tokens array<long>")
@@ -245,15 +251,15 @@ def _components(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         cells *= GROWTH
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: id_col, node, n_shingles, component_id (smallest id of the component), component (its node)."""
-    prints = keep_table(set_prints(docs, id_col, text_col))
+    prints = keep_table(set_prints(docs, id_col, text_col, size))
     classes = keep_table(
         prints.filter("n > 0").groupBy("print").agg(F.min("node").alias("rep"), F.min(id_col).alias("low"), F.min("n").alias("n"))
     )
     bits = _bits_for(classes.count())
-    nodes = keep_table(possible_partners(docs, classes, id_col, text_col, bits, percent))
-    sets = whole_sets(docs, nodes, id_col, text_col, bits)
+    nodes = keep_table(possible_partners(docs, classes, id_col, text_col, bits, percent, size))
+    sets = whole_sets(docs, nodes, id_col, text_col, bits, size)
     found = keep_table(postings(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), percent))
     comp = _components(found, sets, percent)
     labelled = classes.join(comp, F.col("rep") == F.col("node"), "left").select("print", "low", F.coalesce("comp", "rep").alias("comp"))
@@ -265,12 +271,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; columns unchanged.
 
     Rows that repeat this doc_id are reduced to the one with the smallest node key; texts without words all stay.
     """
-    found = keep_table(near_duplicates(docs))
+    found = keep_table(near_duplicates(docs, percent=percent, size=size))
     kept = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("node"))).alias("_node"))
     bare = found.filter("n_shingles = 0").select(F.col("node").alias("_node"))
     named = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
