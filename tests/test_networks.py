@@ -144,3 +144,40 @@ def test_corridor_fold_joins_repeats():
     rows = [corridor(0, ["a", "b"]), corridor(1, ["a", "b"]), corridor(2, ["a", "b", "c"]), corridor(3, ["z"])]
     rows[2].update(grid_lon=[0.0], min_lon=0, max_lon=0.5)
     assert routes.fold_corridors(pd.DataFrame(rows), 5) == [0, None, 0, 3]
+
+
+def test_corridor_fold_keeps_late_clusters_and_repeats():
+    rows = [corridor(n, [f"t{n}", "z"]) for n in range(60)] + [corridor(60, ["t59", "z"]), corridor(61, ["t50", "z", "more"])]
+    rows[61].update(grid_lon=[50.0], min_lon=50, max_lon=50.5)
+    part = pd.DataFrame(rows)
+    assert routes.fold_corridors(part, 5) == [*range(60), None, 50]
+    assert routes.corridor_members(part) == [*((str(n), str(n)) for n in range(60)), ("60", "59"), ("61", "50")]
+
+
+def test_branch_split_finds_every_branch():
+    rows = [([f"anchor:start:{n}", f"anchor:end:{n}"], 100 - n, n) for n in range(8)]
+    part = pd.DataFrame(rows, columns=["signature", "n", "first_trip"])
+    assert sorted(routes.split_branches(part, 10).values()) == list(range(1, 8))
+
+
+def test_single_trips_compare_whole_signatures_at_any_rank(spark):
+    same = [f"road:r{n}" for n in range(14)]
+    tokens = {0: [*same, "road:x"], 1: [*same, "road:y"], 2: ["road:far"]}
+    columns = "cluster_id string, rank int, trip_index long, taxi_id long, trip_id long, quality double, directness double, repeat_ratio double, fallback_rank int, coords array<double>, duration_seconds double, route_length_m double"
+    scored = spark.createDataFrame([("c1", r, n, n, n, 0.9, 1.0, 0.0, r - 1, [], 60.0, 9.0) for n, r in ((0, 1), (1, 2), (2, 5000))], columns)
+    order = spark.createDataFrame([("c1", 1, "c1")], "cluster_id string, cluster_rank int, parent_cluster_id string")
+    trips = spark.createDataFrame(list(tokens.items()), "trip_index long, sequence_tokens array<string>")
+    found = routes.single_trip_rows(scored, trips, order, spark.createDataFrame([(3,)], "valid_trips long"), 50)
+    assert {r["trip_index"] for r in found.collect()} == {0, 1, 2}
+
+
+def test_every_trip_of_a_cluster_can_represent_it(spark):
+    rows = [("c1", n, 60.0, 900.0, ["a", "b"]) for n in range(1000)]
+    members = spark.createDataFrame(rows, "cluster_id string, trip_index long, duration_seconds double, route_length_m double, token_set array<string>")
+    assert routes.medoid_candidates(members).count() == 1000
+
+
+def test_variants_of_a_corridor_are_all_reported(spark):
+    rows = [("c1", n, 60.0, [f"road:r{n}"]) for n in range(12)]
+    members = spark.createDataFrame(rows, "cluster_id string, taxi_id long, duration_seconds double, sequence_tokens array<string>")
+    assert routes.variants(members).count() == 12 and routes.variants(members, keep=3).count() == 3

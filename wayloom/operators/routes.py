@@ -406,7 +406,7 @@ def cluster_members(trips: DataFrame, sets: DataFrame, labels: DataFrame) -> Dat
 
 
 def medoid_candidates(members: DataFrame) -> DataFrame:
-    """Central trips of each cluster, best first, with the parts of their score."""
+    """Trips of each cluster, the most central first, with the parts of their score."""
     size = members.groupBy("cluster_id").agg(
         F.count("*").alias("size"),
         F.expr("percentile(CASE WHEN duration_seconds > 0 THEN duration_seconds END, 0.5)").alias("duration_p50"),
@@ -449,10 +449,8 @@ def medoid_candidates(members: DataFrame) -> DataFrame:
         )
     )
     order = Window.partitionBy("cluster_id").orderBy(F.round("score", 12).desc(), "trip_index")
-    limit = F.least(F.lit(800), F.greatest(F.lit(220), F.ceil(F.col("size") * 0.35)))
     return (
         scored.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
         .select(
             "cluster_id", "size", "duration_p50", "route_p50", "trip_index", "rank", "score", "soft_center", "high_recall", "centrality"
         )
@@ -463,7 +461,7 @@ def cluster_order(medoids: DataFrame) -> DataFrame:
     """Clusters from the largest, ties by medoid score and index."""
     best = medoids.filter("rank = 1").select("cluster_id", "size", F.col("score").alias("medoid_score"), F.col("trip_index").alias("medoid_index"))
     order = Window.orderBy(F.col("size").desc(), F.round("medoid_score", 12).desc(), "medoid_index")
-    # Clusters of one request: at most max_candidates / min_support rows.
+    # Clusters of one request: at most its trips / min_support rows.
     return best.withColumn("cluster_rank", F.row_number().over(order))
 
 
@@ -493,7 +491,7 @@ def signature_similarity(left: tuple[str, ...], right: tuple[str, ...]) -> float
     return max(jaccard, 0.45 * jaccard + 0.55 * common_order(left, right))
 
 
-def split_branches(part: pd.DataFrame, min_support: int, branch_limit: int) -> dict[tuple[str, ...], int]:
+def split_branches(part: pd.DataFrame, min_support: int, branch_limit: int | None = None) -> dict[tuple[str, ...], int]:
     """Branch number of each signature of one cluster; absent means main line.
 
     ``part`` has one row per distinct signature with its trip count and first trip.
@@ -506,7 +504,7 @@ def split_branches(part: pd.DataFrame, min_support: int, branch_limit: int) -> d
         return {}
     main, seeds = strong[0], []
     for signature in strong[1:]:
-        if len(seeds) >= branch_limit:
+        if branch_limit is not None and len(seeds) >= branch_limit:
             break
         if signature_similarity(signature, main) < 0.55 and all(signature_similarity(signature, s) < 0.72 for s in seeds):
             seeds.append(signature)
@@ -552,14 +550,13 @@ def split_clusters(members: DataFrame, order: DataFrame, q: RouteQuery) -> DataF
         .groupBy("cluster_id", "support", "signature")
         .agg(F.count("*").alias("n"), F.min("trip_index").alias("first_trip"))
     )
-    limit = max(2, min(4, q.top_k - 1))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        found = split_branches(part, int(key[1]), limit)
+        found = split_branches(part, int(key[1]))
         rows = [(key[0], list(s), found.get(tuple(s), 0)) for s in part["signature"]] if found else []
         return pd.DataFrame(rows, columns=["cluster_id", "signature", "branch"])
 
-    # Distinct signatures of one cluster: at most its trips, themselves at most max_candidates.
+    # Distinct signatures of one cluster: at most its trips.
     branches = distinct.groupBy("cluster_id", "support").applyInPandas(run, SPLIT)
     joined = signed.join(branches, ["cluster_id", "signature"], "left")
     name = F.when(F.col("branch") == 0, "Default_Mainline").otherwise(F.concat(F.lit("Branch_"), F.col("branch").cast("string")))
@@ -765,8 +762,8 @@ def duration_stats(members: DataFrame, key: str = "cluster_id") -> DataFrame:
     )
 
 
-def variants(members: DataFrame, key: str = "cluster_id", keep: int = 8) -> DataFrame:
-    """The most frequent exact token sequences of each group."""
+def variants(members: DataFrame, key: str = "cluster_id", keep: int | None = None) -> DataFrame:
+    """The exact token sequences of each group, the most frequent first; all of them unless ``keep`` is given."""
     named = members.withColumn("variant_signature", F.array_join(F.transform("sequence_tokens", token_label), " > ")).withColumn(
         "minutes", F.col("duration_seconds") / 60.0
     )
@@ -779,9 +776,9 @@ def variants(members: DataFrame, key: str = "cluster_id", keep: int = 8) -> Data
         F.expr("percentile(minutes, 0.9)").alias("p90_duration_min"),
     )
     order = Window.partitionBy(key).orderBy(F.col("trip_count").desc(), "variant_signature")
+    ranked = stats.withColumn("variant_rank", F.row_number().over(order))
     return (
-        stats.withColumn("variant_rank", F.row_number().over(order))
-        .filter(F.col("variant_rank") <= keep)
+        (ranked if keep is None else ranked.filter(F.col("variant_rank") <= keep))
         .join(sizes, key)
         .withColumn("share_within_corridor", F.col("trip_count") / F.col("size"))
         .drop("size")
@@ -887,16 +884,16 @@ def _alike(a: tuple, b: tuple) -> tuple[float, float, float]:
     return _jaccard(a[0], b[0]), _jaccard(a[1], b[1]), _box_overlap(a[2], b[2])
 
 
-def fold_corridors(part: pd.DataFrame, top_k: int) -> list[int | None]:
-    """Corridor number of each cluster in rank order; None when it adds nothing new.
+def fold_corridors(part: pd.DataFrame, top_k: int | None = None) -> list[int | None]:
+    """Corridor number of each cluster in rank order; None for an exact repeat of a corridor's signature.
 
     A cluster joins the most similar corridor before it; branch clusters of a split always
-    stand alone. Exact repeats of a signature and clusters past the cap are left out.
+    stand alone. No cluster is left out, whatever ``top_k`` is.
     """
     shapes, out = _shapes(part), []
-    corridors: list[int] = []
+    # Similar corridors have a token in common, so only those are compared.
+    holders: dict[str, list[int]] = {}
     seen: set = set()
-    cap = max(top_k * 4, top_k + 10)
     for n, (signature, mode, cluster) in enumerate(zip(part["signature"], part["split_mode"], part["cluster_id"])):
         alone = mode.startswith("anchor_")
         label = (cluster, signature) if alone else signature
@@ -905,7 +902,7 @@ def fold_corridors(part: pd.DataFrame, top_k: int) -> list[int | None]:
             continue
         best, target = 0.0, None
         if not alone:
-            for k in corridors:
+            for k in sorted({k for token in shapes[n][0] for k in holders.get(token, ())}):
                 token, grid, box = _alike(shapes[k], shapes[n])
                 close = (
                     (token >= 0.90 and (grid >= 0.08 or box >= 0.18))
@@ -915,17 +912,26 @@ def fold_corridors(part: pd.DataFrame, top_k: int) -> list[int | None]:
                 score = token * 0.55 + grid * 0.30 + box * 0.15
                 if close and score > best:
                     best, target = score, k
-        if target is not None:
-            out.append(target)
-        elif len(corridors) < cap:
-            corridors.append(n)
+        if target is None:
+            for token in shapes[n][0]:
+                holders.setdefault(token, []).append(n)
             seen.add(label)
-            out.append(n)
-        else:
-            out.append(None)
+            target = n
+        out.append(target)
     return out
 
 
+def corridor_members(part: pd.DataFrame) -> list[tuple[str, str]]:
+    """(cluster, corridor) of every cluster in rank order; repeats of a signature count in the corridor that has it."""
+    ids, signatures, modes = part["cluster_id"].tolist(), part["signature"].tolist(), part["split_mode"].tolist()
+    rows, leads = [], {}
+    for n, k in enumerate(fold_corridors(part)):
+        if k == n and not modes[n].startswith("anchor_"):
+            leads[signatures[n]] = n
+        rows.append((ids[n], ids[leads[signatures[n]] if k is None else k]))
+    return rows
+
+
 def diverse_top(part: pd.DataFrame, top_k: int) -> list[tuple[int, str]]:
     """Tiered fill, then a greedy pick that punishes look-alikes: (row, tier) in rank order.
 
@@ -1001,17 +1007,15 @@ def _shape_columns() -> list[Column]:
 SHAPE = ["signature", "signature_array", "grid_lon", "grid_lat", "min_lon", "min_lat", "max_lon", "max_lat"]
 
 
-def merge_corridors(records: DataFrame, top_k: int, query_key: str = "query_id") -> DataFrame:
+def merge_corridors(records: DataFrame, query_key: str = "query_id") -> DataFrame:
     """cluster_id → corridor_id (the cluster that leads the corridor) per request."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cluster_rank").reset_index(drop=True)
-        ids = part["cluster_id"].tolist()
-        rows = [(ids[n], ids[k]) for n, k in enumerate(fold_corridors(part, top_k)) if k is not None]
-        return pd.DataFrame(rows, columns=["cluster_id", "corridor_id"])
+        return pd.DataFrame(corridor_members(part), columns=["cluster_id", "corridor_id"])
 
     narrow = records.select(query_key, "cluster_id", "cluster_rank", "split_mode", *SHAPE)
-    # One group per request, at most the scan limit of 360 clusters.
+    # One group per request: all its clusters.
     return narrow.groupBy(query_key).applyInPandas(run, "cluster_id string, corridor_id string")
 
 
@@ -1025,7 +1029,7 @@ def pick_routes(rows: DataFrame, top_k: int, query_key: str = "query_id") -> Dat
 
     needed = ["row_id", "row_order", "kind", "split_mode", "parent_cluster_id", "representative", "trip_count", "base_score", "warnings"]
     flags = ["is_safe", "is_marginal", "is_diagnostic", "is_support"]
-    # One group per request, at most 4 * top_k + 10 corridors and top_k single trips.
+    # One group per request: all its corridors and 6 * top_k + 20 single trips.
     return (
         rows.select(query_key, *needed, *flags, *SHAPE)
         .groupBy(query_key)
@@ -1033,14 +1037,10 @@ def pick_routes(rows: DataFrame, top_k: int, query_key: str = "query_id") -> Dat
     )
 
 
-def scan_limit(top_k: int) -> int:
-    return min(max(top_k * 40, top_k + 160), 360)
-
-
 def single_trip_rows(scored: DataFrame, trips: DataFrame, order: DataFrame, valid: DataFrame, limit: int) -> DataFrame:
     """Single trips that may fill an answer with too few corridors, in cluster and rank order."""
-    ok = (F.col("quality") >= 0.20) & (_c("directness", 0.0) <= 5.0) & (F.col("repeat_ratio") <= 0.22) & (F.col("rank") <= 80)
-    tokens = F.slice(F.filter("sequence_tokens", lambda t: ~t.rlike("^(grid:|alias:(?!route:|ring:|express:))")), 1, 14)
+    ok = (F.col("quality") >= 0.20) & (_c("directness", 0.0) <= 5.0) & (F.col("repeat_ratio") <= 0.22)
+    tokens = F.filter("sequence_tokens", lambda t: ~t.rlike("^(grid:|alias:(?!route:|ring:|express:))"))
     rows = (
         scored.filter(ok)
         .select("cluster_id", "rank", "trip_index", "taxi_id", "trip_id", "quality", "directness", "repeat_ratio", "fallback_rank", "coords", "duration_seconds", "route_length_m")
@@ -1054,7 +1054,7 @@ def single_trip_rows(scored: DataFrame, trips: DataFrame, order: DataFrame, vali
         .filter("_n = 1")
         .drop("_n", "sequence_tokens")
     )
-    # Existing corridors can rule out at most their own number of rows again.
+    # Rows are taken while there are fewer than top_k; each taken row can rule out two others, by signature and by trip.
     best = rows.orderBy("cluster_rank", "rank").limit(limit)
     return best.crossJoin(F.broadcast(valid)).withColumn("share_of_candidates", F.lit(1.0) / F.col("valid_trips"))
 
@@ -1084,11 +1084,10 @@ def frequent_routes(
         F.first("split_mode").alias("split_mode"),
         (F.count("*") / F.first("parent_size")).alias("share_of_parent_cluster"),
     )
-    order = cluster_order(medoids).filter(F.col("cluster_rank") <= scan_limit(q.top_k)).join(homes, "cluster_id")
+    order = cluster_order(medoids).join(homes, "cluster_id")
     order = cut_lineage(order)
-    scanned = medoids.join(F.broadcast(order.select("cluster_id")), "cluster_id", "left_semi")
-    lines = cut_lineage(representative_lines(scanned, trips, edges, roads, features))
-    scored = cut_lineage(scored_representatives(scanned, lines, trips))
+    lines = cut_lineage(representative_lines(medoids, trips, edges, roads, features))
+    scored = cut_lineage(scored_representatives(medoids, lines, trips))
     reps = choose_representatives(scored)
     stats = duration_stats(members)
     records = (
@@ -1103,7 +1102,7 @@ def frequent_routes(
         .select("*", *_shape_columns())
     )
     records = cut_lineage(records)
-    folded = cut_lineage(merge_corridors(records, q.top_k))
+    folded = cut_lineage(merge_corridors(records))
     total = trips.agg(F.count("*").alias("valid_trips"))
     pooled = members.join(folded, "cluster_id")
     figures = duration_stats(pooled, "corridor_id").drop("share_of_candidates", "duration_tail_ratio")
@@ -1129,7 +1128,7 @@ def frequent_routes(
     fill = singles.select(
         F.lit(1).alias("query_id"),
         F.concat(F.lit("single:"), F.col("trip_index").cast("string")).alias("row_id"),
-        (F.lit(1_000_000_000) + F.col("cluster_rank") * 1000 + F.col("rank")).cast("long").alias("row_order"),
+        ((F.col("cluster_rank").cast("long") + 1) * 1_000_000_000 + F.col("rank")).alias("row_order"),
         F.lit("single").alias("kind"),
         F.lit("single_trip_backfill").alias("split_mode"),
         "parent_cluster_id",
