@@ -31,9 +31,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def keep_table(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut and lost executors cost no replay."""
-    path = f"{checkpoint_folder(df.sparkSession)}/corpus-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "corpus")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

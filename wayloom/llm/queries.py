@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm import chat, decontam, html, jaccard, licenses, lines, media, mixing, toxicity, urls
-from wayloom.llm.common import table
+from wayloom.llm import balltree, centroids, chat, decontam, html, jaccard, licenses, lines, media, mixing, tokenfile, toxicity, urls
+from wayloom.llm.common import shared_path, table
+
+#: Tokenizers file of op 12, by its name in the public_tokenizers module.
+TOKENIZER = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +81,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_main_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op11_centroid_clustering", centroids.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = shared_path(spark, "tokens")
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
+    return tokenfile.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op13_lexical_search", balltree.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
