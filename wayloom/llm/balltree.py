@@ -2,13 +2,14 @@
 
 A document is a sparse vector of integers over the terms of the items, a query the indicator of its item's terms, and the
 score their inner product. Tasks cut their documents into chunks of at most ``CHUNK_ENTRIES`` entries and build a ball
-tree over each: a node has a whole-number centre and radii around it, one over all terms and one for each of ``GROUPS``
-groups of terms of similar rarity. No document under a node scores more than the query's product with the centre plus
+tree over each: a node has a whole-number centre, a radius around it, and for every term the radius in that term's
+direction. No document under a node scores more than the query's product with the centre plus the smaller of
 
-    min( sqrt(terms) * radius,  sum over groups of sqrt(terms in the group) * radius of the group ),
+* sqrt(terms that the node holds) * radius, by the Cauchy-Schwarz inequality, and
+* the sum of the query's terms' own radii (the plain ball is wide where many terms are common; these are not).
 
-by the Cauchy-Schwarz inequality. Centres are integers, so that their product is exact; squared radii are widened by far
-more than floats can lose, and the bound is rounded up. Subtrees are visited best bound first and dropped when
+Centres and the terms' radii are integers, so that their sums are exact; squared radii are widened by far
+more than doubles can lose, and the bound is rounded up. Subtrees are visited best bound first and dropped when
 their bound is below the item's threshold; the documents of a leaf are scored exactly in 64-bit integers. Thresholds are scores
 that ``top`` documents are known to reach: found first on a small part of the documents, then raised by each chunk of a task.
 
@@ -39,8 +40,7 @@ from wayloom.llm.common import drop_tables, keep_table, plain_words
 
 TOP = 50
 LEAF = 64
-GROUPS = 32
-CHUNK_ENTRIES = 1_000_000
+CHUNK_ENTRIES = 500_000
 BLOCK_BYTES = 8_000_000
 #: About so many documents give the first thresholds.
 SEED_DOCS = 8192
@@ -72,21 +72,30 @@ class Entries:
 
 @dataclass
 class Node:
+    """Whole-number centre and, for the terms that its documents hold, how far they reach beyond it."""
+
+    cols: np.ndarray
     centre: np.ndarray
+    most: np.ndarray  # largest component: the centre plus the radius in the term's direction
     radius: float
-    radii: np.ndarray
     start: int
     stop: int
     children: list[Node] = field(default_factory=list)
 
+    def bound(self, terms: np.ndarray) -> int:
+        """No document under the node has a larger product with the indicator of ``terms``."""
+        at = np.searchsorted(self.cols, terms)
+        at[at == len(self.cols)] = 0
+        at = at[self.cols[at] == terms]
+        ball = int(self.centre[at].sum()) + math.ceil(math.sqrt(len(at)) * self.radius * (1 + SLACK)) + 1
+        return min(ball, int(self.most[at].sum()))
+
 
 class BallTree:
-    """Ball tree over sparse rows of non-negative integers; ``group`` is the group of each column."""
+    """Ball tree over sparse rows of positive integers in ``width`` columns."""
 
-    def __init__(self, rows: Entries, group: np.ndarray, leaf: int = LEAF) -> None:
-        self.group, self.leaf = group, leaf
-        self.groups = int(group.max()) + 1 if len(group) else 1
-        self.width = len(group)
+    def __init__(self, rows: Entries, width: int, leaf: int = LEAF) -> None:
+        self.width, self.leaf = width, leaf
         self.order: list[np.ndarray] = []
         self.root = self._node(np.arange(len(rows.ptr) - 1), rows, 0)
         self.place = np.concatenate(self.order)  # rows in the order of the leaves
@@ -97,20 +106,17 @@ class BallTree:
         owner = part.owners()
         value = part.val.astype(np.float64)
         centre = np.floor(np.bincount(part.col, value, self.width) / n)
-        # |d - c|^2 = |c|^2 + sum over the document's entries of (v - c)^2 - c^2, for all terms and within each group.
+        most = np.zeros(self.width, np.int64)
+        np.maximum.at(most, part.col, part.val)
+        cols = np.flatnonzero(most)
+        # |d - c|^2 = |c|^2 + the sum of (v - c)^2 - c^2 over the document's entries.
         there = centre[part.col]
-        change = (value - there) ** 2 - there**2
-        weight = value**2 + there**2
-        group = self.group[part.col]
-        whole = np.bincount(self.group, centre**2, self.groups)
-        cell = owner * self.groups + group
-        by_group = np.bincount(cell, change, n * self.groups).reshape(n, self.groups) + whole
-        spread = np.bincount(cell, weight, n * self.groups).reshape(n, self.groups) + whole
-        radii = np.sqrt((by_group + SLACK * spread).max(axis=0).clip(0)) * (1 + SLACK) + 1
-        away = by_group.sum(axis=1)
-        radius = math.sqrt(max(0.0, float((away + SLACK * spread.sum(axis=1)).max()))) * (1 + SLACK) + 1
-        node = Node(centre.astype(np.int64), radius, radii, start, start + n)
-        if n <= self.leaf or not (away > 0).any():
+        norm = float((centre**2).sum())
+        away = np.bincount(owner, (value - there) ** 2 - there**2, n) + norm
+        widened = away + SLACK * (np.bincount(owner, value**2 + there**2, n) + norm)
+        radius = math.sqrt(max(0.0, float(widened.max()))) * (1 + SLACK) + 1
+        node = Node(cols, centre[cols].astype(np.int64), most[cols], radius, start, start + n)
+        if n <= self.leaf:
             self.order.append(rows)
             return node
         # Two far documents are the poles; a document goes to the nearer one, or, if that leaves one side nearly empty, by the median.
@@ -122,8 +128,7 @@ class BallTree:
             dense[part.col[mine]] = value[mine]
             return square - 2 * np.bincount(owner, value * dense[part.col], n) + square[pole]
 
-        first = int(away.argmax())
-        to_first = distance(first)
+        to_first = distance(int(away.argmax()))
         lean = to_first - distance(int(to_first.argmax()))
         left = lean < 0
         if not n // 10 < int(left.sum()) < n - n // 10:
@@ -133,25 +138,18 @@ class BallTree:
             node.children.append(self._node(rows[side], part.take(side), node.children[-1].stop if node.children else start))
         return node
 
-    def bound(self, node: Node, terms: np.ndarray, root: float, roots: np.ndarray) -> int:
-        """No row under the node has a larger product with the indicator of ``terms``."""
-        reach = min(root * node.radius, float(roots @ node.radii))
-        return int(node.centre[terms].sum()) + math.ceil(reach * (1 + SLACK)) + 1
-
     def search(self, terms: np.ndarray, least: int, top: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """(rows, scores, leaves visited) of the ``top`` best rows with a score of ``least`` or more; ties by ``rank``."""
-        per_group = np.bincount(self.group[terms], minlength=self.groups)
-        root, roots = math.sqrt(len(terms)), np.sqrt(per_group)
         asked = np.zeros(self.width, bool)
         asked[terms] = True
         rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        heap = [(-self.bound(self.root, terms, root, roots), 0, self.root)]
+        heap = [(-self.root.bound(terms), 0, self.root)]
         made = visited = 0
         while heap and -heap[0][0] >= least:
             node = heapq.heappop(heap)[2]
             if node.children:
                 for child in node.children:
-                    most = self.bound(child, terms, root, roots)
+                    most = child.bound(terms)
                     if most >= least:
                         made += 1
                         heapq.heappush(heap, (-most, made, child))
@@ -179,7 +177,6 @@ class Queries:
     items: list
     columns: list[np.ndarray]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    group: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     n_docs: int = 0
     n_terms: int = 0
     least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -291,7 +288,7 @@ def search_rows(rows: DataFrame, queries: Queries, id_col: str, top: int) -> Dat
         q = shared.value
         least = q.least.copy()
         for ids, entries in _chunks(batches, q):
-            tree = BallTree(entries, q.group)
+            tree = BallTree(entries, len(q.vocabulary))
             rank = _ranks(ids)
             nth, places, scores = [], [], []
             for i, terms in enumerate(q.columns):
@@ -320,8 +317,6 @@ def _search_block(docs: DataFrame, q: Queries, item_type, id_col: str, text_col:
     for row in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).toLocalIterator():  # at most the block's terms
         df[row["t"]] = row["df"]
     q.weights = np.array([term_weight(q.n_docs, int(x)) for x in df], np.int64)
-    # Groups of about equal numbers of terms, from rare to common.
-    q.group = np.argsort(np.argsort(df, kind="stable"), kind="stable") * min(GROUPS, len(df)) // len(df)
     q.least = np.ones(len(q.items), np.int64)
     if q.n_docs > 4 * SEED_DOCS:
         part = rows.filter(F.pmod(F.xxhash64(id_col, "n"), F.lit(q.n_docs // SEED_DOCS)) == 0)
