@@ -9,7 +9,7 @@ from wayloom.llm.queries import ORACLES, QUERIES
 @pytest.fixture(scope="module")
 def con(sf_dir):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations", "embeddings"):
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     return c
 
@@ -27,5 +27,5 @@ def test_query_matches_sql(spark, sf_dir, con, name):
     assert rows(got) == rows(want)
 
 
-def test_ten_numbered_queries():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")}) == list(range(1, 11))
+def test_numbered_queries():
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")}) == list(range(1, 14))
