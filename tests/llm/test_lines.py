@@ -1,11 +1,13 @@
 import random
 
+from pyspark.sql import functions as F
+
 from wayloom.llm import lines as op
 
 
 def brute(rows, min_words):
     """Lines that some run of at least min_words words covers which stands earlier, too."""
-    docs = sorted({r for r in rows if r[0] is not None and r[1] is not None}, key=lambda r: r[0])
+    docs = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     first, cover = {}, {}
     for key, text in docs:
         split = text.split("\n")
@@ -60,3 +62,21 @@ def test_whole_copies_are_dropped_and_counted(spark):
     long = "\n".join(" ".join(f"w{i}x{j}" for j in range(10)) for i in range(8))
     docs = spark.createDataFrame([(1, long, 5), (2, long, 5), (3, "own\n" + long + "\nend", 5), (4, "short", 5), (5, "short", 5)], "doc_id long, text string, n_chars int")
     assert sorted(map(tuple, op.drop_repeats(docs).collect())) == [(1, long, len(long)), (3, "own\nend", 7), (4, "short", 5), (5, "short", 5)]
+
+
+def test_rows_without_id_take_part_and_columns_pass(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "first\n" + line, "a", 1, 2, {"k": 1}), (1, line + "\nown words", "b", 3, 4, None), (2, "x\n" + line, "c", 5, 6, None), (None, line, "d", 7, 8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, _gone int, _lines int, row map<string,int>").withColumn("code", F.lit(9))
+    got = op.drop_repeats(docs)
+    assert got.columns == docs.columns
+    want = [(None, "first", "a", 1, 2, {"k": 1}, 9), (1, rows[1][1], "b", 3, 4, None, 9), (2, "x", "c", 5, 6, None, 9)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert found(docs, 50) == brute([r[:2] for r in rows], 50)
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("wayloom.llm.common.checkpoint_folder", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(i, "a b c\n" * 30) for i in range(3)], "doc_id long, text string")
+    op.drop_repeats(docs).collect()
+    assert len(list(tmp_path.iterdir())) == 1  # what the result itself is read from

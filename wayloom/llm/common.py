@@ -31,6 +31,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns as one struct, so that names an operator uses itself cannot clash with the caller's."""
+    return F.struct(*(quoted(c).alias(c) for c in docs.columns))
+
+
+def unpacked(docs: DataFrame, row: str = "row", **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of its packed ``row``, some of them changed."""
+    return [changed.get(c, F.col(row)[c]).alias(c) for c in docs.columns]
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
@@ -52,5 +66,20 @@ def drop_tables(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables of ``keep_table`` that are deleted together once the result that needs them is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(keep_table(df))
+        return self.tables[-1]
+
+    def drop(self) -> None:
+        drop_tables(*self.tables)
+        self.tables = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

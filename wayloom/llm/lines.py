@@ -17,7 +17,9 @@ Skew: groups are never gathered. Ranks need counts of smaller keys within a grou
 sqrt(n) buckets of the group and then inside each bucket, on distinct keys with counts.
 
 Defined results: null and empty texts have no repeated lines and stay as they are; blank lines are lines of no words;
-rows that agree in doc_id and text are one document and get the same result; empty tables give empty results.
+rows that agree in doc_id and text are one document and get the same result; rows without an id come last in the order
+and take part like all others (those of one text are one document); columns of any name pass through; empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -29,24 +31,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayloom.llm.common import keep_table
+from wayloom.llm.common import Scratch, keep_table, packed, unpacked
 
 MIN_WORDS = 50
-DOC = ["doc", "code"]
+#: A document: has no id, id, code of the text. In this order, ids come before rows without one.
+DOC = ["bare", "doc", "code"]
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("doc"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("code"), F.col(text_col).alias("text")).filter("doc is not null")
+def _keyed(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    some_id = F.lit("0").cast(docs.schema["doc_id"].dataType)
+    return docs.select(
+        F.col("doc_id").isNull().alias("bare"), F.coalesce(F.col("doc_id"), some_id).alias("doc"),
+        F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("code"), F.col(text_col).alias("text"), *more,
+    )
 
 
-def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc, code, pos, line, words): lines that stand at two or more places of all documents; line is their md5."""
+def repeated_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
+    """(bare, doc, code, pos, line, words): lines that stand at two or more places of all documents; line is their md5."""
     lines = (
         _keyed(docs, text_col)
         .select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "body"))
         .select(*DOC, "pos", F.unhex(F.md5(F.col("body").cast("binary"))).alias("line"), F.regexp_count("body", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
     )
-    often = keep_table(lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line"))
+    often = scratch.keep(lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line"))
     return lines.join(often, "line").repartition(*DOC).dropDuplicates([*DOC, "pos"])
 
 
@@ -62,8 +69,8 @@ def _refined(pairs: DataFrame, spread: Column, buckets: int) -> DataFrame:
     )
 
 
-def suffix_ranks(lines: DataFrame) -> DataFrame:
-    """(k, doc, code, pos, rank): ranks of the suffixes by their first 2^k lines, for every k for which that run is repeated.
+def suffix_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, bare, doc, code, pos, rank): ranks of the suffixes by their first 2^k lines, for every k for which that run is repeated.
 
     A suffix alone in its group is in its final place and takes no part in further rounds, nor does one whose
     continuation is alone: neither starts a repeated run of more lines.
@@ -75,7 +82,7 @@ def suffix_ranks(lines: DataFrame) -> DataFrame:
     levels: list[DataFrame] = []
     while True:
         pairs = level.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1")
-        ranks = keep_table(level.join(_refined(keep_table(pairs), spread, buckets), ["rank", "next"]).select(*DOC, "pos", F.col("finer").alias("rank")))
+        ranks = scratch.keep(level.join(_refined(scratch.keep(pairs), spread, buckets), ["rank", "next"]).select(*DOC, "pos", F.col("finer").alias("rank")))
         levels.append(ranks.select(F.lit(len(levels)).alias("k"), *DOC, "pos", "rank"))
         if ranks.isEmpty():
             return functools.reduce(DataFrame.unionByName, levels)
@@ -103,7 +110,7 @@ def chained(lines: DataFrame) -> DataFrame:
 
 
 def run_ends(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, code, start, stop): for each position the shortest runs of ``min_words`` words from it on and up to it."""
+    """(bare, doc, code, start, stop): for each position the shortest runs of ``min_words`` words from it on and up to it."""
     order = Window.partitionBy(*DOC).orderBy("pos")
     fresh = F.when(F.col("pos") - F.lag("pos").over(order) == 1, 0).otherwise(1)
     runs = lines.select(*DOC, "pos", "words", fresh.alias("new")).withColumn("run", F.sum("new").over(order))
@@ -129,13 +136,13 @@ def run_ends(lines: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def later_copies(lines: DataFrame, ranks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, code, start, stop, lines, copies): runs of which an earlier copy exists."""
+def later_copies(lines: DataFrame, ranks: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """(bare, doc, code, start, stop, lines, copies): runs of which an earlier copy exists."""
     size = (F.col("stop") - F.col("start") + 1).alias("lines")
     runs = run_ends(lines, min_words).select(*DOC, "start", "stop", size).withColumn("k", F.floor(F.log2(F.col("lines").cast("double") + 0.5)).cast("int"))
     at = ranks.select("k", *DOC, F.col("pos").alias("start"), F.col("rank").alias("head"))
     tail = ranks.select("k", *DOC, F.col("pos").alias("tail"), F.col("rank").alias("foot"))
-    named = keep_table(
+    named = scratch.keep(
         runs.withColumn("tail", F.expr("stop + 1 - shiftleft(1L, k)"))
         .join(at, ["k", *DOC, "start"])
         .join(tail, ["k", *DOC, "tail"])
@@ -143,14 +150,14 @@ def later_copies(lines: DataFrame, ranks: DataFrame, min_words: int = MIN_WORDS)
     )
     place = F.struct(*DOC, "start")
     interval = ["lines", "head", "foot"]
-    firsts = keep_table(named.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1"))
+    firsts = scratch.keep(named.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1"))
     return named.join(firsts, interval).filter(place > F.col("first")).select(*DOC, "start", "stop", "lines", "copies")
 
 
-def deleted_lines(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, code, gone): the places of deleted lines of each document that loses any, in order."""
-    lines = keep_table(chained(repeated_lines(docs, text_col).withColumn("at", F.col("pos"))).select(*DOC, F.col("pos").cast("long").alias("pos"), "at", "line", "words"))
-    copies = later_copies(lines, suffix_ranks(lines), min_words)
+def deleted_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(bare, doc, code, gone): the places of deleted lines of each document that loses any, in order."""
+    lines = scratch.keep(chained(repeated_lines(docs, scratch, text_col).withColumn("at", F.col("pos"))).select(*DOC, F.col("pos").cast("long").alias("pos"), "at", "line", "words"))
+    copies = later_copies(lines, suffix_ranks(lines, scratch), scratch, min_words)
     order = Window.partitionBy(*DOC).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     # Overlapping runs are cut to what they add, so that each line is named once.
     added = copies.withColumn("from", F.greatest(F.col("start"), F.coalesce(F.max("stop").over(order) + 1, F.col("start")))).filter("from <= stop")
@@ -158,34 +165,42 @@ def deleted_lines(docs: DataFrame, text_col: str = "text", min_words: int = MIN_
     return gone.groupBy(*DOC).agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies of repeated runs cut from the text, and columns _lines and _gone: lines before, lines deleted."""
-    cuts = keep_table(deleted_lines(docs, "text", min_words))
-    keyed = docs.withColumn("_code", F.coalesce(F.xxhash64("text"), F.lit(0)))
+def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
+    """(row, fresh, n_lines, n_gone): the packed rows with their text after line dedup, lines before and lines deleted."""
+    scratch = Scratch()
+    cuts = keep_table(deleted_lines(docs, scratch, "text", min_words))
+    scratch.drop()
     # The hint keeps one plan at every size: texts are shuffled once and never sorted.
-    found = cuts.select(F.col("doc").alias("_doc"), F.col("code").alias("_cut"), "gone").hint("shuffle_hash")
-    joined = keyed.join(found, (F.col("doc_id") == F.col("_doc")) & (F.col("_code") == F.col("_cut")), "left")
-    rows = joined.withColumn("_split", F.split("text", "\n", -1)).withColumn("_lines", F.coalesce(F.size("_split"), F.lit(0)))
+    joined = _keyed(docs, "text", packed(docs).alias("row")).join(cuts.hint("shuffle_hash"), DOC, "left")
+    rows = joined.withColumn("split", F.split("text", "\n", -1)).withColumn("n_lines", F.coalesce(F.size("split"), F.lit(0)))
     # The lines between two deleted places are one slice; places are counted from 0, the ends are -1 and the number of lines.
     kept = F.expr(
-        "array_join(flatten(transform(sequence(0, size(gone)), i -> slice(_split, "
+        "array_join(flatten(transform(sequence(0, size(gone)), i -> slice(split, "
         "if(i = 0, 1, gone[int(greatest(i - 1, 0))] + 2), "
-        "if(i = size(gone), _lines, gone[int(least(i, size(gone) - 1))]) - if(i = 0, 0, gone[int(greatest(i - 1, 0))] + 1)))), '\n')"
+        "if(i = size(gone), n_lines, gone[int(least(i, size(gone) - 1))]) - if(i = 0, 0, gone[int(greatest(i - 1, 0))] + 1)))), '\n')"
     )
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    return rows.withColumn("text", text).withColumn("_gone", F.coalesce(F.size("gone"), F.lit(0))).select(*docs.columns, "_lines", "_gone")
+    fresh = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    return rows.select("row", fresh.alias("fresh"), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).alias("n_gone"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, lines_col: str = "_lines", gone_col: str = "_gone") -> DataFrame:
+    """``docs`` with later copies of repeated runs cut from the text, and in place of columns of these names the lines before and the lines deleted."""
+    others = docs.drop(lines_col, gone_col)
+    return _deduped(others, min_words).select(*unpacked(others, text=F.col("fresh")), F.col("n_lines").alias(lines_col), F.col("n_gone").alias(gone_col))
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` after line dedup, columns unchanged; documents of which nothing but white space is left are dropped."""
-    cut = dedup_lines(docs)
-    left = cut.filter((F.col("_gone") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
-    columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return left.select(*columns)
+    left = _deduped(docs, min_words).filter((F.col("n_gone") == 0) | F.regexp_like("fresh", F.lit(r"[^\x20\x09-\x0D]")))
+    changed = {"text": F.col("fresh")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("fresh").cast(docs.schema["n_chars"].dataType)
+    return left.select(*unpacked(docs, **changed))
 
 
 ORACLE = r"""
-WITH RECURSIVE d AS (SELECT DISTINCT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+WITH RECURSIVE o AS (SELECT doc_id AS id, text, dense_rank() OVER (ORDER BY doc_id NULLS LAST, text) AS doc_id FROM documents),
+d AS (SELECT DISTINCT doc_id, string_split(text, chr(10)) AS l FROM o WHERE text IS NOT NULL),
 p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
 n AS (SELECT line, count(*) AS c, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM p GROUP BY line),
 q AS (SELECT p.*, w, c FROM p JOIN n USING (line)),
@@ -198,7 +213,7 @@ t AS (SELECT w.doc_id, i0, i1, array_to_string(l[i0:i1], chr(10)) AS body FROM w
 g AS (SELECT doc_id, i0, i1, row_number() OVER (PARTITION BY body ORDER BY doc_id, i0) AS nth FROM t),
 x AS (SELECT DISTINCT doc_id, unnest(range(i0, i1 + 1)) AS i FROM g WHERE nth > 1),
 k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM p ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
-SELECT o.doc_id, CASE WHEN o.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+SELECT o.id AS doc_id, CASE WHEN o.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
   CAST(coalesce(len(string_split(o.text, chr(10))), 0) AS INT) AS n_lines, CAST(coalesce(m.n, 0) AS INT) AS n_deleted
-FROM documents o LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id) m USING (doc_id)
+FROM o LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id) m USING (doc_id)
 """
