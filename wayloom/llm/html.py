@@ -2,16 +2,21 @@
 
 The standard parser's events are cut into *lines*, one per block element (headings, paragraphs, list items, cells,
 ...). A line knows its text, the number of tags met in it, the share of its text inside links, and the container it
-stands in. Lines in containers that never hold content (menus, headers, footers, asides, forms, scripts, styles,
-adverts, notices, comments) are no candidates. Text-to-tag ratios of the remaining lines are smoothed with a Gaussian
-along the page, and the smoothed ratios are split into two clusters by an iterated threshold (the middle of both
-means). Lines over the threshold form content regions; the region with the most text names the content container
-(its article, else its main, else the body), and all candidate lines of that container are the main text, so that
-short paragraphs between long ones stay. In a body without article or main only lines of the regions, and lines
-between two of them, are taken.
+stands in. Text-to-tag ratios of all candidate lines are smoothed with a Gaussian along the page, and the smoothed ratios are
+split into two clusters by an iterated threshold (the middle of both means; means that differ by less than a factor are one cluster). Lines over the threshold form content
+regions. Where the page marks articles (or a main part), every one that holds a content region is taken, with
+all its candidate lines, so that short paragraphs and list items between long ones stay; elsewhere the regions
+themselves are the text, with the lines between the first and the last of them that are not mostly links.
+
+Which lines are candidates is one more input: lines in elements that by their tag, role or class are no content (menus,
+headers, also that of an article, footers, asides, forms, scripts, styles, adverts, notices, comments) are none. A class or id
+counts by its words, unless it negates or only states something ("no-sidebar", "comments-open"), and never on an element
+that is or holds the page's article or main part.
+
+A link counts as such only when its end is met: an unclosed one does not make the rest of the page link text.
 
 Defined results: null and empty pages, and pages without candidate lines, give an empty text; unclosed and stray tags
-are tolerated (an unclosed paragraph ends at the next block); rows are judged one by one.
+are tolerated (an unclosed paragraph ends at the next block); articles come in page order; rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -37,68 +42,119 @@ MARKS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent footer header menu modal nav navbar "
     "navigation newsletter notice notices popup promo promoted related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that make a class a statement about the page and not a name of the box.
+NEGATIONS = frozenset("no not has have with without hide is".split())
+STATES = frozenset("open opened closed enabled disabled allowed visible on off none".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SIGMA = 1.0
 RADIUS = 2
+APART = 2.0
 LINK_SHARE = 0.8
 
 
+def names_no_content(said: str) -> bool:
+    """Whether a class or id attribute names a box that holds no content."""
+    for name in said.lower().replace("_", "-").split():
+        parts = [p for p in name.split("-") if p]
+        if parts and parts[0] not in NEGATIONS and parts[-1] not in STATES and not MARKS.isdisjoint(parts):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, container, excluded) per block line."""
+    """Collects [text, tags, characters by link, container, excluding element] per block line.
+
+    Elements that are excluded by their names alone are numbered, as an article met inside takes the exclusion back.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, int, int, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, excluded, container
+        self.lines: list[tuple[str, int, dict[int, int], int, int]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, excluded, container, excluded by name in this element (0: none)
         self.kinds: list[str] = ["body"]  # of containers
         self.parts: list[str] = []
-        self.tags = self.link_chars = self.links = 0
+        self.tags = 0
+        self.link_chars: dict[int, int] = {}
+        self.links = self.named = 0
+        self.open_links: list[tuple[int, int]] = []  # link, depth of the stack
+        self.closed_links: set[int] = set()
+        self.taken_back: set[int] = set()
 
-    def state(self) -> tuple[bool, int]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
+    def state(self) -> tuple[bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0, 0)
 
     def close_line(self) -> None:
         text = " ".join("".join(self.parts).split())
-        excluded, container = self.state()
+        excluded, container, named = self.state()
         if text and not excluded:
-            self.rows.append((text, self.tags, self.link_chars, container))
+            self.lines.append((text, self.tags, self.link_chars, container, named))
         self.parts.clear()
-        self.tags = self.link_chars = 0
+        self.tags = 0
+        self.link_chars = {}
+
+    @property
+    def rows(self) -> list[tuple[str, int, int, int]]:
+        """(text, tags, characters in closed links, container) of the candidate lines."""
+        return [
+            (text, tags, sum(n for link, n in links.items() if link in self.closed_links), container)
+            for text, tags, links, container, named in self.lines
+            if not named or named in self.taken_back
+        ]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.close_line()
-            if self.stack and self.stack[-1][0] == "p":
-                self.stack.pop()
+            # An open paragraph ends here, with what is open in it.
+            depth = len(self.stack) - 1
+            while depth >= 0 and self.stack[depth][0] not in BLOCKS:
+                depth -= 1
+            if depth >= 0 and self.stack[depth][0] == "p":
+                self.cut(depth)
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        excluded, container = self.state()
-        named = dict(attrs)
-        said = f"{named.get('class') or ''} {named.get('id') or ''}".lower().replace("-", " ").replace("_", " ").split()
-        inside = tag in NEVER or "hidden" in named or (named.get("role") or "").lower() in ROLES or not MARKS.isdisjoint(said)
+        excluded, container, named = self.state()
+        attributes = dict(attrs)
+        inside = tag in NEVER or "hidden" in attributes or (attributes.get("role") or "").lower() in ROLES
+        by_name = names_no_content(f"{attributes.get('class') or ''} {attributes.get('id') or ''}")
         if tag in ("article", "main") and not excluded:
-            # An article within comments or asides is excluded by them; a nested one belongs to the outer.
-            if self.kinds[container] != "article" and not (inside and tag == "article"):
+            comment = tag == "article" and (inside or by_name)
+            outer = [open_named for *_, open_named in self.stack if open_named]
+            # A box that holds the first article or main part is no comment box, whatever its class says.
+            if not comment and len(self.kinds) == 1:
+                self.taken_back.update(outer)
+            # A nested article belongs to the outer one.
+            if self.kinds[container] != "article" and not comment:
                 self.kinds.append(tag)
                 container = len(self.kinds) - 1
-        if tag in ("html", "body", "article", "main"):
-            inside = inside and tag == "article"
+        if tag in ("html", "body", "main"):
+            inside = by_name = False
+        if by_name and not excluded and not inside and not (named and named not in self.taken_back):
+            self.named += 1
+            named = self.named
         if tag == "a":
+            self.open_links.clear()  # links do not nest; one that is still open was never closed
             self.links += 1
-        self.stack.append((tag, excluded or inside, container))
+            self.open_links.append((self.links, len(self.stack)))
+        self.stack.append((tag, excluded or inside, container, named))
+
+    def cut(self, depth: int) -> None:
+        """Close the elements from ``depth`` on; links left open in them are over, unclosed."""
+        del self.stack[depth:]
+        while self.open_links and self.open_links[-1][1] >= depth:
+            self.open_links.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.close_line()
         self.tags += 1
-        if tag == "a" and self.links:
-            self.links -= 1
+        if tag == "a" and self.open_links:
+            self.closed_links.add(self.open_links.pop()[0])
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
-                del self.stack[depth:]
+                self.cut(depth)
                 break
             if self.stack[depth][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
                 break  # a stray end tag closes nothing outside the content container
@@ -107,8 +163,9 @@ class Lines(HTMLParser):
         if self.stack and self.stack[-1][0] in ("script", "style"):
             return
         self.parts.append(data)
-        if self.links:
-            self.link_chars += len(data)
+        if self.open_links:
+            link = self.open_links[-1][0]
+            self.link_chars[link] = self.link_chars.get(link, 0) + len(data)
 
 
 def smooth(values: list[float], sigma: float = SIGMA, radius: int = RADIUS) -> list[float]:
@@ -126,16 +183,17 @@ def smooth(values: list[float], sigma: float = SIGMA, radius: int = RADIUS) -> l
 
 
 def threshold(values: list[float]) -> float:
-    """Middle of the means of the two clusters that it separates itself; all equal values are over it."""
+    """Middle of the means of the two clusters that it separates itself; where these differ by less than ``APART`` times, all values are over it."""
     cut = sum(values) / len(values)
     for _ in range(100):
         low = [v for v in values if v < cut]
         high = [v for v in values if v >= cut]
         if not low or not high:
             return min(values)
-        moved = (sum(low) / len(low) + sum(high) / len(high)) / 2
+        mean_low, mean_high = sum(low) / len(low), sum(high) / len(high)
+        moved = (mean_low + mean_high) / 2
         if abs(moved - cut) < 1e-9:
-            break
+            return cut if mean_high >= APART * mean_low else min(values)
         cut = moved
     return cut
 
@@ -157,10 +215,13 @@ def main_text(html: str | None) -> str:
     for chosen, (text, _, _, container) in zip(content, rows, strict=True):
         if chosen:
             size[container] = size.get(container, 0) + len(text)
-    if any(parser.kinds[c] != "body" for c in size) or (not size and len(parser.kinds) > 1):
-        marked = [c for c in size if parser.kinds[c] != "body"] or list(range(1, len(parser.kinds)))
-        best = max(marked, key=lambda c: (parser.kinds[c] == "article", size.get(c, 0), -c))
-        kept = [text for text, _, _, container in rows if container == best]
+    marked = {c for c in size if parser.kinds[c] == "article"} or {c for c in size if parser.kinds[c] == "main"}
+    if not marked and not size:
+        # No line stands out; what the page marks decides.
+        present = {container for *_, container in rows if parser.kinds[container] != "body"}
+        marked = {c for c in present if parser.kinds[c] == "article"} or present
+    if marked:
+        kept = [text for text, _, _, container in rows if container in marked]
     else:
         inside = [i for i, chosen in enumerate(content) if chosen]
         if not inside:
