@@ -77,3 +77,19 @@ def test_broken_files_are_reported(spark):
     rows = [(1, good), (2, good[:40]), (3, b"no"), (4, None), (5, good[:-300])]
     got = op.gif_frames(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
     assert [r["error"] is None for r in sorted(got, key=lambda r: r["doc_id"])] == [True, False, False, False, False]
+
+
+def test_broken_files_do_not_end_the_digests(spark):
+    good = op.encode_gif([bytes(576)], 24)
+    huge = gif(65535, 65535, frame(0, 0, 1, 1, [1]))
+    wide = gif(1, 1, frame(0, 0, 65535, 65535, [1]))
+    rows = [(1, 5, good), (2, 5, good[:40]), (3, 5, None), (4, 5, huge), (5, 5, wide), (6, 5, b"")]
+    got = {r["doc_id"]: r for r in op.media_digests(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(got) == 6 and got[1]["payload_bytes"] == 576 and got[1]["error"] is None
+    assert all(got[i]["payload_sha256"] is None and got[i]["error"] for i in (2, 3, 4, 5, 6))
+    assert got[4]["error"] == "canvas too large" and got[5]["error"] == "frame too large"
+
+
+def test_frames_come_one_by_one():
+    frames = op.iter_frames(gif(1, 1, frame(0, 0, 1, 1, [1]), frame(0, 0, 1, 1, [2]))[:-3])
+    assert red(next(frames)) == [[255]]

@@ -3,10 +3,13 @@
 ``encode_gif`` stores frames of 8-bit samples under a palette with LZW code streams; ``decode_gif`` reads any GIF
 of the 87a and 89a formats: global and local palettes, code streams of any starting size with clear codes and deferred
 clears, interlaced rows, transparency, the disposal rules and frame delays. Frames are composed on the canvas and
-given as red, green, blue and alpha planes. Files are bounded by their row; tasks hold one Arrow batch of them.
+given as red, green, blue and alpha planes. Files are bounded by their row; tasks hold one Arrow batch of them, and one
+canvas at a time, of at most ``MAX_PIXELS`` pixels (a parameter of ``iter_frames``): a header can ask for far more than
+its file holds.
 
-Defined results: a null text is stored as an empty payload; a broken file gives no frames and an error text instead
-of a failed job; rows are treated one by one, so repeated rows get equal results.
+Defined results: a null text is stored as an empty payload; a broken file, one that asks for a larger canvas or frame, and a
+null file give null figures and an error text instead of a failed job; rows are treated one by one, so repeated rows
+get equal results.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ PAD = 255
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
 HISTOGRAM_BINS = 8
 LAST_CODE = 4095
+MAX_PIXELS = 1 << 26
+#: Bytes of canvases in a batch of frames.
+BATCH_BYTES = 1 << 25
+BROKEN = (ValueError, IndexError)
 
 
 @dataclass
@@ -176,14 +183,15 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
-def decode_gif(data: bytes) -> list[Frame]:
-    """Frames of a GIF as composed on its canvas."""
+def iter_frames(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[Frame]:
+    """Frames of a GIF as composed on its canvas, one by one; each is a copy of its own."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
     common, at = _palette(data, 13, data[10])
+    if width * height > max_pixels:
+        raise ValueError("canvas too large")
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     delay = disposal = now = 0
     transparent: int | None = None
     while data[at] != 0x3B:
@@ -199,6 +207,8 @@ def decode_gif(data: bytes) -> list[Frame]:
             raise ValueError("unknown block")
         left, top, w, h = (int.from_bytes(data[at + i : at + i + 2], "little") for i in (1, 3, 5, 7))
         flags = data[at + 9]
+        if w * h > max_pixels:
+            raise ValueError("frame too large")
         own, at = _palette(data, at + 10, flags)
         palette = own if own is not None else common
         if palette is None:
@@ -228,7 +238,7 @@ def decode_gif(data: bytes) -> list[Frame]:
                 mask &= seen != transparent
             view[mask, :3] = colours[mask]
             view[mask, 3] = 255
-        frames.append(Frame(now, delay, canvas.copy(), (left, top, w, h)))
+        yield Frame(now, delay, canvas.copy(), (left, top, w, h))
         now += delay
         if disposal == 2:
             view[...] = 0
@@ -236,7 +246,10 @@ def decode_gif(data: bytes) -> list[Frame]:
             canvas = before
         delay = disposal = 0
         transparent = None
-    return frames
+
+
+def decode_gif(data: bytes, max_pixels: int = MAX_PIXELS) -> list[Frame]:
+    return list(iter_frames(data, max_pixels))
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -264,27 +277,42 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 FRAME_COLUMNS = "frame int, start_ms long, delay_ms long, width int, height int, rgba binary, red array<long>, green array<long>, blue array<long>, error string"
 
 
+def _batch(key, key_type: pa.DataType, rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key] * len(rows), key_type), *(pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds))], names)
+
+
 def gif_frames(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per frame of every file: its time, its canvas and its colour histograms; a broken file is one row with an error."""
+    """One row per frame of every file: its time, its canvas and its colour histograms; where a file breaks, a row with an error."""
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.string()]
     names = [part.split()[0] for part in FRAME_COLUMNS.split(", ")]
 
+    def rows_of(media: bytes | None) -> Iterator[tuple]:
+        try:
+            for i, f in enumerate(iter_frames(media or b"")):
+                yield i, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), *f.histograms(), None
+        except BROKEN as broken:
+            yield (None,) * 9 + (str(broken),)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind = batch.schema.field(0).type
             for key, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    frames = decode_gif(media.as_py() or b"")
-                    rows = [(i, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), *f.histograms(), None) for i, f in enumerate(frames)]
-                except (ValueError, IndexError) as broken:
-                    rows = [(None,) * 9 + (str(broken),)]
-                columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), batch.schema.field(0).type), *columns], [id_col, *names])
+                held: list[tuple] = []
+                size = 0
+                for row in rows_of(media.as_py()):
+                    held.append(row)
+                    size += len(row[5] or b"")
+                    if size >= BATCH_BYTES:
+                        yield _batch(key, kind, held, kinds, [id_col, *names])
+                        held, size = [], 0
+                if held:
+                    yield _batch(key, kind, held, kinds, [id_col, *names])
 
     rows = files.select(id_col, media_col)
     return rows.mapInArrow(read, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, {FRAME_COLUMNS}")
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long"
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, error string"
 
 
 def media_digests(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -294,17 +322,23 @@ def media_digests(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     names = [part.split()[0] for part in DIGEST.split(", ")]
 
+    def facts(data: bytes | None) -> tuple:
+        try:
+            parts, total = [], 0
+            for f in iter_frames(data or b""):
+                parts.append(f.drawn()[..., 0].tobytes())
+                total += f.delay_ms
+        except BROKEN as broken:
+            return (None,) * 7 + (str(broken),)
+        payload = b"".join(parts)
+        grey = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=HISTOGRAM_BINS)
+        feature = f"{len(parts)}:{total}:{','.join(map(str, grey.tolist()))}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(parts), None
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for n, media in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = media.as_py()
-                frames = decode_gif(data)
-                payload = b"".join(f.drawn()[..., 0].tobytes() for f in frames)
-                grey = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=HISTOGRAM_BINS)
-                feature = f"{len(frames)}:{sum(f.delay_ms for f in frames)}:{','.join(map(str, grey.tolist()))}"
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(frames)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            rows = [(n, *facts(media.as_py())) for n, media in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
             columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names])
 
