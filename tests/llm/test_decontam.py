@@ -64,3 +64,24 @@ def test_hard_rows(spark, hard_docs):
     assert kept.columns == hard_docs.columns and kept.count() == len(rows) - 2
     assert found(hard_docs, b.limit(0)) == brute(rows, [])
     assert found(hard_docs.limit(0), b) == []
+
+
+def test_short_items_leave_the_segments_of_others_alone(spark, sf_docs, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    more = items.unionByName(spark.createDataFrame([(900, "the"), (901, "that and")], "item_id long, text string"))
+    sizes = []
+    segments = op.segments
+
+    def counted(*args):
+        out = segments(*args)
+        sizes.append({r["k"]: r["n"] for r in out.selectExpr("inline(segs)").selectExpr("k", "size(words) n").groupBy("k").sum("n").toDF("k", "n").collect()})
+        return out
+
+    op.segments = counted
+    try:
+        docs = [(r["doc_id"], r["text"]) for r in sf_docs.collect()]
+        assert found(sf_docs, more) == brute(docs, [tuple(r) for r in more.collect()])
+        assert found(sf_docs, items) == brute(docs, [tuple(r) for r in items.collect()])
+    finally:
+        op.segments = segments
+    assert sizes[0][op.SHINGLE] == sizes[1][op.SHINGLE] and set(sizes[1]) == {op.SHINGLE}

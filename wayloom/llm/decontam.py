@@ -11,8 +11,11 @@ shingles, in place. For containment of the whole set the necessary prefix is one
 3. Segments join the windows on that shingle; a window must fit into the segment around it (positional bound), and
    its words are then compared one by one. No hash decides.
 
-What is broadcast is the bitmap, whose size is fixed; all joins are on shingles or row ids and left to Spark.
-Null and empty texts have no words and are never hit. Rows are judged one by one, so repeated rows get equal results.
+Windows of one or two words (whole items) have shingles of that many words and a bitmap of their own, so that they do not
+widen the segments of the others; every place of their words is a segment, which is as many as they have hits.
+
+What is broadcast are the bitmaps, whose size is fixed; all joins are on shingles or row ids and left to Spark.
+Null and empty texts have no words and are never hit. Columns of any name pass through ``decontaminate``. Rows are judged one by one, so repeated rows get equal results.
 Repeated items count once; a null or empty item has no window.
 """
 
@@ -23,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayloom.llm.common import keep_table, plain_words
+from wayloom.llm.common import Scratch, keep_table, packed, plain_words, unpacked
 
 WINDOW = 13
 SHINGLE = 3
@@ -94,13 +98,16 @@ def _bitmap(windows: DataFrame, k: int) -> bytes:
     return bits.tobytes()
 
 
-def segments(docs: DataFrame, text_col: str, bitmap, k: int, shortest: int) -> DataFrame:
-    """``docs`` without the text, plus n_words and segs: (start, words) of stretches that may hold a window."""
+def segments(docs: DataFrame, text_col: str, kinds: list[tuple[int, int, Broadcast]]) -> DataFrame:
+    """``docs`` without the text, plus n_words and segs: (k, start, words) of stretches that may hold a window.
+
+    ``kinds``: (k, length of the shortest window, bitmap) for every number of words in a shingle.
+    """
     others = [c for c in docs.columns if c != text_col]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words32 = np.frombuffer(bitmap.value, np.uint32)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.list_(pa.string()))]))
+        maps = [(k, shortest, np.frombuffer(bitmap.value, np.uint32)) for k, shortest, bitmap in kinds]
+        kind = pa.list_(pa.struct([("k", pa.int32()), ("start", pa.int32()), ("words", pa.list_(pa.string()))]))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             counts: list[int] = []
@@ -109,18 +116,18 @@ def segments(docs: DataFrame, text_col: str, bitmap, k: int, shortest: int) -> D
             bounds: list[int] = [0]
 
             def flush() -> None:
-                codes = shingle_codes(buffer, k)
-                places = _places(codes)
-                hit = (words32[places >> 5] >> (places & 31).astype(np.uint32)) & np.uint32(1)
-                for lo, hi in zip(bounds, bounds[1:], strict=False):
-                    flags = hit[lo : max(lo, hi - k + 1)]
-                    found = []
-                    if flags.any():
-                        edges = np.flatnonzero(np.diff(np.concatenate(([0], flags, [0])).astype(np.int8)))
-                        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                            if e - s + k - 1 >= shortest:
-                                found.append({"start": s, "words": [w.decode() for w in buffer[lo + s : lo + e + k - 1]]})
-                    segs.append(found)
+                done = len(segs)
+                segs.extend([] for _ in bounds[1:])
+                for k, shortest, words32 in maps:
+                    places = _places(shingle_codes(buffer, k))
+                    hit = (words32[places >> 5] >> (places & 31).astype(np.uint32)) & np.uint32(1)
+                    for nth, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                        flags = hit[lo : max(lo, hi - k + 1)]
+                        if flags.any():
+                            edges = np.flatnonzero(np.diff(np.concatenate(([0], flags, [0])).astype(np.int8)))
+                            for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                                if e - s + k - 1 >= shortest:
+                                    segs[done + nth].append({"k": k, "start": s, "words": [w.decode() for w in buffer[lo + s : lo + e + k - 1]]})
                 buffer.clear()
                 bounds[:] = [0]
 
@@ -138,50 +145,55 @@ def segments(docs: DataFrame, text_col: str, bitmap, k: int, shortest: int) -> D
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    return docs.mapInArrow(scan, f"{schema}, n_words long, segs array<struct<start:int,words:array<string>>>")
+    return docs.mapInArrow(scan, f"{schema}, n_words long, segs array<struct<k:int,start:int,words:array<string>>>")
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, text_code (``xxhash64`` of the text), n_words, n_hit, n_items, items, items_sha256."""
-    windows = keep_table(item_windows(items, item_col, "text", window))
-    shortest = windows.agg(F.min(F.size("words"))).first()[0] or window
-    k = min(SHINGLE, shortest)
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(windows, k))
+    scratch = Scratch()
+    windows = scratch.keep(item_windows(items, item_col, "text", window).withColumn("k", F.least(F.size("words"), F.lit(SHINGLE))))
+    spark = docs.sparkSession
+    kinds = [
+        (row["k"], row["shortest"], spark.sparkContext.broadcast(_bitmap(windows.filter(F.col("k") == row["k"]), row["k"])))
+        for row in windows.groupBy("k").agg(F.min(F.size("words")).alias("shortest")).orderBy("k").collect()  # at most SHINGLE rows
+    ]
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col),
         F.xxhash64(F.col(text_col)).alias("text_code"),
         F.col(text_col).cast("string").alias("_text"),
     )
-    scanned = keep_table(segments(rows, "_text", bitmap, k, shortest))
+    scanned = keep_table(segments(rows, "_text", kinds))
 
     def shingles(words: str) -> F.Column:
-        return F.expr(f"transform(sequence(1, size({words}) - {k - 1}), i -> array_join(slice({words}, i, {k}), ' '))")
+        return F.expr(f"transform(sequence(1, size({words}) - k + 1), i -> array_join(slice({words}, i, k), ' '))")
 
-    found = scanned.select("row", F.explode("segs").alias("seg")).select("row", "seg.start", "seg.words")
-    placed = found.select("row", "start", F.size("words").alias("n"), F.posexplode(shingles("words")).alias("at", "shingle"))
-    rarity = placed.groupBy("shingle").agg(F.count("*").alias("df"))
-    texts = windows.select(F.array_join("words", " ").alias("window"), F.size("words").alias("len"), "words").distinct()
-    parts = texts.select("window", "len", F.posexplode(shingles("words")).alias("offset", "shingle"))
+    found = scanned.select("row", F.explode("segs").alias("seg")).select("row", "seg.k", "seg.start", "seg.words")
+    placed = found.select("row", "k", "start", F.size("words").alias("n"), F.posexplode(shingles("words")).alias("at", "shingle"))
+    rarity = placed.groupBy("k", "shingle").agg(F.count("*").alias("df"))
+    texts = windows.select("k", F.array_join("words", " ").alias("window"), F.size("words").alias("len"), "words").distinct()
+    parts = texts.select("k", "window", "len", F.posexplode(shingles("words")).alias("offset", "shingle"))
     anchors = (
-        parts.join(rarity, "shingle")
-        .groupBy("window", "len")
+        parts.join(rarity, ["k", "shingle"])
+        .groupBy("k", "window", "len")
         .agg(F.count("*").alias("known"), F.min(F.struct("df", "shingle", "offset")).alias("rarest"))
-        .filter(F.col("known") == F.col("len") - (k - 1))
-        .select("window", "len", "rarest.shingle", "rarest.offset")
+        .filter(F.col("known") == F.col("len") - F.col("k") + 1)
+        .select("k", "window", "len", "rarest.shingle", "rarest.offset")
     )
     near = (
-        placed.join(anchors, "shingle")
+        placed.join(anchors, ["k", "shingle"])
         .filter((F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("len") <= F.col("n")))
-        .select("row", "start", (F.col("at") - F.col("offset")).alias("lo"), "len", "window")
+        .select("row", "k", "start", (F.col("at") - F.col("offset")).alias("lo"), "len", "window")
     )
     hits = keep_table(
-        near.join(found, ["row", "start"])
+        near.join(found, ["row", "k", "start"])
         .filter(F.expr("array_join(slice(words, lo + 1, len), ' ') = window"))
         .select("row", (F.col("start") + F.col("lo")).cast("long").alias("s"), (F.col("start") + F.col("lo") + F.col("len")).cast("long").alias("e"), "window")
     )
+    owners = keep_table(windows.select(F.array_join("words", " ").alias("window"), F.col("item_id").cast("string").alias("item_id")).filter("item_id is not null"))
+    scratch.drop()
     before = Window.partitionBy("row").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
         hits.select("row", "s", "e").distinct()
@@ -189,7 +201,6 @@ def contamination(
         .groupBy("row")
         .agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "done"))).alias("n_hit"))
     )
-    owners = windows.select(F.array_join("words", " ").alias("window"), F.col("item_id").cast("string").alias("item_id")).filter("item_id is not null")
     named = hits.select("row", "window").distinct().join(owners, "window").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     none = F.array().cast("array<string>")
     return (
@@ -209,8 +220,10 @@ def contamination(
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, columns unchanged; rows with equal doc_id and text share one verdict."""
-    bad = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_code").alias("_code")).distinct().hint("shuffle_hash")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_code"]), "left_anti")
+    bad = contamination(docs, items).filter("contaminated").select("doc_id", "text_code").distinct().hint("shuffle_hash").alias("bad")
+    rows = docs.select(packed(docs).alias("row"), "doc_id", F.xxhash64("text").alias("text_code")).alias("rows")
+    same = F.col("rows.doc_id").eqNullSafe(F.col("bad.doc_id")) & (F.col("rows.text_code") == F.col("bad.text_code"))
+    return rows.join(bad, same, "left_anti").select(*unpacked(docs))
 
 
 ORACLE = r"""
