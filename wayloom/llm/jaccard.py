@@ -9,8 +9,8 @@ similar sets have a token in common.
   decided first on tokens of a fixed part of the code space (an order that puts them first; a quarter at 90 %, half at
   80 %), so that only this part is counted and shuffled; sets that it cannot rule out are read again, whole, and ordered
   by the rarity of all their tokens. Pairs that share a prefix token must also fit by length and by the position of the token.
-* Orders 2 and 3 are by ascending and by descending code. A pair must share a token of these prefixes, too, before its
-  whole sets are intersected, which decides exactly.
+* Orders 2 and 3 are by ascending and by descending code. Their prefixes are kept as a table of their own; a pair must share
+  a token of these, too, before its whole sets are read and intersected, which decides exactly.
 
 No bucket of a token is expanded into all pairs. In rounds, each bucket picks *pivots* (first the one whose prefix token
 has the fewest tokens of its own; in round r up to ``GROWTH ** r``), and only pairs of a pivot
@@ -21,7 +21,9 @@ two components has been compared, so no link is lost and a group of n near copie
 What is broadcast are two bitmaps of at most ``BITMAP_LIMIT`` bits; where they fill up, more rows than needed pass them
 and are sorted out by joins. Sets are hashed to 64-bit codes, and a class is keyed by 64 bits of id and text.
 
-Defined results: null and empty texts have an empty set and link with nothing; a text of fewer than ``size`` words is
+Kept tables are deleted once the components are known, but for the two that the result is read from.
+
+Defined results: columns of any name and type pass through ``drop_near_duplicates``; null and empty texts have an empty set and link with nothing; a text of fewer than ``size`` words is
 one token; rows that repeat a doc_id and text are one document, rows that repeat a doc_id with another text are judged
 by their text; null ids are allowed and never become a component's id while another member has one.
 """
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import drop_tables, keep_table, spaced_words
+from wayloom.llm.common import Scratch, drop_tables, keep_table, packed, spaced_words, unpacked
 from wayloom.operators.graph import connected_components
 from wayloom.session import checkpoint_folder
 
@@ -159,7 +161,7 @@ def possible_partners(docs: DataFrame, classes: DataFrame, id_col: str, text_col
     return every.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) < _prefix(F.col("n"), percent)).select("node", "n")
 
 
-def postings(sets: DataFrame, percent: int) -> DataFrame:
+def postings(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(token, node, n, alone, pos): the prefixes of order 1 of (node, tokens), without tokens that stand in one set only.
 
     alone: tokens of the set that no other set holds.
@@ -174,43 +176,75 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
         .filter("alone < p")
     )
     places = F.transform(F.slice("ranked", F.lit(1), F.col("p") - F.col("alone")), lambda x, i: F.struct(x["token"].alias("token"), (F.col("alone") + i).alias("pos")))
-    rows = keep_table(listed.select("node", "n", "alone", F.explode(places).alias("x")).select("x.token", "node", "n", "alone", "x.pos"))
+    rows = scratch.keep(listed.select("node", "n", "alone", F.explode(places).alias("x")).select("x.token", "node", "n", "alone", "x.pos"))
     met = rows.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     return rows.join(met, "token")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, bits: int, size: int) -> DataFrame:
-    """(node, tokens) of the named nodes, and of some others that the bitmap lets pass; bucketed by node."""
-    spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(_bitmap(nodes, bits))
+    """(node, tokens) of the named nodes, and of some others that the bitmap lets pass."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes, bits))
+
+    def batch_of(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in held])]).astype(np.int32)
+        tokens = np.concatenate([t for _, t in held]).view(np.int64) if held else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(tokens))], ["node", "tokens"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        n = 0
         for node, found in _chosen(batches, bitmap.value, size):
-            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["node", "tokens"])
-
-    found = _keyed(docs, id_col, text_col).select("node", "_text").mapInArrow(scan, "node long, tokens array<long>")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"jaccard_sets_{uuid.uuid4().hex}"
-    found.repartition(n, "node").write.option("path", f"{checkpoint_folder(spark)}/{name}").bucketBy(n, "node").sortBy("node").saveAsTable(name)
-    return spark.table(name)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share tokens of the prefixes by orders 2 and 3, and whose sets are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("s"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("t"))
-    p, q = _prefix(F.size("s"), percent), _prefix(F.size("t"), percent)
-    near = pairs.join(left, "a").join(right, "b").filter(
-        F.arrays_overlap(F.slice("s", F.lit(1), p), F.slice("t", F.lit(1), q))
-        & F.arrays_overlap(F.slice("s", F.size("s") - p + 1, p), F.slice("t", F.size("t") - q + 1, q))
+            held.append((node, found))
+            n += len(found)
+            if n >= WORDS_AT_ONCE:
+                yield batch_of(held)
+                held, n = [], 0
+        yield batch_of(held)
+
+    return _keyed(docs, id_col, text_col).select("node", "_text").mapInArrow(scan, "node long, tokens array<long>")
+
+
+class Bucketed:
+    """A table in the shared folder, bucketed by node so that joins need not move it."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.spark = df.sparkSession
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"jaccard_{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_folder(self.spark)}/{self.name}"
+        df.repartition(n, "node").write.option("path", self.path).bucketBy(n, "node").sortBy("node").saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        drop_tables(self.table)
+        self.spark.sql(f"DROP TABLE {self.name}")
+
+
+def heads_of(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, low, high): the prefixes of every set by orders 2 and 3."""
+    p = _prefix(F.size("tokens"), percent)
+    return sets.select("node", F.slice("tokens", F.lit(1), p).alias("low"), F.slice("tokens", F.size("tokens") - p + 1, p).alias("high"))
+
+
+def verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share tokens of the prefixes by orders 2 and 3, too, and whose sets, read for these only, are similar."""
+
+    def side(table: DataFrame, node: str, suffix: str) -> DataFrame:
+        return table.select(F.col("node").alias(node), *(F.col(c).alias(f"{c}_{suffix}") for c in table.columns if c != "node"))
+
+    near = (
+        pairs.join(side(heads, "a", "a"), "a").join(side(heads, "b", "b"), "b")
+        .filter(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b")).select("a", "b")
     )
-    common = F.size(F.array_intersect("s", "t"))
-    return near.withColumn("c", common).filter(F.col("c") * 100 >= (F.size("s") + F.size("t") - F.col("c")) * percent).select("a", "b").distinct()
+    both = near.join(side(sets, "a", "a"), "a").join(side(sets, "b", "b"), "b")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    total = F.size("tokens_a") + F.size("tokens_b")
+    return both.withColumn("c", common).filter(F.col("c") * 100 >= (total - F.col("c")) * percent).select("a", "b").distinct()
 
 
-def _components(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _components(found: DataFrame, heads: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(node, comp) for all nodes with postings."""
-    comp = keep_table(found.select("node").distinct().withColumn("comp", F.col("node")))
+    comp = scratch.keep(found.select("node").distinct().withColumn("comp", F.col("node")))
     done = None
     cells = 1
     while True:
@@ -220,11 +254,11 @@ def _components(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "most")
         )
         # Components only grow, so a bucket within one component is finished for good.
-        unfinished = keep_table(now.join(largest, "token"))
+        unfinished = scratch.keep(now.join(largest, "token"))
         found = unfinished.drop("comp", "most")
         open_rows = unfinished if cells == 1 else unfinished.filter("comp <> most").join(done, ["token", "node"], "left_anti")
         cell = F.pmod(F.xxhash64("node"), F.lit(cells))
-        pivots = keep_table(
+        pivots = scratch.keep(
             open_rows.groupBy("token", cell.alias("cell")).agg(F.min(F.struct("alone", "pos", "n", "node", "comp")).alias("v")).select("token", "v.*")
         )
         if pivots.isEmpty():
@@ -237,32 +271,36 @@ def _components(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(F.least(F.col("o.n") - F.col("o.pos"), F.col("v.n") - F.col("v.pos")) >= need)
             .select(F.least("v.node", "o.node").alias("a"), F.greatest("v.node", "o.node").alias("b")).distinct()
         )
-        links = keep_table(verified(pairs, sets, percent))
+        links = scratch.keep(verified(pairs, heads, sets, percent))
         if not links.isEmpty():
             label = comp.select(F.col("node").alias("a"), F.col("comp").alias("src"))
             other = comp.select(F.col("node").alias("b"), F.col("comp").alias("dst"))
             edges = links.join(label, "a").join(other, "b").select("src", "dst").distinct()
             merged = connected_components(comp.select(F.col("comp").alias("id")).distinct(), edges)
-            moved = keep_table(comp.join(merged.withColumnRenamed("id", "comp"), "comp").select("node", F.col("component").alias("comp")))
-            drop_tables(comp)
-            comp = moved
+            comp = scratch.keep(comp.join(merged.withColumnRenamed("id", "comp"), "comp").select("node", F.col("component").alias("comp")))
         seen = pivots.select("token", "node")
-        done = keep_table(seen if done is None else done.unionByName(seen))
+        done = scratch.keep(seen if done is None else done.unionByName(seen))
         cells *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: id_col, node, n_shingles, component_id (smallest id of the component), component (its node)."""
+    scratch = Scratch()
     prints = keep_table(set_prints(docs, id_col, text_col, size))
-    classes = keep_table(
+    classes = scratch.keep(
         prints.filter("n > 0").groupBy("print").agg(F.min("node").alias("rep"), F.min(id_col).alias("low"), F.min("n").alias("n"))
     )
     bits = _bits_for(classes.count())
-    nodes = keep_table(possible_partners(docs, classes, id_col, text_col, bits, percent, size))
-    sets = whole_sets(docs, nodes, id_col, text_col, bits, size)
-    found = keep_table(postings(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), percent))
-    comp = _components(found, sets, percent)
-    labelled = classes.join(comp, F.col("rep") == F.col("node"), "left").select("print", "low", F.coalesce("comp", "rep").alias("comp"))
+    nodes = scratch.keep(possible_partners(docs, classes, id_col, text_col, bits, percent, size))
+    sets = Bucketed(whole_sets(docs, nodes, id_col, text_col, bits, size))
+    chosen = sets.table.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    found = scratch.keep(postings(chosen, percent, scratch))
+    heads = Bucketed(heads_of(sets.table.join(found.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), percent))
+    comp = _components(found, heads.table, sets.table, percent, scratch)
+    labelled = keep_table(classes.join(comp, F.col("rep") == F.col("node"), "left").select("print", "low", F.coalesce("comp", "rep").alias("comp")))
+    scratch.drop()
+    heads.drop()
+    sets.drop()
     lowest = labelled.groupBy("comp").agg(F.min("low").alias("component_id"))
     by_print = labelled.join(lowest, "comp").select("print", "component_id", F.col("comp").alias("component"))
     return prints.join(by_print, "print", "left").select(
@@ -274,17 +312,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; columns unchanged.
 
-    Rows that repeat this doc_id are reduced to the one with the smallest node key; texts without words all stay.
+    Rows that repeat this doc_id are reduced to the one with the smallest node key, rows of one doc_id and text to one of
+    them; texts without words all stay.
     """
     found = keep_table(near_duplicates(docs, percent=percent, size=size))
-    kept = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("node"))).alias("_node"))
-    bare = found.filter("n_shingles = 0").select(F.col("node").alias("_node"))
-    named = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    chosen = named.join(kept.select("_node").unionByName(bare).distinct().hint("shuffle_hash"), F.col("_key") == F.col("_node"), "left_semi")
-    order = F.struct(*[F.col(c) for c in docs.columns])
-    if found.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1").isEmpty():
-        return chosen.drop("_key")
-    return chosen.groupBy("_key").agg(F.min(order).alias("row")).select("row.*")
+    kept = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("node"))).alias("node"))
+    bare = found.filter("n_shingles = 0").select("node").distinct()
+    rows = docs.select(packed(docs).alias("row"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("node"))
+    chosen = rows.join(kept.select("node").unionByName(bare).hint("shuffle_hash"), "node", "left_semi")
+    return chosen.groupBy("node").agg(F.first("row").alias("row")).select(*unpacked(docs))
 
 
 ORACLE = r"""
