@@ -64,3 +64,15 @@ def test_quality_raises_the_chance(spark):
     even = sum(r["taken"] for r in rows if r["doc_id"] % 2 == 0)
     assert sum(r["taken"] for r in rows) < 3000
     assert even > 1.3 * sum(r["taken"] for r in rows if r["doc_id"] % 2)
+
+
+def test_columns_pass_and_rows_without_id_differ(spark):
+    rows = [(None, f"{i} " * (1 + i % 3), "a", 7, True, "s", 3, 4, {"k": i}) for i in range(400)] + [(5, "x y", None, 8, False, "t", 5, 6, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int, _no boolean, _source string, key int, id int, row map<string,int>")
+    got = op.mix(docs, weights(spark))
+    assert got.columns == [*docs.columns, *op.RESULTS]
+    out = got.collect()
+    check(out)
+    assert sorted(str(tuple(r)[:9]) for r in out) == sorted(map(str, rows))
+    keys = docs.filter("doc_id is null").select(op.uniform(F.col("doc_id"), F.xxhash64("text"))).distinct().count()
+    assert keys == 400

@@ -11,8 +11,9 @@ spreads them evenly, cut into about sqrt(rows) buckets a source, summed per buck
 accumulated over a source; rows are accumulated inside their bucket. A hot source thus becomes many small groups.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; rows that
-repeat a doc_id draw the same key and are ordered by size, so equal rows are interchangeable; an empty table gives an
-empty result. The key depends on doc_id and seed alone: reruns agree, whatever the partitioning.
+repeat a doc_id draw the same key and are ordered by size, so equal rows are interchangeable; rows without an id draw
+their key from their text; columns of any name pass through, but for those of the four results, which are replaced; an
+empty table gives an empty result. The key depends on id (or text) and seed alone: reruns agree, whatever the partitioning.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayloom.llm.common import table
+from wayloom.llm.common import packed, table, unpacked
 
 SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 QUALITY_LOW, QUALITY_NONE, QUALITY_HIGH = 0.5, 1.0, 2.0
 SEED = "mix"
+RESULTS = ("size", "source_size", "target", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -36,9 +38,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
-def uniform(doc_id: Column) -> Column:
-    """Number strictly between 0 and 1 from the md5 of seed and id: 52 bits, the same in any engine."""
-    digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def uniform(doc_id: Column, code: Column) -> Column:
+    """Number strictly between 0 and 1 from the md5 of seed and id, or of the text's code without id: 52 bits, the same in any engine."""
+    digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), code.cast("string")))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -78,50 +80,51 @@ def mix(docs: DataFrame, weights: DataFrame) -> DataFrame:
     ``weights`` (doc_id, weight) holds at most one row per id; weights are held between 0.5 and 2, the range for
     which the buckets are even.
     """
-    rows = docs.drop("size", "source_size", "target", "taken")
-    names = rows.columns
-    sized = (
-        rows.withColumn("_size", word_count(F.col("text")))
-        .withColumn("_no", F.col("source").isNull())
-        .withColumn("_source", F.coalesce(F.col("source"), F.lit("")))
-    )
+    rows = docs.drop(*RESULTS)
+    # Without an id the code of the text stands in; with one it is 0, so that rows of one id stay together.
+    code = F.when(F.col("doc_id").isNull(), F.coalesce(F.xxhash64("text"), F.lit(0))).otherwise(F.lit(0))
+    facts = [
+        F.col("doc_id").alias("id"), code.alias("code"), F.col("source").isNull().alias("no"), F.coalesce(F.col("source"), F.lit("")).alias("source"),
+        word_count(F.col("text")).alias("size"),
+    ]
+    who = ["id", "code", "no", "source", "size"]
     buckets = max(1, math.isqrt(docs.count()))
     light = (
-        sized.select("doc_id", "_no", "_source", "_size")
-        .join(weights.select(F.col("doc_id"), F.col("weight").alias("_w")), "doc_id", "left")
-        .withColumn("_w", F.least(F.greatest(F.coalesce("_w", F.lit(QUALITY_NONE)), F.lit(QUALITY_LOW)), F.lit(QUALITY_HIGH)))
-        .withColumn("_key", -F.log(uniform(F.col("doc_id"))) / F.col("_w"))
-        .withColumn("_spread", 1 - (F.exp(-F.col("_key") / 2) + F.exp(-F.col("_key")) + F.exp(-F.col("_key") * 2)) / 3)
-        .withColumn("_bucket", F.least(F.floor(F.col("_spread") * buckets), F.lit(buckets - 1)).cast("long"))
+        rows.select(*facts)
+        .join(weights.select(F.col("doc_id").alias("id"), F.col("weight").alias("w")), "id", "left")
+        .withColumn("w", F.least(F.greatest(F.coalesce("w", F.lit(QUALITY_NONE)), F.lit(QUALITY_LOW)), F.lit(QUALITY_HIGH)))
+        .withColumn("key", -F.log(uniform(F.col("id"), F.col("code"))) / F.col("w"))
+        .withColumn("spread", 1 - (F.exp(-F.col("key") / 2) + F.exp(-F.col("key")) + F.exp(-F.col("key") * 2)) / 3)
+        .withColumn("bucket", F.least(F.floor(F.col("spread") * buckets), F.lit(buckets - 1)).cast("long"))
     )
-    sums = light.groupBy("_no", "_source", "_bucket").agg(F.sum("_size").alias("_sum"))
-    earlier = Window.partitionBy("_no", "_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    sums = light.groupBy("no", "source", "bucket").agg(F.sum("size").alias("sum"))
+    earlier = Window.partitionBy("no", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
     targets = source_targets(
-        sums.groupBy("_no", "_source").agg(F.sum("_sum").alias("source_size")).select(F.col("_no").alias("no_source"), F.col("_source").alias("source"), "source_size")
-    ).select(F.col("no_source").alias("_no"), F.col("source").alias("_source"), "source_size", "target")
-    inside = Window.partitionBy("_no", "_source", "_bucket").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+        sums.groupBy("no", "source").agg(F.sum("sum").alias("source_size")).select(F.col("no").alias("no_source"), "source", "source_size")
+    ).withColumnRenamed("no_source", "no")
+    inside = Window.partitionBy("no", "source", "bucket").orderBy("key", "id", "code", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        light.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-        .join(starts, ["_no", "_source", "_bucket"])
-        .join(targets, ["_no", "_source"])
-        .withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("_rest", F.round("target").cast("long") - F.col("_epochs") * F.col("source_size"))
-        .withColumn("_part", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_start") - F.col("_before"))))
-        .withColumn("taken", F.col("_epochs") * F.col("_size") + F.col("_part"))
-    )
-    if set(names) <= {"doc_id", "source", "text"}:
-        return placed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
-    # Full rows: rows of equal id, source and size share one figure, so the join loses and adds nothing.
-    share = placed.groupBy(F.col("doc_id").alias("_id"), "_no", "_source", "_size").agg(
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.collect_list("taken").alias("_all")
+        light.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .join(starts, ["no", "source", "bucket"])
+        .join(targets, ["no", "source"])
+        .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+        .withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
+        .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("before"))))
+        .withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
     )
-    nth = Window.partitionBy("doc_id", "_no", "_source", "_size").orderBy(F.xxhash64("text"))
-    return (
-        sized.withColumn("_nth", F.row_number().over(nth))
-        .join(share.withColumnsRenamed({"_no": "_no2", "_source": "_source2", "_size": "_size2"}),
-              F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_no") == F.col("_no2")) & (F.col("_source") == F.col("_source2")) & (F.col("_size") == F.col("_size2")))
-        .select(*names, F.col("_size").alias("size"), "source_size", "target", F.element_at(F.sort_array("_all", False), F.col("_nth")).alias("taken"))
+    if set(rows.columns) <= {"doc_id", "source", "text"}:
+        return placed.select(F.col("id").alias("doc_id"), *RESULTS)
+    # Full rows: rows of equal id (or text), source and size share one figure, so the join loses and adds nothing.
+    share = placed.groupBy(*who).agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.collect_list("taken").alias("all"))
+    nth = Window.partitionBy(*who).orderBy(F.xxhash64("row.text"))
+    full = rows.select(packed(rows).alias("row"), *facts).withColumn("nth", F.row_number().over(nth)).alias("f")
+    share = share.alias("s")
+    same = F.col("f.id").eqNullSafe(F.col("s.id"))
+    for name in who[1:]:
+        same = same & (F.col(f"f.{name}") == F.col(f"s.{name}"))
+    return full.join(share, same).select(
+        *unpacked(rows, "f.row"), F.col("f.size").alias("size"), "source_size", "target", F.element_at(F.sort_array("all", False), F.col("nth")).alias("taken")
     )
 
 

@@ -7,8 +7,9 @@ of a word and of both neighbours, a bias and the transitions, fitted by gradient
 Forward-backward gives every word's marginal; the expected number of toxic words, their share and the highest marginal
 go into a logistic document score; runs of words with a marginal of one half or more are the offending spans.
 
-The fit runs on a bounded sample, the ``SAMPLE_DOCS`` labelled rows with the smallest id hash, of at most
-``SAMPLE_BYTES`` of text; the model, of at most ``MAX_FORMS`` forms, is what is broadcast. Scoring reads every whole
+The fit runs on a bounded sample, by parameters of ``fit``: the ``sample_docs`` labelled rows with the smallest id hash whose
+text has at most ``longest_text`` bytes, up to ``sample_bytes`` of text in all. Forms and document weights are learnt
+from all of it, the field from its first texts in hash order that fit into ``chain_words`` words. The model, of at most ``MAX_FORMS`` forms, is what is broadcast. Scoring reads every whole
 text; all texts of a batch are one chain with a restart at each text, solved blockwise (products inside blocks, one
 pass over block ends, then inside again), so that a very long text costs no more per word than a short one.
 
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from wayloom.llm.common import plain_words
 
+#: Bounds of the labelled sample, defaults of the parameters of ``fit``.
 SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 64_000_000
+LONGEST_TEXT = 640_000
 CHAIN_WORDS = 500_000
 MAX_FORMS = 20_000
 LEAST_EVIDENCE = 25.0
@@ -179,8 +182,8 @@ def _first(bounds: np.ndarray) -> np.ndarray:
     return first
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """Model from labelled texts."""
+def train(texts: list[str], toxic: list[int], chain_words: int = CHAIN_WORDS) -> Model:
+    """Model from labelled texts; the field is fitted on at most ``chain_words`` words of them."""
     n_toxic = sum(toxic)
     n_clean = len(toxic) - n_toxic
     model = Model((n_toxic + 0.5) / (len(toxic) + 5.0))
@@ -201,7 +204,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     bounds = [0]
     labels: list[int] = []
     for w, label in zip(words, toxic, strict=True):
-        if len(chain) + len(w) <= CHAIN_WORDS:
+        if len(chain) + len(w) <= chain_words:
             chain.extend(w)
             bounds.append(len(chain))
             labels.append(label)
@@ -308,25 +311,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Model from the bounded sample of labelled rows that are not held out."""
+def fit(
+    docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, longest_text: int = LONGEST_TEXT, chain_words: int = CHAIN_WORDS
+) -> Model:
+    """Model from the bounded sample of labelled rows that are not held out; longer texts than ``longest_text`` bytes are not in it."""
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     ids = marked.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample_docs)
     chosen = (
         docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
         .join(F.broadcast(ids), "doc_id")  # at most sample_docs rows of two numbers
-        .filter(F.octet_length("text") * 100 <= SAMPLE_BYTES)
+        .filter(F.octet_length("text") <= longest_text)
         .orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", F.xxhash64("text"))
         .limit(sample_docs)
     )
     kept: list[tuple[str, int]] = []
-    room = SAMPLE_BYTES
+    room = sample_bytes
     for row in chosen.select("text", "toxic").toLocalIterator():
         room -= len(row["text"])
         if room < 0:
             break
         kept.append((row["text"], row["toxic"]))
-    return train([t for t, _ in kept], [y for _, y in kept])
+    return train([t for t, _ in kept], [y for _, y in kept], chain_words)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
