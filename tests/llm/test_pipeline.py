@@ -54,3 +54,24 @@ def test_near_duplicate_stage_links_five_word_shingles_at_80_percent(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 5]
+
+
+def test_columns_of_the_caller_pass_every_stage(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"plain{i}" for i in range(500)]
+    body = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(30)]
+    rows = [(None if i % 10 == 9 else i, t, f"s{i % 2}", f"g{i}", i, i, {"k": i}, f"n{i}") for i, t in enumerate(body)]
+    rows += [rows[0], rows[9], rows[9]]
+    names = "doc_id long, text string, source string, gone string, _gone int, _key int, row map<string,int>, node string"
+    docs = spark.createDataFrame(rows, names)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.schema == docs.schema, name
+    want = sorted({str(r) for r in rows})
+    assert sorted(str(tuple(r)) for r in now.collect()) == want
+    last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+    assert sorted(str(tuple(r)[: len(docs.columns)]) for r in last.collect()) == want
+    assert last.columns == [*docs.columns, "size", "source_size", "target", "taken"]
