@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -52,7 +53,7 @@ def test_words_join_to_the_whole_text(plain):
     words = op._words(open(PATH, encoding="utf-8").read())
     for _ in range(3000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 25)))
-        assert np.frombuffer(words.ids(text), words.dtype).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], repr(text)
+        assert np.frombuffer(words.ids(pa.array([text]))[0], words.dtype).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
 
 @pytest.mark.parametrize("n", [1, 63, 64, 1000, 200_003])

@@ -26,12 +26,15 @@ gives files without blocks.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -40,10 +43,14 @@ from wayloom.llm.common import drop_tables, keep_table
 
 END_ID = 1
 SCALE_BITS = 18
-BLOCK_TOKENS = 1 << 19
-LANES = 1024
+BLOCK_TOKENS = 1 << 20
+LANES = 2048
 CHECKPOINT_STEPS = 128
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 3 << 19
+#: Punctuation that ends a word without any rule of its own; the apostrophe has some.
+PUNCTUATION = ".,;:!?\"()$%&*-"
+#: Bytes of text whose words are looked up together.
+TEXTS_AT_ONCE = 1 << 23
 FORMAT = b"rANS\x01"
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
@@ -52,31 +59,107 @@ _tokenizers: dict[int, Words] = {}
 
 
 class Words:
-    """A tokenizer with the ids of the words it has met, as bytes of ``dtype``."""
+    """A tokenizer with a pool of the ids of the words it has met.
+
+    Texts are split at ASCII white space and their distinct words looked up. A word of letters with trailing punctuation is
+    two words to the tokenizer, and case is of no account where it lower-cases. New words of letters are encoded together,
+    as one text, and told apart by the tokens that end a word, if the tokenizer marks them; where the number of ends
+    does not fit, and for all other words, each is encoded by itself.
+    """
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.dtype = np.uint16 if max(self.tokenizer.get_vocab_size(), END_ID + 1) <= 1 << 16 else np.uint32
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, text: str | None, whole: bool = False) -> bytes:
-        end = np.array([END_ID], self.dtype).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(max(vocabulary.values(), default=0), END_ID) + 1
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(spec).get("normalizer"))
+        self.end = np.array([END_ID], self.dtype).tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        #: Ids of word i stand at ``bounds[i]`` up to ``bounds[i + 1]`` of the pool.
+        self.pool, self.bounds = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.pool = np.concatenate([self.pool, ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
+
+    def places(self, words: pa.Array, letters: np.ndarray) -> np.ndarray:
+        """Numbers of distinct words in the pool; new ones are encoded, ``letters`` says which are of letters alone."""
+        listed = words.cast(pa.binary()).to_pylist()
+        get = self.known.get
+        found = np.fromiter((get(w, -1) for w in listed), np.int64, len(listed))
+        fresh = np.flatnonzero(found < 0)
+        plain = [listed[i] for i in fresh[letters[fresh]].tolist()]
+        single = [listed[i] for i in fresh[~letters[fresh]].tolist()]
+        if plain:
+            ids = self._encode([b" ".join(plain).decode()])[0]
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(plain) and stops[-1] == len(ids):
+                self._add(plain, ids, np.diff(stops, prepend=0))
+            else:
+                single += plain
+        if single:
+            each = self._encode([w.decode() for w in single])
+            self._add(single, np.concatenate(each), np.array([len(x) for x in each]))
+        found[fresh] = [self.known[listed[i]] for i in fresh.tolist()]
+        return found
+
+    def ids(self, texts: pa.StringArray, whole: bool = False) -> list[bytes]:
+        """Ids of every text, with the end id."""
+        texts = texts.fill_null("")
         if whole:
-            return self._encode([text or ""])[0] + end
-        words = (text or "").encode().split()
-        fresh = list(set(words).difference(self.known))
-        if fresh:
-            if len(self.known) + len(fresh) > CACHE_WORDS:
-                self.known = {}
-                fresh = list(set(words))
-            self.known.update(zip(fresh, self._encode([w.decode() for w in fresh]), strict=True))
-        return b"".join(map(self.known.__getitem__, words)) + end
+            return [found.tobytes() + self.end for found in self._encode(texts.to_pylist())]
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
+        split = pc.ascii_split_whitespace(texts)
+        occurring = split.flatten().dictionary_encode()
+        words = occurring.dictionary
+        cores = pc.ascii_rtrim(words, PUNCTUATION)
+        # Words that stay words of letters whatever the tokenizer's normal form and case do to them.
+        letters = pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False) & bool(self.ends.any())
+        foreign = np.flatnonzero(letters & ~pc.string_is_ascii(cores).to_numpy(zero_copy_only=False))
+        letters[foreign] = [unicodedata.is_normalized("NFC", w) and w.lower().isalpha() for w in cores.take(pa.array(foreign)).to_pylist()]
+        heads = pc.if_else(pa.array(letters), pc.ascii_lower(cores) if self.lowers else cores, words)
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        tailed = np.flatnonzero(letters & (pc.binary_length(cores).to_numpy(zero_copy_only=False) < lengths))
+        tails = [w[len(w.rstrip(PUNCTUATION)) :] for w in words.take(pa.array(tailed)).to_pylist()]
+        distinct = heads.dictionary_encode()
+        number = distinct.indices.to_numpy()
+        of_letters = np.zeros(len(distinct.dictionary), bool)
+        of_letters[number[letters]] = True
+        head_at = self.places(distinct.dictionary, of_letters)[number]
+        tail_words = pa.array(tails, pa.string()).dictionary_encode()
+        tail_at = np.full(len(words), -1, np.int64)
+        if tails:
+            tail_at[tailed] = self.places(tail_words.dictionary, np.zeros(len(tail_words.dictionary), bool))[tail_words.indices.to_numpy()]
+        # The ids of each distinct word, head and tail in one piece, as a binary value; those of all words are then taken from these.
+        start = np.stack([self.bounds[head_at], self.bounds[np.maximum(tail_at, 0)]], axis=1)
+        size = np.stack([self.bounds[head_at + 1], np.where(tail_at < 0, self.bounds[0], self.bounds[tail_at + 1])], axis=1) - start
+        size[tail_at < 0, 1] = 0
+        starts, sizes = start.ravel(), size.ravel()
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        data = self.pool[np.arange(total) + np.repeat(starts - stops + sizes, sizes)]
+        ends = np.concatenate([[0], stops[1::2]]) * data.itemsize
+        values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+        stream = values.take(occurring.indices)
+        bytes_of = memoryview(stream.buffers()[2] or b"")
+        place = np.frombuffer(stream.buffers()[1], np.int64)[: len(stream) + 1] if len(stream) else np.zeros(1, np.int64)
+        upto = place[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [bytes(bytes_of[lo:hi]) + self.end for lo, hi in zip(upto, upto[1:], strict=False)]
 
 
 def _words(spec: str) -> Words:
@@ -114,14 +197,17 @@ class Table:
 
     def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Share and first slot of every id."""
-        place = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 1, np.int64)
-        place[self.symbols] = np.arange(len(self.symbols))
-        at = place[ids]
-        return self.shares[at], self.starts[at]
+        size = int(self.symbols[-1]) + 1 if len(self.symbols) else 1
+        shares, starts = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        shares[self.symbols], starts[self.symbols] = self.shares, self.starts
+        return shares[ids], starts[ids]
 
     def slots(self) -> np.ndarray:
-        """Index of the symbol that each slot belongs to."""
-        return np.repeat(np.arange(len(self.symbols), dtype=np.uint32), self.shares.astype(np.int64))
+        """Per slot, in one number: place in its symbol's share (lowest bits), the share (up to all slots), the symbol."""
+        number = np.repeat(np.arange(len(self.symbols)), self.shares.astype(np.int64))
+        inside = np.arange(len(number), dtype=np.uint64) - self.starts[number]
+        packed = (self.symbols.astype(np.uint64)[number] << np.uint64(2 * SCALE_BITS + 1)) | (self.shares[number] << np.uint64(SCALE_BITS)) | inside
+        return packed
 
 
 def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES) -> bytes:
@@ -182,14 +268,12 @@ class Block:
         out = np.empty(count, np.uint32)
         state = self.states[nth].astype(np.uint64)
         at = int(self.places[nth])
-        shares, starts, symbols = self.table.shares, self.table.starts, self.table.symbols
-        mask, scale = np.uint64((1 << SCALE_BITS) - 1), np.uint64(SCALE_BITS)
+        mask, share_mask, scale, above = np.uint64((1 << SCALE_BITS) - 1), np.uint64((2 << SCALE_BITS) - 1), np.uint64(SCALE_BITS), np.uint64(2 * SCALE_BITS + 1)
         for first in range(0, count, self.lanes):
             x = state[: min(self.lanes, count - first)]
-            slot = x & mask
-            index = slots[slot]
-            out[first : first + len(x)] = symbols[index]
-            x[:] = shares[index] * (x >> scale) + slot - starts[index]
+            entry = slots[x & mask]
+            out[first : first + len(x)] = entry >> above
+            x[:] = ((entry >> scale) & share_mask) * (x >> scale) + (entry & mask)
             low = x < LOW
             n = int(np.count_nonzero(low))
             if n:
@@ -209,6 +293,16 @@ class Block:
         return np.concatenate(parts)[first - begin * self.size : stop - begin * self.size]
 
 
+def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``size`` bytes of text (column 1), or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size)))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def token_blocks(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", whole_texts: bool = False, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(part, base, doc_ids, lengths, ids) in ascending order of id: base is the number of tokens before the block in its part."""
     spark = docs.sparkSession
@@ -233,16 +327,17 @@ def token_blocks(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = coder.ids(text.as_py(), whole_texts)
-                keys_.append(key)
-                lengths.append(len(found) // width)
-                ids.append(found)
-                held += lengths[-1]
-                if held >= block_tokens:
-                    yield flush()
-                    base += held
-                    held, keys_, lengths, ids = 0, [], [], []
+            for part in _slices(batch, TEXTS_AT_ONCE):
+                found = coder.ids(part.column(1), whole_texts)
+                for key, one in zip(part.column(0).to_pylist(), found, strict=True):
+                    keys_.append(key)
+                    lengths.append(len(one) // width)
+                    ids.append(one)
+                    held += lengths[-1]
+                    if held >= block_tokens:
+                        yield flush()
+                        base += held
+                        held, keys_, lengths, ids = 0, [], [], []
         if keys_:
             yield flush()
 
