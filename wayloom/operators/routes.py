@@ -1,8 +1,7 @@
 """Frequent A→B routes: candidates, sub-paths, similarity clusters, representatives, top routes.
 
-A request looks at no more than ``max_candidates`` trips (a parameter of the question),
-so everything after :func:`candidates` is bounded by it; the scan in front is not, and stays
-plain joins and aggregations over the trip tables.
+A question looks at all its trips unless ``max_candidates`` names a number. Clusters, branches, representatives and
+figures are joins and aggregations; folding and the final pick are in :mod:`wayloom.operators.answers`.
 """
 
 from __future__ import annotations
@@ -16,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo, names
+from wayloom.operators.answers import merge_corridors, pick_routes
 from wayloom.operators.graph import connected_components
 from wayloom.operators.regions import with_totals
 from wayloom.operators.roads import road_features
-from wayloom.operators.sequence import seconds_between
+from wayloom.operators.sequence import bucket_pairs, numbered, seconds_between
 from wayloom.operators.trips import GRID_STEP, TRIP, ntz
 from wayloom.session import cut_lineage
 
@@ -272,10 +272,8 @@ def sampled_trips(chosen: DataFrame, edges: DataFrame, features: DataFrame, q: R
         .filter((F.col("route_length_m") >= q.min_route_m) & (F.col("tokens") > 0))
         .withColumn("sequence_tokens", names.without_repeats(F.col("raw_steps")))
     )
-    order = Window.orderBy("start_time", *TRIP)
-    # At most max_candidates rows reach this numbering.
-    return trips.join(chosen, TRIP).select(
-        F.row_number().over(order).alias("trip_index"),
+    return numbered(trips.join(chosen, TRIP), ["start_time", *TRIP], "trip_index").select(
+        "trip_index",
         *TRIP,
         F.col("a_enter_time").alias("start_time"),
         F.col("b_enter_time").alias("end_time"),
@@ -326,7 +324,7 @@ def similar_sets(sets: DataFrame, floor: float = THRESHOLDS[-1]) -> DataFrame:
     """Pairs of sets with Jaccard similarity of at least ``floor``.
 
     Two such sets must share one of the rarest tokens of each, so only those prefixes
-    are joined, and only sets of compatible size.
+    are joined, in tiles where many sets share a token, and only sets of compatible size.
     """
     tokens = sets.select("set_id", F.explode("token_set").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
@@ -340,14 +338,9 @@ def similar_sets(sets: DataFrame, floor: float = THRESHOLDS[-1]) -> DataFrame:
     prefix = ranked.select("set_id", "size", F.explode(F.slice("r", F.lit(1), keep)).alias("t")).select(
         "set_id", "size", F.col("t.token").alias("token")
     )
-    a, b = prefix.alias("a"), prefix.alias("b")
     small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    found = (
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id")))
-        .filter(small >= F.ceil(large * floor))
-        .select(F.col("a.set_id").alias("src"), F.col("b.set_id").alias("dst"))
-        .distinct()
-    )
+    wanted = (F.col("a.set_id") < F.col("b.set_id")) & (small >= F.ceil(large * floor))
+    found = bucket_pairs(prefix, ["token"], "set_id", wanted).select(F.col("a.set_id").alias("src"), F.col("b.set_id").alias("dst")).distinct()
     left = sets.select(F.col("set_id").alias("src"), F.col("token_set").alias("x"))
     right = sets.select(F.col("set_id").alias("dst"), F.col("token_set").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -360,40 +353,34 @@ def similar_sets(sets: DataFrame, floor: float = THRESHOLDS[-1]) -> DataFrame:
     )
 
 
+def ladder_labels(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(level, set_id, trips, cluster): the clusters at every threshold, all found in one run of components.
+
+    A vertex is a set at a level; pairs link their sets at every level whose threshold they reach.
+    """
+    width = len(THRESHOLDS)
+    levels = F.array(*[F.when(F.col("similarity") >= t, F.lit(n)) for n, t in enumerate(THRESHOLDS)])
+    links = pairs.select("src", "dst", F.explode(F.array_compact(levels)).alias("level"))
+    at = [(F.col(c) * width + F.col("level")).alias(c) for c in ("src", "dst")]
+    vertices = sets.select("set_id", "trips", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("level")).withColumn("id", F.col("set_id") * width + F.col("level"))
+    found = connected_components(vertices.select("id"), links.select(*at))
+    return vertices.join(found, "id").select("level", "set_id", "trips", F.floor(F.col("component") / width).cast("long").alias("cluster"))
+
+
 def threshold_clusters(sets: DataFrame, pairs: DataFrame, min_support: int, top_k: int) -> tuple[DataFrame, float]:
-    """Set → cluster labels at the threshold whose largest clusters hold most trips.
+    """Set → cluster labels at the threshold whose ``top_k`` largest clusters hold most trips.
 
-    Thresholds are tried from strict to loose. Components only merge on the way, so each
-    step contracts the labels of the one before and links them by the newly admitted pairs.
+    A step to a looser threshold must win half a trip; at equal scores more clusters win, then the stricter threshold.
     """
-    labels = cut_lineage(sets.select("set_id", "trips", F.col("set_id").alias("cluster")))
-    best = None
-    upper = 2.0
-    for step, threshold in enumerate(THRESHOLDS):
-        fresh = pairs.filter((F.col("similarity") >= threshold) & (F.col("similarity") < upper))
-        upper = threshold
-        of = labels.select(F.col("set_id"), F.col("cluster"))
-        links = (
-            fresh.join(of.select(F.col("set_id").alias("src"), F.col("cluster").alias("ca")), "src")
-            .join(of.select(F.col("set_id").alias("dst"), F.col("cluster").alias("cb")), "dst")
-            .filter("ca <> cb")
-            .select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
-        )
-        if not links.isEmpty():
-            roots = connected_components(labels.select(F.col("cluster").alias("id")).distinct(), links)
-            labels = cut_lineage(
-                labels.join(roots.withColumnRenamed("id", "cluster"), "cluster").select("set_id", "trips", F.col("component").alias("cluster"))
-            )
-        sizes = labels.groupBy("cluster").agg(F.sum("trips").alias("n")).filter(F.col("n") >= min_support)
-        # One scalar row per threshold.
-        top = sizes.orderBy(F.col("n").desc(), "cluster").limit(top_k).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
-        row = top.crossJoin(sizes.agg(F.count("*").alias("c"))).first()
-        score = row["s"] - step * 0.5
-        if best is None or score > best[0] or (abs(score - best[0]) < 1e-9 and row["c"] > best[1]):
-            best = (score, row["c"], labels, threshold)
-    _, _, labels, threshold = best
-    sizes = labels.groupBy("cluster").agg(F.sum("trips").alias("n")).filter(F.col("n") >= min_support)
-    return labels.join(sizes.select("cluster"), "cluster", "left_semi"), threshold
+    labels = cut_lineage(ladder_labels(sets, pairs))
+    sizes = cut_lineage(labels.groupBy("level", "cluster").agg(F.sum("trips").alias("n")).filter(F.col("n") >= min_support))
+    order = Window.partitionBy("level").orderBy(F.desc("n"), "cluster")
+    top = sizes.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_k).groupBy("level").agg(F.sum("n").alias("s"))
+    # One row per threshold.
+    rows = {r["level"]: (r["s"] - r["level"] * 0.5, r["c"], -r["level"]) for r in sizes.groupBy("level").agg(F.count("*").alias("c")).join(top, "level").collect()}
+    level = -max((rows.get(n, (-n * 0.5, 0, -n)) for n in range(len(THRESHOLDS))))[2]
+    at = F.col("level") == level
+    return labels.filter(at).join(sizes.filter(at).select("cluster"), "cluster", "left_semi").select("set_id", "trips", "cluster"), THRESHOLDS[level]
 
 
 def cluster_members(trips: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -460,9 +447,8 @@ def medoid_candidates(members: DataFrame) -> DataFrame:
 def cluster_order(medoids: DataFrame) -> DataFrame:
     """Clusters from the largest, ties by medoid score and index."""
     best = medoids.filter("rank = 1").select("cluster_id", "size", F.col("score").alias("medoid_score"), F.col("trip_index").alias("medoid_index"))
-    order = Window.orderBy(F.col("size").desc(), F.round("medoid_score", 12).desc(), "medoid_index")
-    # Clusters of one request: at most its trips / min_support rows.
-    return best.withColumn("cluster_rank", F.row_number().over(order))
+    keyed = best.withColumn("_size", -F.col("size")).withColumn("_score", -F.round("medoid_score", 12))
+    return numbered(keyed, ["_size", "_score", "medoid_index"], "cluster_rank").drop("_size", "_score")
 
 
 # --- branch split ------------------------------------------------------------
@@ -730,7 +716,7 @@ def skeletons(members: DataFrame) -> DataFrame:
 
 
 def duration_stats(members: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Volume and duration figures per group, with hourly means and counts as maps."""
+    """Volume and duration figures per group, with hourly means, counts and (minutes, n) histograms as maps."""
     minutes = F.col("duration_seconds") / 60.0
     rows = members.withColumn("minutes", minutes)
     total = rows.agg(F.count("*").alias("_all"))
@@ -741,9 +727,12 @@ def duration_stats(members: DataFrame, key: str = "cluster_id") -> DataFrame:
         *[F.expr(f"percentile(minutes, {p})").alias(f"p{round(p * 100)}_duration_min") for p in (0.2, 0.5, 0.9)],
         F.avg("route_length_m").alias("avg_route_length_m"),
     )
+    # Durations as a histogram: equal minutes are one entry, added up before anything is listed.
     hours = (
-        rows.groupBy(key, F.date_format("start_time", "HH").alias("hour"))
-        .agg(F.round(F.avg("minutes"), 2).alias("mean"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.round("minutes", 4))).alias("samples"))
+        rows.groupBy(key, F.date_format("start_time", "HH").alias("hour"), F.round("minutes", 4).alias("at"))
+        .agg(F.sum("minutes").alias("sum"), F.count("*").alias("n"))
+        .groupBy(key, "hour")
+        .agg(F.round(F.sum("sum") / F.sum("n"), 2).alias("mean"), F.array_sort(F.collect_list(F.struct(F.col("at").alias("minutes"), "n"))).alias("samples"), F.sum("n").alias("n"))
         .groupBy(key)
         .agg(
             *[
@@ -857,144 +846,6 @@ def base_ranking() -> Column:
     return F.greatest(F.lit(0.0), F.col("quality")) * F.log10(F.col("trip_count") + 1.0) * detour * repeat * slow
 
 
-def _jaccard(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
-def _box_overlap(a: tuple, b: tuple) -> float:
-    width = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-    height = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    smaller = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
-    return width * height / smaller if width > 0 and height > 0 and smaller > 0 else 0.0
-
-
-def _shapes(part: pd.DataFrame) -> list[tuple[set, set, tuple]]:
-    return [
-        (set(tokens), {tuple(p) for p in zip(lon, lat)}, box)
-        for tokens, lon, lat, box in zip(
-            part["signature_array"],
-            part["grid_lon"],
-            part["grid_lat"],
-            part[["min_lon", "min_lat", "max_lon", "max_lat"]].itertuples(index=False, name=None),
-        )
-    ]
-
-
-def _alike(a: tuple, b: tuple) -> tuple[float, float, float]:
-    return _jaccard(a[0], b[0]), _jaccard(a[1], b[1]), _box_overlap(a[2], b[2])
-
-
-def fold_corridors(part: pd.DataFrame, top_k: int | None = None) -> list[int | None]:
-    """Corridor number of each cluster in rank order; None for an exact repeat of a corridor's signature.
-
-    A cluster joins the most similar corridor before it; branch clusters of a split always
-    stand alone. No cluster is left out, whatever ``top_k`` is.
-    """
-    shapes, out = _shapes(part), []
-    # Similar corridors have a token in common, so only those are compared.
-    holders: dict[str, list[int]] = {}
-    seen: set = set()
-    for n, (signature, mode, cluster) in enumerate(zip(part["signature"], part["split_mode"], part["cluster_id"])):
-        alone = mode.startswith("anchor_")
-        label = (cluster, signature) if alone else signature
-        if label in seen:
-            out.append(None)
-            continue
-        best, target = 0.0, None
-        if not alone:
-            for k in sorted({k for token in shapes[n][0] for k in holders.get(token, ())}):
-                token, grid, box = _alike(shapes[k], shapes[n])
-                close = (
-                    (token >= 0.90 and (grid >= 0.08 or box >= 0.18))
-                    or (token >= 0.68 and (grid >= 0.12 or box >= 0.35))
-                    or (token >= 0.55 and grid >= 0.25 and box >= 0.18)
-                )
-                score = token * 0.55 + grid * 0.30 + box * 0.15
-                if close and score > best:
-                    best, target = score, k
-        if target is None:
-            for token in shapes[n][0]:
-                holders.setdefault(token, []).append(n)
-            seen.add(label)
-            target = n
-        out.append(target)
-    return out
-
-
-def corridor_members(part: pd.DataFrame) -> list[tuple[str, str]]:
-    """(cluster, corridor) of every cluster in rank order; repeats of a signature count in the corridor that has it."""
-    ids, signatures, modes = part["cluster_id"].tolist(), part["signature"].tolist(), part["split_mode"].tolist()
-    rows, leads = [], {}
-    for n, k in enumerate(fold_corridors(part)):
-        if k == n and not modes[n].startswith("anchor_"):
-            leads[signatures[n]] = n
-        rows.append((ids[n], ids[leads[signatures[n]] if k is None else k]))
-    return rows
-
-
-def diverse_top(part: pd.DataFrame, top_k: int) -> list[tuple[int, str]]:
-    """Tiered fill, then a greedy pick that punishes look-alikes: (row, tier) in rank order.
-
-    ``part`` is in corridor order and holds tier flags and base ranking scores.
-    """
-    shapes = _shapes(part)
-    real = [n for n in range(len(part)) if part["kind"].iat[n] == "cluster"]
-    tier = {n: ("low_confidence" if len(part["warnings"].iat[n]) else "high_confidence") for n in real}
-    base = part["base_score"].to_numpy(dtype=float)
-    trips = part["trip_count"].to_numpy()
-    multiplier = {"low_confidence_fill": 0.86, "low_support_fill": 0.80}
-    shown = [n for n in real if part["is_safe"].iat[n]]
-    rounds = (("is_marginal", "low_confidence_fill"), ("is_diagnostic", "low_confidence_fill"), ("is_support", "low_support_fill"))
-    for flag, name in rounds:
-        if not 0 < len(shown) < top_k:
-            continue
-        rest = [n for n in real if n not in shown and part[flag].iat[n]]
-        rest.sort(key=lambda n: (flag == "is_support" and not part["split_mode"].iat[n].startswith("anchor_"), -base[n], -trips[n], n))
-        for n in rest[: top_k - len(shown)]:
-            tier[n] = name
-            shown.append(n)
-    pool = shown or real
-    used = {part["signature"].iat[n] for n in pool}
-    carriers = {part["representative"].iat[n] for n in pool}
-    for n in range(len(part)):
-        if not 0 < len(pool) < top_k:
-            break
-        if part["kind"].iat[n] == "single" and part["representative"].iat[n] not in carriers and part["signature"].iat[n] not in used:
-            pool.append(n)
-            used.add(part["signature"].iat[n])
-            carriers.add(part["representative"].iat[n])
-            tier[n] = "single_trip_backfill"
-    score = {n: base[n] * multiplier.get(tier[n], 1.0) for n in pool}
-    parent = {n: part["parent_cluster_id"].iat[n] for n in pool}
-    left = sorted(pool, key=lambda n: (-score[n], -trips[n], n))
-    chosen: list[int] = []
-    held: list[int] = []
-    per_parent: dict[str, int] = {}
-
-    def diversified(n: int) -> float:
-        if not chosen or score[n] <= 0:
-            return score[n]
-        close = 0.0
-        for k in chosen:
-            token, grid, box = _alike(shapes[n], shapes[k])
-            close = max(close, min(1.0, 0.55 * token + 0.30 * grid + 0.15 * box + (0.08 if parent[n] == parent[k] else 0.0)))
-        return score[n] * (0.48 if close >= 0.82 else 0.68 if close >= 0.68 else 0.82 if close >= 0.55 else 1.0)
-
-    while left and len(chosen) < top_k:
-        n = min(left, key=lambda m: (-diversified(m), -score[m], -trips[m], m))
-        left.remove(n)
-        if per_parent.get(parent[n], 0) >= 3:
-            others = [diversified(m) for m in left if per_parent.get(parent[m], 0) < 3]
-            open_best = max(others, default=0.0)
-            if open_best > 0 and score[n] < open_best * 1.22:
-                held.append(n)
-                continue
-        chosen.append(n)
-        per_parent[parent[n]] = per_parent.get(parent[n], 0) + 1
-    chosen += held[: top_k - len(chosen)]
-    return [(n, tier[n]) for n in chosen[:top_k]]
-
-
 def _shape_columns() -> list[Column]:
     grid = geo.grid_signature(F.col("coords"))
     return [
@@ -1004,39 +855,6 @@ def _shape_columns() -> list[Column]:
     ]
 
 
-SHAPE = ["signature", "signature_array", "grid_lon", "grid_lat", "min_lon", "min_lat", "max_lon", "max_lat"]
-
-
-def merge_corridors(records: DataFrame, query_key: str = "query_id") -> DataFrame:
-    """cluster_id → corridor_id (the cluster that leads the corridor) per request."""
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("cluster_rank").reset_index(drop=True)
-        return pd.DataFrame(corridor_members(part), columns=["cluster_id", "corridor_id"])
-
-    narrow = records.select(query_key, "cluster_id", "cluster_rank", "split_mode", *SHAPE)
-    # One group per request: all its clusters.
-    return narrow.groupBy(query_key).applyInPandas(run, "cluster_id string, corridor_id string")
-
-
-def pick_routes(rows: DataFrame, top_k: int, query_key: str = "query_id") -> DataFrame:
-    """Row ids of the final routes with rank and tier, per request."""
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row_order").reset_index(drop=True)
-        picks = [(part["row_id"].iat[n], rank, tier) for rank, (n, tier) in enumerate(diverse_top(part, top_k), start=1)]
-        return pd.DataFrame(picks, columns=["row_id", "route_rank", "quality_tier"])
-
-    needed = ["row_id", "row_order", "kind", "split_mode", "parent_cluster_id", "representative", "trip_count", "base_score", "warnings"]
-    flags = ["is_safe", "is_marginal", "is_diagnostic", "is_support"]
-    # One group per request: all its corridors and 6 * top_k + 20 single trips.
-    return (
-        rows.select(query_key, *needed, *flags, *SHAPE)
-        .groupBy(query_key)
-        .applyInPandas(run, "row_id string, route_rank int, quality_tier string")
-    )
-
-
 def single_trip_rows(scored: DataFrame, trips: DataFrame, order: DataFrame, valid: DataFrame, limit: int) -> DataFrame:
     """Single trips that may fill an answer with too few corridors, in cluster and rank order."""
     ok = (F.col("quality") >= 0.20) & (_c("directness", 0.0) <= 5.0) & (F.col("repeat_ratio") <= 0.22)
@@ -1104,7 +922,7 @@ def frequent_routes(
     records = cut_lineage(records)
     folded = cut_lineage(merge_corridors(records))
     total = trips.agg(F.count("*").alias("valid_trips"))
-    pooled = members.join(folded, "cluster_id")
+    pooled = members.join(folded.drop("query_id"), "cluster_id")
     figures = duration_stats(pooled, "corridor_id").drop("share_of_candidates", "duration_tail_ratio")
     corridors = (
         records.withColumnRenamed("cluster_id", "corridor_id")
@@ -1154,7 +972,7 @@ def frequent_routes(
     rows = corridors.select(*fill.columns).unionByName(fill)
     rows = cut_lineage(rows)
     picks = pick_routes(rows, q.top_k)
-    routes = cut_lineage(rows.join(picks, "row_id").withColumn("similarity_threshold", F.lit(threshold)))
+    routes = cut_lineage(rows.join(picks, ["query_id", "row_id"]).withColumn("similarity_threshold", F.lit(threshold)))
     shown = F.broadcast(routes.select(F.col("row_id").alias("corridor_id")))
     ways = variants(pooled, "corridor_id").join(shown, "corridor_id", "left_semi")
     summary = routes.agg(

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayloom.session import cut_lineage
+
 CHUNK = "_chunk"
 CHUNK_SECONDS = 6 * 3600
 LONGEST_PLAIN_TRACK = 1_000_000
@@ -175,3 +177,41 @@ def row_numbers(
 ) -> DataFrame:
     """1-based position of each row along its key."""
     return running_sum(df, keys, order, F.lit(1), out, time, chunk_seconds)
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with their place (from 1) in ascending order of the columns ``order``, without a task that holds them all.
+
+    Rows are dealt out by ranges and sorted inside them; only the ranges' counts are summed up in one task. Rows that
+    agree in ``order`` are numbered in any order among themselves. The dealt rows are checkpointed, as their
+    numbers must not change when a part is computed again.
+    """
+    by = [F.col(c).asc_nulls_first() for c in order]
+    dealt = cut_lineage(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    place = (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name)
+    return dealt.join(F.broadcast(starts), part == F.col("_part")).select(*rows.columns, place)  # one row per range
+
+
+def bucket_pairs(rows: DataFrame, keys: Sequence[str], identity: str, wanted: Column, tile: int = 512) -> DataFrame:
+    """Pairs (aliases a and b) of rows with equal ``keys`` that meet ``wanted``, in tiles of about ``tile`` × ``tile`` pairs.
+
+    A bucket of m rows is cut into m / tile parts by a hash of ``identity``; every pair of parts is a group of its own, so that one
+    key that all rows share is spread over as many tasks as its pairs need.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_m")).filter("_m > 1").select(*keys, F.ceil(F.col("_m") / tile).cast("int").alias("_parts"))
+    placed = rows.join(counts, list(keys)).withColumn("_part", F.pmod(F.xxhash64(identity), F.col("_parts")).cast("int"))
+    spread = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_low", F.least("_part", "_other")).withColumn(
+        "_high", F.greatest("_part", "_other")
+    )
+    group = [*keys, "_low", "_high"]
+    a, b = spread.alias("a"), spread.alias("b")
+    same = F.lit(True)
+    for column in group:
+        same = same & (F.col(f"a.{column}") == F.col(f"b.{column}"))
+    # A pair of one part is made in that part's own group only.
+    once = (F.col("a._low") == F.col("a._high")) | (F.col("a._part") != F.col("b._part"))
+    return a.join(b, same & once & wanted)
