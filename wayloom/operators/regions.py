@@ -62,7 +62,7 @@ def box_hits(
     cells = leveled.withColumn("_x", F.explode(span("min_lon", "max_lon"))).withColumn("_y", F.explode(span("min_lat", "max_lat")))
     levels = [r["_level"] for r in leveled.select("_level").distinct().collect()]  # at most some twenty for boxes on earth
     if not levels:
-        return rows.select(*TRIP).crossJoin(boxes.select("box_index"))
+        return rows.select(*TRIP, F.lit(None).cast(boxes.schema["box_index"].dataType).alias("box_index")).limit(0)
     placed = rows.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
     placed = placed.withColumn("_x", cell(F.col("lon"), F.col("_level"))).withColumn("_y", cell(F.col("lat"), F.col("_level")))
     hits = placed.join(cells, ["_level", "_x", "_y"]).filter(geo.in_box_columns(F.col("lon"), F.col("lat")))
