@@ -160,6 +160,9 @@ _D = names.CHINESE_DIGITS
 _W = "[^\\p{L}\\p{N}_]"
 _KNOWN = " ".join(f"WHEN contains(key, '{w}') THEN '{r}'" for w, r in names.EXPRESSWAY_ROUTES)
 _BASE = f"regexp_replace(key, '{names.FAST_ROAD_SUFFIX}', '')"
+ALIASES = f"""aliased AS (SELECT road_uid, nullif(regexp_extract(key, '(^|{_W})([gsx]\\d+[a-z]?)($|{_W})', 2), '') AS code,
+  CASE {_KNOWN} END AS known, nullif(regexp_extract(key, '([{_D}0-9]+环)', 1), '') AS ring,
+  CASE WHEN (regexp_matches(key, '(高速|快速路|快速)$') OR highway IN ('motorway', 'trunk')) AND length({_BASE}) >= 2 THEN {_BASE} END AS base FROM featured)"""
 
 
 @query(

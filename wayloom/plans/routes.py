@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import geo
 from wayloom.operators import routes as op
 from wayloom.plans.registry import query
-from wayloom.plans.roads import NAMED, TOKENS
+from wayloom.plans.roads import ALIASES, NAMED, TOKENS
 from wayloom.plans.shape import END, END_SQL, START, START_SQL, joined, rounded
 from wayloom.plans.sqltext import EDGES, POINTS, ROADS, inside, with_
 from wayloom.plans.trips import NUMBERED, OD
@@ -145,17 +145,72 @@ def _sampled(spark, sf_dir):
     return cut_lineage(op.drop_stop_tokens(op.drop_slow(trips, 3)))
 
 
-@query("route_token_sets")
+def _grid(step: float) -> str:
+    """Cell of the centre of a segment; half-way values go to the even neighbour."""
+
+    def axis(low: str, high: str) -> str:
+        return f"round_even(round_even((least({low}, {high}) + greatest({low}, {high})) / 2.0 / {step!r}::DOUBLE, 0) * {step!r}::DOUBLE, 3)"
+
+    return f"'grid:' || {axis('lon0', 'lon1')} || ':' || {axis('lat0', 'lat1')}"
+
+
+FROM_WALK = EDGES.replace(EDGES[: EDGES.index("steps AS")], "")
+VECTORS = (
+    ALIASES
+    + f""",
+spoken AS (SELECT road_uid, unnest(list_concat([t.token, {_grid(0.01)}], CASE WHEN starts_with(t.token, 'road:') THEN list_concat(['alias:' || {_grid(0.01)}],
+    list_filter(['alias:route:' || code, 'alias:route:' || known, 'alias:ring:' || ring, 'alias:express:' || base, 'alias:corridor:' || {_grid(0.02)}], lambda x: x IS NOT NULL)) ELSE [] END)) AS word
+  FROM tokened t JOIN aliased USING (road_uid) WHERE t.token IS NOT NULL),
+usable AS (SELECT n.*, p.duration_seconds, row_number() OVER (ORDER BY o.start_time, n.taxi_id, n.trip_id) AS trip_index FROM named n JOIN precise p USING (taxi_id, trip_id) JOIN od o USING (taxi_id, trip_id)
+  WHERE route_length_m >= 500 AND road_tokens > 0),
+limits AS (SELECT greatest(3 * quantile_cont(duration_seconds, 0.5) FILTER (WHERE duration_seconds > 0), 1800) AS cutoff, count(*) AS total FROM usable),
+fast AS (SELECT usable.* FROM usable, limits WHERE NOT (total >= 20 AND (SELECT count(*) FROM usable, limits WHERE duration_seconds > 0 AND duration_seconds <= cutoff) >= 3)
+  OR (duration_seconds > 0 AND duration_seconds <= cutoff)),
+words AS (SELECT DISTINCT trip_index, word FROM fast JOIN cut USING (taxi_id, trip_id) JOIN spoken USING (road_uid)),
+rare AS (SELECT word FROM words GROUP BY word HAVING count(*) <= (SELECT greatest(2, ceil(count(*) * 0.9::DOUBLE)) FROM fast)),
+token_sets AS MATERIALIZED (SELECT trip_index, CASE WHEN len(k) > 0 THEN k ELSE e END AS tokens FROM (SELECT trip_index, list_sort(coalesce(list(word) FILTER (WHERE word IN (SELECT word FROM rare)), [])) AS k, list_sort(list(word)) AS e
+  FROM words GROUP BY 1)),
+sets AS MATERIALIZED (SELECT tokens, count(*) AS trips, min(trip_index) AS set_id FROM token_sets GROUP BY tokens)"""
+)
+SETS = with_(POINTS, NUMBERED, OD, WINDOW.format(hours=""), HITS, FROM_WALK, ROADS, NAMED, TOKENS, SLICED, VECTORS)
+JACCARD = "len(list_intersect(a.tokens, b.tokens))::DOUBLE / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens)))"
+
+
+@query("route_token_sets", SETS + " SELECT set_id, trips, len(tokens)::INT AS size, array_to_string(tokens, ',') AS tokens FROM sets")
 def route_token_sets(spark, sf_dir):
     sets = op.token_sets(_sampled(spark, sf_dir))
     return sets.select("set_id", "trips", F.size("token_set").alias("size"), joined(F.col("token_set")).alias("tokens"))
 
 
-@query("route_similar_sets")
+@query(
+    "route_similar_sets",
+    SETS + f" SELECT * FROM (SELECT a.set_id AS src, b.set_id AS dst, round({JACCARD}, 6) AS similarity FROM sets a JOIN sets b ON a.set_id < b.set_id) WHERE similarity >= 0.42",
+)
 def route_similar_sets(spark, sf_dir):
     return rounded(op.similar_sets(op.token_sets(_sampled(spark, sf_dir))))
 
 
+LADDER = f""",
+pairs AS MATERIALIZED (SELECT a.set_id AS src, b.set_id AS dst, {JACCARD} AS s FROM sets a JOIN sets b ON a.set_id < b.set_id AND {JACCARD} >= 0.42),
+links AS (SELECT level, src, dst FROM pairs, (VALUES (0, 0.78::DOUBLE), (1, 0.70), (2, 0.62), (3, 0.55), (4, 0.48), (5, 0.42)) t(level, least) WHERE s >= least),
+both_ways AS MATERIALIZED (SELECT level, src, dst FROM links UNION ALL SELECT level, dst, src FROM links),
+reach AS (SELECT level, set_id AS v, set_id AS u FROM sets, range(6) t(level) UNION SELECT reach.level, v, dst FROM reach JOIN both_ways b ON b.level = reach.level AND b.src = reach.u),
+ladder AS MATERIALIZED (SELECT level, v AS set_id, min(u) AS cluster FROM reach GROUP BY ALL)"""
+
+
+@query(
+    "route_threshold_ladder",
+    SETS.replace("WITH", "WITH RECURSIVE", 1) + LADDER + " SELECT level::INT AS level, cluster, count(*) AS sets, sum(trips)::BIGINT AS trips FROM ladder JOIN sets USING (set_id) GROUP BY ALL",
+)
+def route_threshold_ladder(spark, sf_dir):
+    """Clusters of token sets at every threshold."""
+    from wayloom.session import cut_lineage
+
+    sets = cut_lineage(op.token_sets(_sampled(spark, sf_dir)))
+    labels = op.ladder_labels(sets, op.similar_sets(sets))
+    return labels.groupBy("level", "cluster").agg(F.count("*").alias("sets"), F.sum("trips").alias("trips"))
+
+
 def _answer(spark, sf_dir, q=ALL_DAY):
     od, index, grid, edges = _tables(spark, sf_dir)
     return op.frequent_routes(od, index, grid, edges, lattice.road_edges(spark), q)
