@@ -1,6 +1,8 @@
 """Components, decoding, routing, backbones and route helpers against brute force."""
 
+import heapq
 import itertools
+import math
 import random
 
 import numpy as np
@@ -182,3 +184,86 @@ def test_variants_of_a_corridor_are_all_reported(spark):
     rows = [("c1", n, 60.0, [f"road:r{n}"]) for n in range(12)]
     members = spark.createDataFrame(rows, "cluster_id string, taxi_id long, duration_seconds double, sequence_tokens array<string>")
     assert routes.variants(members).count() == 12 and routes.variants(members, keep=3).count() == 3
+
+
+ROADS = "id long, edge_uid long, u long, v long, oneway string, coords array<struct<lon:double,lat:double>>"
+PAIRS = "src long, dst long, src_lon double, src_lat double, dst_lon double, dst_lat double"
+
+
+def town(rng, side, keep):
+    """Streets of a grid, some missing, some one-way."""
+    place = {i * side + j: (116.0 + 0.004 * i, 40.0 + 0.004 * j) for i in range(side) for j in range(side)}
+    rows = []
+    for a in place:
+        i, j = divmod(a, side)
+        for b in ([a + side] if i + 1 < side else []) + ([a + 1] if j + 1 < side else []):
+            if rng.random() < keep:
+                rows.append((len(rows), len(rows), a, b, rng.choice((None, None, "yes", "-1")), [dict(zip(("lon", "lat"), place[n], strict=True)) for n in (a, b)]))
+    return place, rows
+
+
+def plain_costs(links, start):
+    cost = {start: 0.0}
+    queue = [(0.0, start)]
+    while queue:
+        spent, node = heapq.heappop(queue)
+        if spent > cost[node]:
+            continue
+        for other, weight in links.get(node, ()):
+            if spent + weight < cost.get(other, float("inf")):
+                cost[other] = spent + weight
+                heapq.heappush(queue, (cost[other], other))
+    return cost
+
+
+def test_ways_are_the_shortest_of_the_whole_network(spark):
+    rng = random.Random(9)
+    place, rows = town(rng, 14, 0.8)
+    links = matching.directed_edges(spark.createDataFrame(rows, ROADS))
+    known = {}
+    for r in links.collect():
+        known.setdefault(r["src"], []).append((r["dst"], r["weight_m"]))
+    wanted = [(rng.randrange(196), rng.randrange(196)) for _ in range(60)] + [(a, a + 1) for a in range(0, 190, 3)]
+    pairs = spark.createDataFrame([(a, b, *place[a], *place[b]) for a, b in wanted], PAIRS)
+    for options in ({}, {"padding_deg": 0.001}, {"widest_deg": 0.03}):
+        got = {(r["src"], r["dst"]): r for r in matching.route_pairs(pairs, links, **options).collect()}
+        for a, b in wanted:
+            best = plain_costs(known, a).get(b)
+            if a == b or best is None:
+                assert (a, b) not in got
+                continue
+            assert got[a, b]["network_m"] == pytest.approx(best)
+            way = [w["node"] for w in got[a, b]["way"]]
+            assert way[0] == a and way[-1] == b
+            assert sum(dict(known[x])[y] for x, y in itertools.pairwise(way)) == pytest.approx(best)
+
+
+def test_detour_far_outside_the_pair_is_found(spark):
+    far = [(116.0, 40.0), (116.02, 40.0), (116.02, 40.02), (116.001, 40.02), (116.001, 40.0)]
+    rows = [(k, k, k, k + 1, "yes", [dict(zip(("lon", "lat"), p, strict=True)) for p in (far[k], far[k + 1])]) for k in range(4)]
+    links = matching.directed_edges(spark.createDataFrame(rows, ROADS))
+    got = matching.route_pairs(spark.createDataFrame([(0, 4, *far[0], *far[4])], PAIRS), links).collect()
+    assert [w["node"] for w in got[0]["way"]] == [0, 1, 2, 3, 4]
+
+
+def test_nearest_nodes_equal_all_distances(spark):
+    rng = random.Random(4)
+    nodes = [(n, 116.0 + rng.random(), 39.5 + rng.random()) for n in range(300)] + [(900, -70.0, -33.0)]
+    points = [(1, n, 116.0 + 1.4 * rng.random(), 39.3 + 1.4 * rng.random()) for n in range(60)]
+    points += [(2, n, lon, lat) for n, (lon, lat) in enumerate([(16.0, 40.0), (-179.9, 10.0), (179.9, -80.0), (116.5, 89.9), (-70.0, -33.0), (0.0, 0.0)])]
+    n = spark.createDataFrame(nodes, "node long, node_lon double, node_lat double")
+    p = spark.createDataFrame(points, "taxi_id long, seq long, lon double, lat double")
+    for planar in (False, True):
+        got = {(r["taxi_id"], r["seq"]): r for r in matching.nearest_node(p, n, ["taxi_id", "seq"], planar).collect()}
+        assert len(got) == len(points)
+
+        def away(lon, lat, x, y):
+            if planar:
+                return (lon - x) ** 2 + (lat - y) ** 2
+            a, b = math.radians(lat), math.radians(y)
+            h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(x - lon) / 2) ** 2
+            return 2 * 6371000.0 * math.asin(math.sqrt(min(1.0, h)))
+
+        for taxi, seq, lon, lat in points:
+            best = min(nodes, key=lambda r: away(lon, lat, r[1], r[2]))
+            assert got[taxi, seq]["d"] == pytest.approx(away(lon, lat, best[1], best[2]), rel=1e-6, abs=1e-6), (planar, lon, lat)
