@@ -11,7 +11,7 @@ import plain_routes
 import pytest
 
 from wayloom.operators import matching, routes
-from wayloom.operators.corridors import backbone
+from wayloom.operators.corridors import backbone, near_components
 from wayloom.operators.graph import connected_components
 
 
@@ -267,3 +267,45 @@ def test_nearest_nodes_equal_all_distances(spark):
         for taxi, seq, lon, lat in points:
             best = min(nodes, key=lambda r: away(lon, lat, r[1], r[2]))
             assert got[taxi, seq]["d"] == pytest.approx(away(lon, lat, best[1], best[2]), rel=1e-6, abs=1e-6), (planar, lon, lat)
+
+
+def test_parts_follow_whole_lines_not_vertices(spark):
+    rng = random.Random(13)
+    eps = 0.004
+
+    def gap(a, b):
+        def off(p, q, r):
+            ux, uy = r[0] - q[0], r[1] - q[1]
+            n = ux * ux + uy * uy
+            t = max(0.0, min(1.0, ((p[0] - q[0]) * ux + (p[1] - q[1]) * uy) / n)) if n else 0.0
+            return math.dist(p, (q[0] + t * ux, q[1] + t * uy))
+
+        def side(p, q, r):
+            return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+        best = math.inf
+        for p, q in itertools.pairwise(a) if len(a) > 1 else [(a[0], a[0])]:
+            for r, t in itertools.pairwise(b) if len(b) > 1 else [(b[0], b[0])]:
+                if side(p, q, r) * side(p, q, t) < 0 and side(r, t, p) * side(r, t, q) < 0:
+                    return 0.0
+                best = min(best, off(p, r, t), off(q, r, t), off(r, p, q), off(t, p, q))
+        return best
+
+    lines = {}
+    for uid in range(120):
+        x, y = 116.0 + rng.random(), 40.0 + rng.random()
+        lines[uid] = [(x, y)] + [(x + rng.uniform(-0.1, 0.1), y + rng.uniform(-0.1, 0.1)) for _ in range(rng.randrange(3))]
+    lines[200], lines[201] = [(10.0, 10.0), (10.5, 10.5)], [(10.0, 10.5), (10.5, 10.0)]  # cross in mid-line
+    group = {u: f"g{u % 3}" if u < 200 else "x" for u in lines}
+    shape = "road_group_key string, road_uid long, coords array<struct<lon:double,lat:double>>"
+    df = spark.createDataFrame([(group[u], u, [dict(zip(("lon", "lat"), p, strict=True)) for p in line]) for u, line in lines.items()], shape)
+    got = {}
+    for r in near_components(df, eps).collect():
+        got.setdefault((r["road_group_key"], r["component_id"]), set()).add(r["road_uid"])
+    pairs = [(a, b) for a, b in itertools.combinations(lines, 2) if group[a] == group[b] and gap(lines[a], lines[b]) <= eps]
+    want = {}
+    for u, root in enumerate(union_find(202, pairs)):
+        if u in lines:
+            want.setdefault(root, set()).add(u)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert {200, 201} in got.values()

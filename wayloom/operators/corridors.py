@@ -19,6 +19,8 @@ from wayloom.session import cut_lineage
 from wayloom.sources.tables import oneway_mode
 
 # Fixed values of the corridor rules.
+#: Cells in which lines of one road meet.
+CLUSTER_CELL_DEG = 0.002
 CLUSTER_EPS_DEG = 0.00018
 STITCH_GAP_M = 120.0
 LONG_GAP_M = 260.0
@@ -614,23 +616,65 @@ def corridors_from_edges(
 # --- drill-down --------------------------------------------------------------
 
 
-def near_components(segments: DataFrame, eps_deg: float = CLUSTER_EPS_DEG) -> DataFrame:
-    """Number (from 1) the parts of each road group whose vertices come closer than eps."""
-    vertices = segments.select("road_group_key", "road_uid", F.explode("coords").alias("p"))
-    placed = vertices.withColumn("cx", F.floor(F.col("p.lon") / eps_deg)).withColumn("cy", F.floor(F.col("p.lat") / eps_deg))
-    around = F.expr("sequence(-1, 1)")
-    spread = placed.withColumn("cx", F.explode(F.transform(around, lambda d: F.col("cx") + d))).withColumn(
-        "cy", F.explode(F.transform(around, lambda d: F.col("cy") + d))
+def line_pieces(segments: DataFrame, cell_deg: float, margin_deg: float) -> DataFrame:
+    """(road_group_key, road_uid, x1, y1, x2, y2, cx, cy): straight pieces of at most a cell's length, once for every cell within ``margin_deg``."""
+    n = F.size("coords")
+    ends = F.transform(
+        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+        lambda i: F.struct(F.element_at("coords", i).alias("a"), F.element_at("coords", F.least(i + 1, n)).alias("b")),
     )
-    a, b = spread.alias("a"), placed.alias("b")
-    dx, dy = F.col("a.p.lon") - F.col("b.p.lon"), F.col("a.p.lat") - F.col("b.p.lat")
+    straight = segments.filter(n > 0).select("road_group_key", "road_uid", F.explode(ends).alias("e")).select("road_group_key", "road_uid", "e.a", "e.b")
+    dx, dy = F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat")
+    parts = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / cell_deg).cast("int"))
+    cut = straight.withColumn("n", parts).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+
+    def at(k: Column) -> tuple[Column, Column]:
+        return F.col("a.lon") + dx * k / F.col("n"), F.col("a.lat") + dy * k / F.col("n")
+
+    (x1, y1), (x2, y2) = at(F.col("k")), at(F.col("k") + 1)
+    pieces = cut.select("road_group_key", "road_uid", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    for name, u, v in (("cx", "x1", "x2"), ("cy", "y1", "y2")):
+        low, high = F.least(u, v) - margin_deg, F.greatest(u, v) + margin_deg
+        pieces = pieces.withColumn(name, F.explode(F.sequence(F.floor(low / cell_deg), F.floor(high / cell_deg))))
+    return pieces
+
+
+def squared_gap(a: str, b: str) -> Column:
+    """Squared distance of two aliased straight pieces, in degrees."""
+
+    def at(side: str, end: int) -> tuple[Column, Column]:
+        return F.col(f"{side}.x{end}"), F.col(f"{side}.y{end}")
+
+    def off(p: tuple[Column, Column], q: tuple[Column, Column], r: tuple[Column, Column]) -> Column:
+        """Of a point p from the piece q–r."""
+        ux, uy = r[0] - q[0], r[1] - q[1]
+        along = F.coalesce(F.try_divide((p[0] - q[0]) * ux + (p[1] - q[1]) * uy, ux * ux + uy * uy), F.lit(0.0))
+        along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        dx, dy = p[0] - q[0] - along * ux, p[1] - q[1] - along * uy
+        return dx * dx + dy * dy
+
+    def side(p: tuple[Column, Column], q: tuple[Column, Column], r: tuple[Column, Column]) -> Column:
+        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    p, q, r, t = at(a, 1), at(a, 2), at(b, 1), at(b, 2)
+    cross = (side(p, q, r) * side(p, q, t) < 0) & (side(r, t, p) * side(r, t, q) < 0)
+    return F.when(cross, 0.0).otherwise(F.least(off(p, r, t), off(q, r, t), off(r, p, q), off(t, p, q)))
+
+
+def near_components(segments: DataFrame, eps_deg: float = CLUSTER_EPS_DEG, cell_deg: float = CLUSTER_CELL_DEG) -> DataFrame:
+    """Number (from 1) the parts of each road group whose lines come as close as eps.
+
+    Lines meet in cells: when two are eps apart or less, the cell half-way between them lies within half of that of both.
+    """
+    pieces = line_pieces(segments, max(cell_deg, eps_deg), eps_deg / 2 * (1 + 1e-9))
+    a, b = pieces.alias("a"), pieces.alias("b")
     links = (
         a.join(
             b,
             [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("road_group_key", "cx", "cy")]
             + [F.col("a.road_uid") < F.col("b.road_uid")],
         )
-        .filter(dx * dx + dy * dy <= eps_deg * eps_deg)
+        .filter(squared_gap("a", "b") <= eps_deg * eps_deg)
         .select(F.col("a.road_uid").alias("src"), F.col("b.road_uid").alias("dst"))
         .distinct()
     )

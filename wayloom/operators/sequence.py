@@ -179,21 +179,27 @@ def row_numbers(
     return running_sum(df, keys, order, F.lit(1), out, time, chunk_seconds)
 
 
-def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """``rows`` with their place (from 1) in ascending order of the columns ``order``, without a task that holds them all.
+def running_total(rows: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before them in ascending order of the columns ``order``.
 
-    Rows are dealt out by ranges and sorted inside them; only the ranges' counts are summed up in one task. Rows that
-    agree in ``order`` are numbered in any order among themselves. The dealt rows are checkpointed, as their
-    numbers must not change when a part is computed again.
+    Rows are dealt out by ranges and summed inside them; only the ranges' sums are added up in one task. Rows that
+    agree in ``order`` come in any order among themselves. The dealt rows are checkpointed, as their places must not
+    change when a part is computed again.
     """
     by = [F.col(c).asc_nulls_first() for c in order]
     dealt = cut_lineage(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    place = (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name)
-    return dealt.join(F.broadcast(starts), part == F.col("_part")).select(*rows.columns, place)  # one row per range
+    placed = dealt.withColumn("_part", F.shiftright("_at", 33))
+    sums = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    total = (F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias(name)
+    return placed.join(F.broadcast(starts), "_part").select(*rows.columns, total)  # one row per range
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with their place (from 1) in ascending order of the columns ``order``, see :func:`running_total`."""
+    return running_total(rows.withColumn("_one", F.lit(1).cast("long")), order, "_one", name).drop("_one").withColumn(name, F.col(name) + 1)
 
 
 def bucket_pairs(rows: DataFrame, keys: Sequence[str], identity: str, wanted: Column, tile: int = 512) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
+from wayloom.operators.sequence import running_total
 
 
 def number_points(points: DataFrame) -> DataFrame:
@@ -16,16 +17,13 @@ def number_points(points: DataFrame) -> DataFrame:
 
     Ids are dense within a vehicle's day and never need a global sort: the id is built
     from the number of points on earlier (vehicle, day) blocks plus the rank in the block.
-    Only the block counts, one row per vehicle and day, are ordered globally.
+    Only the vehicles' counts are ordered over all, by ranges.
     """
     day = F.to_date("gps_time")
     blocks = points.groupBy("taxi_id", day.alias("_day")).agg(F.count("*").alias("_n"))
     per_taxi = blocks.groupBy("taxi_id").agg(F.sum("_n").alias("_taxi_n"))
-    everything = Window.orderBy("taxi_id").rowsBetween(Window.unboundedPreceding, -1)
     earlier_days = Window.partitionBy("taxi_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    taxi_offset = per_taxi.select(
-        "taxi_id", F.coalesce(F.sum("_taxi_n").over(everything), F.lit(0)).alias("_taxi_offset")
-    )
+    taxi_offset = running_total(per_taxi, ["taxi_id"], "_taxi_n", "_taxi_offset").drop("_taxi_n")
     offsets = blocks.select(
         "taxi_id", "_day", F.coalesce(F.sum("_n").over(earlier_days), F.lit(0)).alias("_day_offset")
     ).join(taxi_offset, "taxi_id")
