@@ -43,6 +43,14 @@ SAMPLE = [
     "markdown_scan",
     "trip_chains",
     "corridor_candidates_by_length",
+    "request_candidates",
+    "request_corridors",
+    "request_routes",
+    "route_token_sets",
+    "route_threshold_ladder",
+    "match_trips_oneway",
+    "retrieval_phrases_and_codes",
+    "road_parts_travelled",
 ]
 NAMES = sorted(ORACLES) if os.environ.get("WAYLOOM_ALL") else SAMPLE
 
