@@ -195,7 +195,7 @@ l1 AS (SELECT w.query_id, w.rank, w.tier, r.* EXCLUDE (query_id, rank), base_sco
 @query(
     "request_routes",
     with_(POINTS, OD, RECORDS, _pick_sql())
-    + f""" SELECT query_id, left(kind, 1) || e.rank AS row_id, route_rank::INT AS route_rank, tier AS quality_tier, parent AS parent_cluster_id, trip_count, base_score, signature
+    + f""" SELECT query_id, left(kind, 1) || e.rank AS row_id, route_rank::INT AS route_rank, tier AS quality_tier, parent AS parent_cluster_id, trip_count, round(base_score, 6) AS base_score, signature
  FROM ended e JOIN recs USING (query_id, rank) WHERE route_rank <= {TOP_K}""",
 )
 def request_routes(spark, sf_dir):
@@ -203,4 +203,4 @@ def request_routes(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     picks = op.pick_routes(rows, TOP_K)
     columns = ["query_id", "row_id", "parent_cluster_id", "trip_count", "base_score", "signature"]
-    return rounded(picks.join(rows.select(*columns), ["query_id", "row_id"]), 9)
+    return rounded(picks.join(rows.select(*columns), ["query_id", "row_id"]), 6)
