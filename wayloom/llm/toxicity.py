@@ -189,12 +189,21 @@ def train(texts: list[str], toxic: list[int], chain_words: int = CHAIN_WORDS) ->
     model = Model((n_toxic + 0.5) / (len(toxic) + 5.0))
     if not n_toxic or not n_clean:
         return model
-    words = [plain_words(t) for t in texts]
+    # Equal words are one object, and of the clean documents only forms that could mark toxic ones are counted: this runs on the driver.
+    same: dict[bytes, bytes] = {}
+    words = [[same.setdefault(w, w) for w in plain_words(t)] for t in texts]
+    del same
     for_toxic: Counter[str] = Counter()
+    for w, label in zip(words, toxic, strict=True):
+        if label:
+            for_toxic.update({f for one in set(w) for f in forms_of(one)})
+    often = {f: a for f, a in for_toxic.items() if a > 2}
+    del for_toxic
     for_clean: Counter[str] = Counter()
     for w, label in zip(words, toxic, strict=True):
-        (for_toxic if label else for_clean).update({f for one in set(w) for f in forms_of(one)})
-    found = sorted(((-_evidence(a, for_clean[f], n_toxic, n_clean), f) for f, a in for_toxic.items() if a > 2))
+        if not label:
+            for_clean.update({f for one in set(w) for f in forms_of(one) if f in often})
+    found = sorted(((-_evidence(a, for_clean[f], n_toxic, n_clean), f) for f, a in often.items()))
     kept = [f for score, f in found[:MAX_FORMS] if score <= -LEAST_EVIDENCE]
     model.forms = {f: i for i, f in enumerate(kept)}
     model.weights = np.zeros((3, len(kept)))
