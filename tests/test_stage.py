@@ -5,8 +5,9 @@ from contextlib import redirect_stdout
 
 import pytest
 
+from wayloom.plans import files
 from wayloom.plans.answers import _rows
-from wayloom.sources import lattice
+from wayloom.sources import lattice, tables
 
 
 def shown(df):
@@ -38,3 +39,17 @@ def test_request_rows_hold_the_first_trip_of_every_signature(spark, sf_dir, kind
     assert rows and len({(r[0], r[1]) for r in rows}) == len(rows)
     if kind == "single":
         assert len({(r[0], r[2]) for r in rows}) == len(rows)
+
+
+def test_points_written_in_place_are_all_there(spark, sf_dir, tmp_path):
+    points = lattice.taxi_points(spark, sf_dir)
+    tables.write_points(points, str(tmp_path / "p"), in_place=True)
+    back = spark.read.parquet(str(tmp_path / "p")).drop("day")
+    assert back.count() == points.count() and back.exceptAll(points).isEmpty()
+
+
+def test_documents_lie_in_the_folder_of_their_language(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_folder", lambda spark, name: str(tmp_path / name))
+    n = sum(r["files"] for r in files.markdown_scan(spark, sf_dir).collect())
+    folders = [p for p in (tmp_path / "markdown").rglob("*") if p.is_dir()]
+    assert n == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and {p.parent.name for p in folders} == {"markdown"}
