@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 
 import pytest
 
+from wayloom.operators import retrieval
 from wayloom.plans import files
 from wayloom.plans.answers import _rows
 from wayloom.sources import lattice, tables
@@ -53,3 +54,12 @@ def test_documents_lie_in_the_folder_of_their_language(spark, sf_dir, tmp_path,
     n = sum(r["files"] for r in files.markdown_scan(spark, sf_dir).collect())
     folders = [p for p in (tmp_path / "markdown").rglob("*") if p.is_dir()]
     assert n == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and {p.parent.name for p in folders} == {"markdown"}
+
+
+def test_retrieval_keeps_no_lists_of_tokens(spark, monkeypatch):
+    kept_columns, keep = [], retrieval.cut_lineage
+    monkeypatch.setattr(retrieval, "cut_lineage", lambda df: kept_columns.append(df.columns) or keep(df))
+    chunks = spark.createDataFrame([("a#0", "a.md", "road", "part 1", "red bus lane"), ("a#1", "a.md", "road", "part 2", "blue car")], "id string, path string, title string, heading string, content string")
+    questions = spark.createDataFrame([(1, "which bus")], "qid long, question string")
+    assert [r["id"] for r in retrieval.top_chunks(questions, chunks, 1).collect()] == ["a#0"]
+    assert kept_columns and not any("tokens" in c or "heading_tokens" in c for c in kept_columns)
