@@ -5,7 +5,7 @@ from contextlib import redirect_stdout
 
 import pytest
 
-from wayloom.operators import retrieval
+from wayloom.operators import matching, retrieval
 from wayloom.plans import files
 from wayloom.plans.answers import _rows
 from wayloom.sources import lattice, tables
@@ -63,3 +63,17 @@ def test_retrieval_keeps_no_lists_of_tokens(spark, monkeypatch):
     questions = spark.createDataFrame([(1, "which bus")], "qid long, question string")
     assert [r["id"] for r in retrieval.top_chunks(questions, chunks, 1).collect()] == ["a#0"]
     assert kept_columns and not any("tokens" in c or "heading_tokens" in c for c in kept_columns)
+
+
+def test_points_near_nodes_are_settled_where_they_are(spark, sf_dir, monkeypatch):
+    def refuse(df):
+        raise AssertionError(f"{df.columns} would be written")
+
+    monkeypatch.setattr(matching, "cut_lineage", refuse)
+    nodes = matching.graph_nodes(lattice.road_edges(spark))
+    points = lattice.taxi_points(spark, sf_dir)
+    snapped = matching.snap_points(points.select("id", "lon", "lat"), nodes, ["id"])
+    assert "hashpartitioning(id" not in shown(snapped) and snapped.count() == points.count()
+    steps = matching.downsample(points, chunk_seconds=None)
+    found = matching.candidates(steps, nodes, radius_m=5.0)
+    assert shown(found).count("Exchange hashpartitioning(taxi_id") == 1 and found.count() == points.count()
