@@ -2,8 +2,10 @@
 
 import io
 from contextlib import redirect_stdout
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayloom.operators import matching, retrieval
 from wayloom.plans import files
@@ -77,3 +79,17 @@ def test_points_near_nodes_are_settled_where_they_are(spark, sf_dir, monkeypatch
     steps = matching.downsample(points, chunk_seconds=None)
     found = matching.candidates(steps, nodes, radius_m=5.0)
     assert shown(found).count("Exchange hashpartitioning(taxi_id") == 1 and found.count() == points.count()
+
+
+def test_trips_with_choices_far_points_and_no_roads_are_matched(spark, monkeypatch):
+    written, keep = [], matching.cut_lineage
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: written.append(df.columns) or keep(df))
+    start = datetime(2008, 2, 2)
+    places = {1: [(116.2032, 39.8), (116.2131, 39.8), (116.2229, 39.8)], 2: [(116.14, 39.8), (116.2, 39.8), (116.21, 39.8)], 3: [(10.0, 50.0), (10.1, 50.0), (10.2, 50.0)]}
+    rows = [(t * 100 + k, 1, t, start + timedelta(minutes=k), x, y) for t, line in places.items() for k, (x, y) in enumerate(line)]
+    points = spark.createDataFrame(rows, "id long, taxi_id long, trip_id long, gps_time timestamp_ntz, lon double, lat double")
+    lines, status = matching.match_trips(points, lattice.road_edges(spark).withColumn("oneway", F.lit(None).cast("string")), radius_m=900.0, chunk_seconds=None)
+    assert {r["trip_id"]: r["node_ids"] for r in lines.collect()} == {1: [0, 1000, 2000], 2: [0, 1000]}
+    assert {r["trip_id"]: r["reason"] for r in status.collect()} == {1: "matched", 2: "matched", 3: "no-road-edges"}
+    # No step of a trip is checkpointed but those far from all nodes.
+    assert not any("straight_m" in columns for columns in written)
