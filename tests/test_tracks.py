@@ -139,3 +139,15 @@ def test_high_vehicle_ids_are_kept(spark):
     assert sorted(r["box_index"] for r in hits.collect()) == [1, 2]
     assert regions.union_vehicles(hits).count() == 1 and regions.union_trips(hits).count() == 1
     assert regions.box_hits(points, boxes.limit(0), datetime(2008, 2, 2), datetime(2008, 2, 3)).count() == 0
+
+
+def test_stitch_groups_starts_no_python_group_per_trip(spark):
+    big = 2**60 + 1
+    line = lambda *p: [(float(x), float(y)) for x, y in p]
+    rows = [(big, line((0, 0), (1, 0))), (big, line((2, 0), (1, 0))), (None, line((5, 5), (6, 5))), (7, line((1, 1)))]
+    df = spark.createDataFrame(rows, f"trip long, coords {geo.LINE}")
+    found = lines.stitch_groups(df, ["trip"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsIn" not in plan
+    got = {r["trip"]: ([(p["lon"], p["lat"]) for p in r["coords"]], r["part_count"]) for r in found.collect()}
+    assert got == {big: ([(0, 0), (1, 0), (2, 0)], 2), None: ([(5, 5), (6, 5)], 1)}
