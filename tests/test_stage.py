@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from wayloom.operators import matching, retrieval
+from wayloom.operators import matching, retrieval, routes
 from wayloom.plans import files
+from wayloom.plans import routes as plans
 from wayloom.plans.answers import _rows
 from wayloom.sources import lattice, tables
 
@@ -93,3 +94,22 @@ def test_trips_with_choices_far_points_and_no_roads_are_matched(spark, monkeypat
     assert {r["trip_id"]: r["reason"] for r in status.collect()} == {1: "matched", 2: "matched", 3: "no-road-edges"}
     # No step of a trip is checkpointed but those far from all nodes.
     assert not any("straight_m" in columns for columns in written)
+
+
+def test_matched_trips_are_made_row_by_row(spark, sf_dir):
+    matched = lattice.matched_trips(spark, sf_dir)
+    plan = shown(matched)
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    size = matched._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) > 20 * int(str(orders))
+    walked = lattice.walk(spark, sf_dir).groupBy("taxi_id", "trip_id").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("i") * 1000 + F.col("j")).cast("long").alias("node")))).alias("r"))
+    grouped = walked.select("taxi_id", "trip_id", F.transform("r", lambda r: r["node"]).alias("node_ids"))
+    assert matched.select("taxi_id", "trip_id", "node_ids").exceptAll(grouped).isEmpty() and matched.count() == grouped.count()
+
+
+def test_tables_of_a_route_answer_with_a_row_a_trip_are_kept_in_columns(spark, sf_dir, monkeypatch):
+    written, cut = [], routes.cut_lineage
+    monkeypatch.setattr(routes, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    assert plans._answer(spark, sf_dir, plans.STRICT)["routes"].count() > 0
+    assert written and not any("vector_tokens" in c or "token_set" in c or "soft" in c or "a_hits" in c and "cluster_rank" not in c for c in written)
