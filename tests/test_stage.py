@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from wayloom.operators import matching, retrieval, routes
+from wayloom.operators import matching, retrieval, roads, routes
 from wayloom.plans import files
 from wayloom.plans import routes as plans
 from wayloom.plans.answers import _rows
@@ -113,3 +113,31 @@ def test_tables_of_a_route_answer_with_a_row_a_trip_are_kept_in_columns(spark, s
     monkeypatch.setattr(routes, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
     assert plans._answer(spark, sf_dir, plans.STRICT)["routes"].count() > 0
     assert written and not any("vector_tokens" in c or "token_set" in c or "soft" in c or "a_hits" in c and "cluster_rank" not in c for c in written)
+
+
+def test_passes_are_neither_shuffled_nor_written(spark, sf_dir):
+    passes = lattice.passes(spark, sf_dir)
+    hours = roads.road_hourly_counts(passes)
+    plan = shown(hours)
+    # The orders are dealt out by trip once; after that only counts per segment, hour and taxi move. Nobody asks for lengths of roads.
+    assert plan.count("Exchange hashpartitioning(taxi_id") == 1 and "Sort" not in plan and "group_length_m" not in plan
+    assert "FileScan parquet spark_catalog" not in shown(passes)
+    told = roads.road_passes(lattice.trip_edges(spark, sf_dir), lattice.road_edges(spark), lattice.trip_od(spark, sf_dir), digits=3)
+    passes = lattice.passes(spark, sf_dir, digits=3)
+    assert passes.count() == told.count() and passes.exceptAll(told).isEmpty()
+    # A window of departure reaches the trips before they are expanded.
+    early = shown(passes.filter("start_time < TIMESTAMP_NTZ '2008-02-03 00:00:00'").select("taxi_id", "trip_id", "road_uid"))
+    assert early.index("2008-02-03") > early.rindex("Generate explode(s#")
+
+
+def test_edges_of_lines_with_gaps_repeats_and_copies(spark):
+    nodes = {1: [0, 1000, None, 2000, 2000, 1000], 2: [0, 1000, 1001], 3: [], 4: None, 5: [0], 6: [None, 0, 1], 7: [0, 2000]}
+    matched = spark.createDataFrame([(1, t, n) for t, n in nodes.items()] + [(1, 2, [0, 1000, 1001])], "taxi_id long, trip_id long, node_ids array<long>")
+    network = lattice.road_edges(spark)
+    edges = roads.edge_sequence(matched, network)
+    found = sorted((r["trip_id"], r["edge_seq"], r["road_uid"], r["direction"]) for r in edges.collect())
+    assert found == [(1, 2, 0, 1), (1, 4, 2000, 1), (1, 6, 2000, -1), (2, 2, 0, 1), (2, 3, 2001, 1), (6, 3, 1, 1)]
+    times = matched.withColumn("start_time", F.lit(datetime(2008, 2, 2))).withColumn("end_time", F.lit(datetime(2008, 2, 3)))
+    carried = roads.edge_sequence(times, network.unionByName(network), ["start_time", "end_time"], repeats=True)
+    passes = roads.road_passes(carried, network)
+    assert sorted((r["trip_id"], r["road_uid"], r["direction"]) for r in passes.collect()) == sorted((t, u, d) for t, _, u, d in found)

@@ -80,10 +80,7 @@ def road_features_travelled(spark, sf_dir):
  segment_count, round(group_length_m, 3) AS group_length_m, round(matched_segment_length_m, 3) AS matched_segment_length_m, start_time, end_time FROM passes""",
 )
 def road_passes(spark, sf_dir):
-    passes = op.road_passes(
-        lattice.trip_edges(spark, sf_dir), lattice.road_edges(spark), lattice.trip_od(spark, sf_dir)
-    )
-    return rounded(passes, 3)
+    return lattice.passes(spark, sf_dir, digits=3)
 
 
 @query(
@@ -93,9 +90,7 @@ def road_passes(spark, sf_dir):
  SELECT road_group_key, round(sum(measured_m), 3) AS group_length_m FROM lens GROUP BY road_group_key""",
 )
 def road_group_lengths_distinct(spark, sf_dir):
-    passes = op.road_passes(
-        lattice.trip_edges(spark, sf_dir), lattice.road_edges(spark), lattice.trip_od(spark, sf_dir), True
-    )
+    passes = lattice.passes(spark, sf_dir, True)
     return rounded(passes.groupBy("road_group_key").agg(F.max("group_length_m").alias("group_length_m")), 3)
 
 
