@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from wayloom import session
 from wayloom.operators import matching, retrieval, roads, routes
 from wayloom.plans import files
 from wayloom.plans import routes as plans
@@ -115,6 +116,34 @@ def test_tables_of_a_route_answer_with_a_row_a_trip_are_kept_in_columns(spark, s
     assert written and not any("vector_tokens" in c or "token_set" in c or "soft" in c or "a_hits" in c and "cluster_rank" not in c for c in written)
 
 
+def test_trips_of_a_route_are_never_broadcast(spark, sf_dir):
+    od, edges = lattice.trip_od(spark, sf_dir), lattice.trip_edges(spark, sf_dir)
+    chosen, _ = routes.candidates(od, None, None, edges, plans.STRICT)
+    # Files of that size would be broadcast by their compressed size, whatever their rows take.
+    assert "Broadcast" not in shown(chosen) and chosen.count() > 0
+    features = session.counted(routes.route_features(lattice.road_edges(spark), plans.STRICT))
+    plan = shown(routes.sampled_trips(chosen, edges, features, plans.STRICT))
+    # Only the roads are, and lists of tokens are not dealt out.
+    assert plan.count("BroadcastExchange") == 1 and "rangepartitioning" not in plan and "Exchange hashpartitioning(road_uid" not in plan
+
+
+def test_small_tables_are_broadcast_by_their_rows(spark, monkeypatch):
+    left, few = spark.range(2000).withColumnRenamed("id", "k"), spark.range(50).withColumnRenamed("id", "k")
+    assert "BroadcastHashJoin" in shown(left.join(session.counted(few), "k"))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10)
+    assert "SortMergeJoin" in shown(left.join(session.counted(few), "k"))
+
+
+def test_stop_tokens_are_dropped_in_place(spark):
+    lists = {n: ["all", f"own{n}", "half" if n % 2 else "other"] for n in range(40)} | {40: ["all"], 41: [], 42: None, 43: ["b", "all", "a"]}
+    trips = spark.createDataFrame(list(lists.items()), "trip_index long, vector_tokens array<string>")
+    found = routes.drop_stop_tokens(trips)
+    got = {r["trip_index"]: r["token_set"] for r in found.collect()}
+    # A trip that has nothing else keeps what all have.
+    assert got == {n: w and (sorted(set(w) - {"all"}) or w) for n, w in lists.items()}
+    assert "Exchange hashpartitioning(trip_index" not in shown(found)
+
+
 def test_passes_are_neither_shuffled_nor_written(spark, sf_dir):
     passes = lattice.passes(spark, sf_dir)
     hours = roads.road_hourly_counts(passes)
