@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayloom import session
 from wayloom.operators import matching, retrieval, roads, routes
-from wayloom.plans import files
+from wayloom.plans import files, regions
 from wayloom.plans import routes as plans
 from wayloom.plans.answers import _rows
 from wayloom.sources import lattice, tables
@@ -170,3 +170,9 @@ def test_edges_of_lines_with_gaps_repeats_and_copies(spark):
     carried = roads.edge_sequence(times, network.unionByName(network), ["start_time", "end_time"], repeats=True)
     passes = roads.road_passes(carried, network)
     assert sorted((r["trip_id"], r["road_uid"], r["direction"]) for r in passes.collect()) == sorted((t, u, d) for t, _, u, d in found)
+
+
+def test_points_stay_where_they_are_when_they_meet_boxes(spark, sf_dir):
+    hits = regions._hits(spark, sf_dir)
+    plan = shown(hits)
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(_level" not in plan and hits.count() > 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import geo, hexgrid
 from wayloom.operators.sequence import CHUNK_SECONDS, neighbour, seconds_between
 from wayloom.operators.trips import TRIP, filter_points, time_window
+from wayloom.session import counted
 
 FINEST_CELL = 0.01
 
@@ -65,7 +66,8 @@ def box_hits(
         return rows.select(*TRIP, F.lit(None).cast(boxes.schema["box_index"].dataType).alias("box_index")).limit(0)
     placed = rows.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
     placed = placed.withColumn("_x", cell(F.col("lon"), F.col("_level"))).withColumn("_y", cell(F.col("lat"), F.col("_level")))
-    hits = placed.join(cells, ["_level", "_x", "_y"]).filter(geo.in_box_columns(F.col("lon"), F.col("lat")))
+    # Points stay where they are unless the boxes are very many; Spark cannot tell how few cells these lists of cells make.
+    hits = placed.join(counted(cells), ["_level", "_x", "_y"]).filter(geo.in_box_columns(F.col("lon"), F.col("lat")))
     return hits.select(*TRIP, "box_index").distinct()
 
 
