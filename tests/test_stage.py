@@ -176,3 +176,23 @@ def test_points_stay_where_they_are_when_they_meet_boxes(spark, sf_dir):
     hits = regions._hits(spark, sf_dir)
     plan = shown(hits)
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(_level" not in plan and hits.count() > 0
+
+
+def test_pairs_of_questions_and_sections_are_added_up_where_the_sections_are(spark):
+    weights = session.counted(spark.createDataFrame([(q, w, 9, 1.0 / (q + 1)) for q in range(3) for w in ("bus", "lane")], "qid long, token string, df long, w double"))
+    counts = spark.createDataFrame([(f"a#{n}", w, 0.1 * n) for n in range(9) for w in ("bus", "lane")], "id string, token string, share double")
+    more = spark.createDataFrame([(2, "b#0", 2.0, None), (1, "a#1", None, 6.0)], "qid long, id string, phrase double, bonus double")
+    ask = spark.createDataFrame([(0, [], False), (1, ["f1"], False), (2, [], True)], "qid long, features array<string>, detail boolean")
+    detailed = spark.createDataFrame([("a#2",)], "id string")
+    pairs = retrieval.likely_pairs(weights, counts, more, ask, detailed, 2)
+    plan = shown(pairs)
+    # Only the best of each task are dealt out by question.
+    assert plan.count("Exchange hashpartitioning(id") == 1 and plan.index("Exchange hashpartitioning(qid") < plan.rindex("WindowGroupLimit")
+    assert {(r["qid"], r["id"]) for r in pairs.collect()} == {(0, "a#8"), (0, "a#7"), (1, "a#1"), (1, "a#8"), (2, "a#2"), (2, "b#0")}
+
+
+def test_phrases_are_found_at_every_character(spark):
+    sections = spark.createDataFrame([("a#0", "t", "h", "x\U0001f68c\U0001f68cbus 车站 lane\u2028end"), ("a#1", "t", "h", "?bus")], "id string, title string, heading string, content string")
+    asked = [(1, "\U0001f68cbus车"), (2, "站lane\u2028end"), (3, "us"), (4, "\U0001f68c"), (5, "bus站"), (6, "h?bus")]
+    found = retrieval.phrase_hits(spark.createDataFrame(asked, "qid long, phrase string"), sections)
+    assert {(r["qid"], r["id"]) for r in found.collect()} == {(1, "a#0"), (2, "a#0"), (3, "a#0"), (3, "a#1"), (4, "a#0"), (6, "a#1")}
